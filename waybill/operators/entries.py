@@ -2,55 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import logtext
+from waybill.sources.scratch import checkpointed
+
+HEAD = ("entry_timestamp", "entry_level")
+BLOCK = ("file_path", "block_start")
+UNKNOWN = "?"  # stands for "head not in this block" while heads are carried down
+
+
+def _carrier():
+    """The task-side function. It is made here so that it travels to the
+    executors by value: they need pyarrow, but not this package."""
+    names, unknown = HEAD, UNKNOWN
+
+    def carry_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fill head columns from the line above, within each block of a file.
+
+        A task gets its blocks one after the other, each in line order. Only the
+        last line's block and head are kept from batch to batch.
+        """
+        last_block, last_head = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            paths, starts = batch.column("file_path"), batch.column("block_start")
+            changed = pc.or_(
+                pc.not_equal(paths.slice(1), paths.slice(0, n - 1)),
+                pc.not_equal(starts.slice(1), starts.slice(0, n - 1)),
+            )
+            continues = (paths[0].as_py(), starts[0].as_py()) == last_block
+            opens = pa.concat_arrays([pa.array([not continues]), changed])
+            filled = []
+            for i, name in enumerate(names):
+                head = batch.column(name)
+                head = pc.if_else(pc.and_(opens, pc.is_null(head)), unknown, head)
+                if continues and not head[0].is_valid:
+                    head = pa.concat_arrays([pa.array([last_head[i]], head.type), head.slice(1)])
+                filled.append(pc.fill_null_forward(head))
+            last_block = (paths[n - 1].as_py(), starts[n - 1].as_py())
+            last_head = [head[n - 1].as_py() for head in filled]
+            for name, head in zip(names, filled):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, head)
+            yield batch
+
+    return carry_down
+
+
+def _inherited_heads(lines: DataFrame) -> DataFrame:
+    """For each block that opens with continuation lines: the last head ahead of it."""
+    order = F.col("line_order")
+    is_head = F.col("entry_timestamp").isNotNull()
+    blocks = lines.groupBy(*BLOCK).agg(
+        F.max_by(F.struct(*HEAD), F.when(is_head, order)).alias("last_head"),
+        (F.coalesce(F.min(F.when(is_head, order)), F.lit(-1)) != F.min(order)).alias("opens_inside"),
+    )
+    # one row per block of a file
+    ahead = (
+        Window.partitionBy("file_path").orderBy("block_start")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        blocks.select(*BLOCK, "opens_inside", F.last("last_head", True).over(ahead).alias("inherited"))
+        .filter("opens_inside AND inherited IS NOT NULL").drop("opens_inside")
+    )
 
 
-def attach_entries(blocks: DataFrame) -> DataFrame:
+def attach_entries(blocks: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """Give every line of a block scan the head line of its entry.
 
     A head is a line that starts with a time stamp. ``entry_timestamp`` and
     ``entry_level`` are those of the nearest head at or above a line in its
     file; both are null ahead of the first one.
 
-    No task holds more than one block of a file: heads are carried forward
-    inside each block, and only the last head of each block travels on to the
-    blocks behind it.
+    The lines are not shuffled: heads are carried down inside the blocks as they
+    are read. The one thing that crosses blocks is a row for each block that
+    opens in the middle of an entry. These rows are counted, and broadcast up
+    to ``broadcast_rows``; beyond that the join shuffles.
     """
     stamp = logtext.timestamp_text()
     lines = blocks.select(
         "*",
-        F.when(stamp != "", F.struct(
-            stamp.alias("timestamp"), logtext.log_level().alias("log_level")
-        )).alias("head"),
-    )
-    last_heads = lines.groupBy("file_path", "block_start").agg(
-        F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line_order"))).alias("last_head")
+        F.nullif(stamp, F.lit("")).alias("entry_timestamp"),
+        F.when(stamp != "", logtext.log_level()).alias("entry_level"),
     )
-    earlier = (
-        Window.partitionBy("file_path").orderBy("block_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = last_heads.select(
-        "file_path", "block_start", F.last("last_head", ignorenulls=True).over(earlier).alias("carried")
-    )
-    inside = (
-        Window.partitionBy("file_path", "block_start").orderBy("line_order")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    entry = F.coalesce(F.last("head", ignorenulls=True).over(inside), F.col("carried"))
-    return (
-        lines.join(carried, ["file_path", "block_start"])
-        .select(
-            "file_path", "block_start", "line_order", "value",
-            F.col("head").isNull().alias("is_continuation"),
-            entry.alias("entry"),
-        )
-        .select(
-            "file_path", "block_start", "line_order", "value", "is_continuation",
-            F.col("entry.timestamp").alias("entry_timestamp"),
-            F.col("entry.log_level").alias("entry_level"),
-        )
+    inherited = checkpointed(_inherited_heads(lines))
+    if inherited.count() <= broadcast_rows:
+        inherited = F.broadcast(inherited)
+    marked = lines.select("*", F.col("entry_timestamp").isNull().alias("is_continuation"))
+    filled = marked.mapInArrow(_carrier(), marked.schema)
+    open_head = F.col("entry_timestamp") == UNKNOWN
+    return filled.join(inherited, list(BLOCK), "left").select(
+        *BLOCK, "line_order", "value", "is_continuation",
+        *[
+            F.when(open_head, F.col(f"inherited.{name}")).otherwise(F.col(name)).alias(name)
+            for name in HEAD
+        ],
     )

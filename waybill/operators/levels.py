@@ -1,6 +1,7 @@
 """Log level analysis: counts, totals, shares, samples.
 
-All take a frame of lines (``value``) and read it once.
+``level_frame`` reads the lines once and leaves at most five rows; counts,
+totals, shares and the report are made from it. The other operators take lines.
 """
 
 from __future__ import annotations
@@ -27,30 +28,30 @@ def level_frame(lines: DataFrame, mode: str = "loose") -> DataFrame:
     )
 
 
-def log_level_counts(lines: DataFrame, mode: str = "loose") -> DataFrame:
+def log_level_counts(levels: DataFrame) -> DataFrame:
     """Lines per level, most frequent first."""
     # The condition is on the count and not on the level: a condition on the
     # grouping key is pushed below the aggregate and runs the regex twice.
     return (
-        level_frame(lines, mode).filter("count > 0").select("log_level", "count")
+        levels.filter("count > 0").select("log_level", "count")
         .orderBy(F.desc("count"), "log_level")
     )
 
 
-def log_totals(lines: DataFrame) -> DataFrame:
+def log_totals(levels: DataFrame) -> DataFrame:
     """All lines, lines with a level, and distinct levels."""
-    return level_frame(lines).agg(
+    return levels.agg(
         F.coalesce(F.sum("n_lines"), F.lit(0)).alias("total_lines"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("lines_with_level"),
         F.count_if(F.col("count") > 0).alias("unique_levels"),
     )
 
 
-def log_level_distribution(lines: DataFrame) -> DataFrame:
+def log_level_distribution(levels: DataFrame) -> DataFrame:
     """Lines per level and their percentage of the lines with a level."""
     total = F.sum("count").over(Window.partitionBy())
     return (
-        level_frame(lines).filter("count > 0")
+        levels.filter("count > 0")
         .select(
             "log_level", "count",
             F.try_divide(F.col("count") * 100.0, total).alias("percentage"),
@@ -59,12 +60,12 @@ def log_level_distribution(lines: DataFrame) -> DataFrame:
     )
 
 
-def level_counts_complete(lines: DataFrame) -> DataFrame:
+def level_counts_complete(levels: DataFrame) -> DataFrame:
     """Counts for every known level, 0 where a level does not occur."""
-    known = lines.sparkSession.createDataFrame(
+    known = levels.sparkSession.createDataFrame(
         list(enumerate(logtext.LEVELS)), "severity int, log_level string"
     )
-    counts = level_frame(lines).filter("count > 0").select("log_level", "count")
+    counts = levels.filter("count > 0").select("log_level", "count")
     # at most one row per level
     return (
         known.join(F.broadcast(counts), "log_level", "left")

@@ -39,8 +39,13 @@ def exact_percentile(
     # Only groups above the limit are here: at most (all distinct values / split_over) rows.
     cuts = (
         counted.groupBy(*keys)
-        .agg(F.count("*").alias("_distinct"), F.percentile_approx("_v", shares, 1000).alias("_cuts"))
-        .filter(F.col("_distinct") > split_over)
+        .agg(
+            F.count("*").alias("_distinct"), F.sum("_n").alias("_rows"),
+            F.percentile_approx("_v", shares, 1000).alias("_cuts"),
+        )
+        # _rows >= _distinct: reading it keeps the columns of both uses of
+        # ``counted`` equal, so they share one exchange and one scan.
+        .filter((F.col("_distinct") > split_over) & (F.col("_rows") > split_over))
         .select(*keys, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     )
     placed = (

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.operators.daily import TripColumns, daily_latest, daily_summary
-from waybill.operators.levels import level_frame
+from waybill.operators.daily import daily_latest
 from waybill.operators.usage import app_counts, top_clusters
 
 
@@ -17,11 +16,11 @@ def _numbered(lines: Column) -> Column:
     ))
 
 
-def report_log_levels(lines: DataFrame) -> DataFrame:
-    """Totals and distribution of log levels, from one scan."""
+def report_log_levels(levels: DataFrame) -> DataFrame:
+    """Totals and distribution of log levels, from a level frame."""
     level = F.struct(-F.col("count"), F.col("log_level"), F.col("count"))
-    # five rows at most, see level_frame
-    totals = level_frame(lines).agg(
+    # a level frame has five rows at most
+    totals = levels.agg(
         F.coalesce(F.sum("n_lines"), F.lit(0)).alias("all"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("valid"),
         F.array_sort(F.collect_list(F.when(F.col("count") > 0, level))).alias("levels"),
@@ -63,11 +62,9 @@ def report_cluster_usage(timeline: DataFrame, n: int = 5) -> DataFrame:
     return totals.unionByName(best.select((F.col("line_no") + 5).alias("line_no"), "line"))
 
 
-def report_daily(
-    trips: DataFrame, year: int | None = None, cols: TripColumns = TripColumns(), n: int = 5
-) -> DataFrame:
-    """The n newest days of a daily summary, seven lines each."""
-    latest = daily_latest(daily_summary(trips, year, cols), n)
+def report_daily(daily: DataFrame, n: int = 5) -> DataFrame:
+    """The n newest days of a daily summary, eight lines each."""
+    latest = daily_latest(daily, n)
     date = F.struct(-F.col("dt_year"), -F.col("dt_month"), -F.col("dt_day"))
     money = lambda label, c: F.format_string(f"  {label}: $%.2f", c)
     block = F.array(

@@ -13,7 +13,7 @@ from waybill.functions import logtext, paths
 from waybill.operators.quantiles import exact_percentile
 
 # Line formats.
-TASK = r"(Running|Finished) task (\d+\.\d+) in stage (\d+\.\d+) \(TID (\d+)\)"
+TASK = r"(?:Running|Finished) task \d+\.\d+ in stage (\d+\.\d+ \(TID \d+)\)"
 REQUEST = (
     r"Will request (\d+) executor containers, each with (\d+) cores and (\d+) MB memory"
     r"(?: including (\d+) MB overhead)?"
@@ -59,31 +59,38 @@ def resource_requests(lines: DataFrame) -> DataFrame:
 def task_durations(lines: DataFrame) -> DataFrame:
     """Start, finish and seconds of every task; an unfinished one has nulls.
 
-    Start and finish lines meet in one aggregate on (container, TID), so there
-    is no self-join.
+    Start and finish lines meet in one aggregate on (container, stage and TID
+    text), so there is no self-join. The text is taken apart afterwards, once
+    per task.
     """
-    steps = lines.filter(F.col("value").contains(" task ")).select(
-        "file_path",
-        logtext.event_time().alias("at"),
-        _part(TASK, 1).alias("step"),
-        _part(TASK, 3).alias("stage"),
-        _number(TASK, 4).alias("tid"),
-    ).filter("tid IS NOT NULL")
-    return (
+    running = F.col("value").contains("Running task ")
+    steps = (
+        lines.filter(running | F.col("value").contains("Finished task "))
+        .select(
+            "file_path", logtext.event_time().alias("at"), running.alias("running"),
+            _part(TASK, 1).alias("task"),
+        )
+        .filter("task != ''")
+    )
+    tasks = (
         steps.select(
             paths.application_id().alias("application_id"),
             paths.container_id().alias("container_id"),
-            "at", "step", "stage", "tid",
+            "task", "at", "running",
         )
-        .groupBy("application_id", "container_id", "stage", "tid")
+        .groupBy("application_id", "container_id", "task")
         .agg(
-            F.min(F.when(F.col("step") == "Running", F.col("at"))).alias("started_at"),
-            F.max(F.when(F.col("step") == "Finished", F.col("at"))).alias("finished_at"),
-        )
-        .select(
-            "*", F.timestamp_diff("SECOND", "started_at", "finished_at").alias("duration_sec")
+            F.min(F.when(F.col("running"), F.col("at"))).alias("started_at"),
+            F.max(F.when(~F.col("running"), F.col("at"))).alias("finished_at"),
         )
     )
+    return tasks.select(
+        "application_id", "container_id",
+        F.substring_index("task", " ", 1).alias("stage"),
+        F.substring_index("task", " ", -1).try_cast("bigint").alias("tid"),
+        "started_at", "finished_at",
+        F.timestamp_diff("SECOND", "started_at", "finished_at").alias("duration_sec"),
+    )
 
 
 def task_time_by_app(lines: DataFrame) -> DataFrame:

@@ -36,6 +36,10 @@ def _on_lines(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(log_lines(spark, sf_dir))
 
 
+def _on_levels(operator: Callable[[DataFrame], DataFrame], mode: str = "loose") -> Query:
+    return _on_lines(lambda lines: operator(levels.level_frame(lines, mode)))
+
+
 def _on_timeline(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_lines(lambda lines: operator(usage.app_timeline(lines)))
 
@@ -165,7 +169,7 @@ def daily_rollup_totals(spark, sf_dir):
 
 
 def report_daily(spark, sf_dir):
-    return reports.report_daily(_table(spark, sf_dir, "lineitem"), None, TRIPS)
+    return reports.report_daily(daily.daily_summary(_table(spark, sf_dir, "lineitem"), None, TRIPS))
 
 
 # entries
@@ -211,16 +215,16 @@ QUERIES: dict[str, Query] = {
     "filter_error_lines": _on_lines(levels.filter_error_lines),
     "multiline_entries": multiline_entries,
     # levels
-    "log_level_counts": _on_lines(levels.log_level_counts),
-    "log_level_counts_strict": _on_lines(lambda x: levels.log_level_counts(x, "strict")),
-    "log_totals": _on_lines(levels.log_totals),
-    "log_level_distribution": _on_lines(levels.log_level_distribution),
-    "level_counts_complete": _on_lines(levels.level_counts_complete),
+    "log_level_counts": _on_levels(levels.log_level_counts),
+    "log_level_counts_strict": _on_levels(levels.log_level_counts, "strict"),
+    "log_totals": _on_levels(levels.log_totals),
+    "log_level_distribution": _on_levels(levels.log_level_distribution),
+    "level_counts_complete": _on_levels(levels.level_counts_complete),
     "level_token_counts": _on_lines(levels.level_token_counts),
     "sample_log_entries": _on_lines(levels.sample_log_entries),
     "sample_random": _on_lines(levels.sample_random),
     "top_components": _on_lines(levels.top_components),
-    "report_log_levels": _on_lines(reports.report_log_levels),
+    "report_log_levels": _on_levels(reports.report_log_levels),
     # usage
     "app_timeline": _on_timeline(usage.sorted_timeline),
     "cluster_summary": _on_timeline(lambda t: usage.cluster_summary(t).orderBy("cluster_id")),

@@ -9,13 +9,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: tempfile.TemporaryDirectory | None = None
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh, not yet existing folder for one written table."""
+def _root(spark: SparkSession) -> str:
     global _local
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -24,4 +23,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
         if _local is None:
             _local = tempfile.TemporaryDirectory(prefix="waybill-")
         root = _local.name
-    return f"{root.rstrip('/')}/waybill-{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh, not yet existing folder for one written table."""
+    return f"{_root(spark)}/waybill-{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute a frame now and keep it in the shared folder, free of its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_root(df.sparkSession))
+    return df.checkpoint()

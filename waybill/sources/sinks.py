@@ -10,10 +10,11 @@ STAMPS = "yyyy-MM-dd HH:mm:ss"
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header, in parallel part files.
 
-    ``one_file`` is for results of known small size (a report, a top-k).
+    ``one_file`` is for sorted or limited results of known small size: it joins
+    the parts of the last stage in their order.
     """
     if one_file:
-        df = df.repartition(1)
+        df = df.coalesce(1)
     stamps = {"timestampFormat": STAMPS, "timestampNTZFormat": STAMPS}
     df.write.mode("overwrite").options(header=True, **stamps).csv(path)
 

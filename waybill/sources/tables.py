@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +95,12 @@ def source_health(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for name, path in paths.items():
         try:
             df = spark.read.parquet(path)
-        except AnalysisException as e:
+        except Exception as e:  # whatever the file system or the format reports
+            condition = e.getCondition() if isinstance(e, PySparkException) else None
             bad = "source string, ok boolean, n_rows bigint, n_columns int, error_class string"
-            checks.append(spark.createDataFrame([(name, False, None, None, e.getCondition())], bad))
+            checks.append(
+                spark.createDataFrame([(name, False, None, None, condition or type(e).__name__)], bad)
+            )
         else:
             checks.append(
                 df.agg(F.count("*").alias("n_rows")).select(
