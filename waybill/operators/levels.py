@@ -75,8 +75,10 @@ def level_counts_complete(levels: DataFrame) -> DataFrame:
 
 def level_token_counts(lines: DataFrame) -> DataFrame:
     """Occurrences of each level word; a line may hold several."""
+    # explode would add a filter on the array, and find the words twice
     return (
-        lines.select(F.explode(logtext.level_tokens()).alias("token"))
+        lines.select(F.explode_outer(logtext.level_tokens()).alias("token"))
+        .filter("token IS NOT NULL")
         .groupBy("token").agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "token")
     )

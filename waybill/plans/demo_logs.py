@@ -7,7 +7,7 @@ them as a tree of text files to scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.sources.scratch import new_folder
@@ -16,97 +16,76 @@ TREE_APPS = 40  # applications in a written tree, which bounds its number of fol
 _trees: dict[tuple[str, str], str] = {}
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
-def _entries(spark: SparkSession, sf_dir: str, apps: int | None = None) -> DataFrame:
+# The lines an event writes, by its type. e: event id, s: whole seconds of its
+# value, t and t_end: its time, and its time s seconds later.
+_TASK = "'task ' || e % 8 || '.0 in stage ' || e % 5 || '.0 (TID ' || e || ')'"
+_LINES = {
+    "view": f"""
+        t || ' INFO executor.Executor: Running ' || {_TASK},
+        if(e % 11 <> 0, t_end || ' INFO executor.Executor: Finished ' || {_TASK}
+            || '. 2076 bytes result sent to driver', NULL)""",
+    "click": """
+        t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
+            || '.txt:' || e * 1000 || '+' || (s * 1024 + e),
+        t || ' INFO python.PythonRunner: Times: total = ' || (s + e % 50) || ', boot = '
+            || (e % 300 - 150) || ', init = ' || e % 40 || ', finish = ' || s""",
+    "purchase": """
+        t || ' INFO storage.MemoryStore: Block broadcast_' || e
+            || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10 || ' KB, free '
+            || e % 500 || '.5 MB)',
+        if(e % 3 = 0, t || ' INFO storage.MemoryStore: MemoryStore started with capacity '
+            || (e % 7 + 1) || '.5 GB', NULL)""",
+    "signup": """
+        t || ' INFO YarnAllocator: Will request ' || (e % 16 + 1) || ' executor containers, each with '
+            || (e % 5 + 1) || ' cores and ' || (e % 8 + 1) * 1024 || ' MB memory including '
+            || (e % 8 + 1) * 128 || ' MB overhead',
+        if(e % 4 = 0, t || ' WARN YarnAllocator no colon here', NULL),
+        if(e % 6 = 1, '17/13/45 10:04:42 WARN a.B: bad date', NULL)""",
+    "error": f"""
+        t || ' ERROR executor.Executor: Exception in ' || {_TASK},
+        '\tat org.foo.INFORMATION(App.scala:' || e % 90 || ')',
+        if(e % 5 = 0, '', NULL),
+        if(e % 7 = 0, t || ' TERRORIZE x', NULL)""",
+}
+_TEXTS = "CASE event_type " + " ".join(
+    f"WHEN '{kind}' THEN array({lines})" for kind, lines in _LINES.items()
+) + " END"
+_IDS = """
+    CASE WHEN a % 10 < 7 THEN '1703980800000' WHEN a % 10 < 9 THEN '1700006400000'
+    ELSE '1690243200000' END || '_' || lpad(a, greatest(4, length(a)), '0')"""
+
+
+def log_entries(spark: SparkSession, sf_dir: str, apps: int | None = None) -> DataFrame:
     """One row per event: ``app`` and ``container`` folder names and ``texts``.
 
-    A user has one application for every three days of a month.
+    A user has one application for every three days of a month. ``texts`` holds
+    a null for a line that an event leaves out.
     """
-    e, s, kind = F.col("e"), F.col("s"), F.col("event_type")
-    app = F.col("user_id") * 10 + F.expr("(day(ts) - 1) div 3")
-    if apps is not None:
-        app = app % apps
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("e"),
-        F.floor("value").alias("s"),
-        F.date_format("ts", "yy/MM/dd HH:mm:ss").alias("t"),
-        F.date_format(
-            F.timestamp_add("SECOND", F.floor("value"), F.col("ts")), "yy/MM/dd HH:mm:ss"
-        ).alias("t_end"),
-        "event_type",
-        app.alias("app_no"),
-    )
-    t = F.col("t")
-    cluster = (
-        F.when(F.col("app_no") % 10 < 7, F.lit(1703980800000))
-        .when(F.col("app_no") % 10 < 9, F.lit(1700006400000))
-        .otherwise(F.lit(1690243200000))
-    )
-    ids = F.concat(cluster.cast("string"), F.format_string("_%04d", "app_no"))
-    task = _text("task ", e % 8, ".0 in stage ", e % 5, ".0 (TID ", e, ")")
-    store = " INFO storage.MemoryStore: "
-    texts = (
-        F.when(kind == "view", F.array(
-            _text(t, " INFO executor.Executor: Running ", task),
-            F.when(e % 11 != 0, _text(
-                F.col("t_end"), " INFO executor.Executor: Finished ", task,
-                ". 2076 bytes result sent to driver",
-            )),
-        ))
-        .when(kind == "click", F.array(
-            _text(
-                t, " INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-", e % 100,
-                ".txt:", e * 1000, "+", s * 1024 + e,
-            ),
-            _text(
-                t, " INFO python.PythonRunner: Times: total = ", s + e % 50, ", boot = ",
-                e % 300 - 150, ", init = ", e % 40, ", finish = ", s,
-            ),
-        ))
-        .when(kind == "purchase", F.array(
-            _text(
-                t, store, "Block broadcast_", e, " stored as bytes in memory (estimated size ",
-                s, ".", e % 10, " KB, free ", e % 500, ".5 MB)",
-            ),
-            F.when(e % 3 == 0, _text(
-                t, store, "MemoryStore started with capacity ", e % 7 + 1, ".5 GB"
-            )),
-        ))
-        .when(kind == "signup", F.array(
-            _text(
-                t, " INFO YarnAllocator: Will request ", e % 16 + 1, " executor containers, each with ",
-                e % 5 + 1, " cores and ", (e % 8 + 1) * 1024, " MB memory including ",
-                (e % 8 + 1) * 128, " MB overhead",
-            ),
-            F.when(e % 4 == 0, _text(t, " WARN YarnAllocator no colon here")),
-            F.when(e % 6 == 1, F.lit("17/13/45 10:04:42 WARN a.B: bad date")),
-        ))
-        .otherwise(F.array(
-            _text(t, " ERROR executor.Executor: Exception in ", task),
-            _text("\tat org.foo.INFORMATION(App.scala:", e % 90, ")"),
-            F.when(e % 5 == 0, F.lit("")),
-            F.when(e % 7 == 0, _text(t, " TERRORIZE x")),
-        ))
-    )
-    outside = e % 97 == 0
-    return events.select(
-        F.when(outside, F.lit("gateway")).otherwise(F.concat(F.lit("application_"), ids)).alias("app"),
-        F.when(outside, F.lit("edge"))
-        .otherwise(F.concat(F.lit("container_"), ids, F.format_string("_01_%06d", e % 3 + 1)))
-        .alias("container"),
-        F.array_compact(texts).alias("texts"),
+    app = "user_id * 10 + (day(ts) - 1) div 3"
+    return (
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .selectExpr(
+            "event_id AS e", "event_type", "floor(value) AS s",
+            "date_format(ts, 'yy/MM/dd HH:mm:ss') AS t",
+            "date_format(timestampadd(SECOND, floor(value), ts), 'yy/MM/dd HH:mm:ss') AS t_end",
+            app + " AS a" if apps is None else f"({app}) % {apps} AS a",
+        )
+        .selectExpr("*", f"{_IDS} AS ids")
+        .selectExpr(
+            "if(e % 97 = 0, 'gateway', 'application_' || ids) AS app",
+            "if(e % 97 = 0, 'edge', 'container_' || ids || '_01_00000' || (e % 3 + 1)) AS container",
+            f"{_TEXTS} AS texts",
+        )
     )
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines (``value``, ``file_path``)."""
-    return _entries(spark, sf_dir).select(
-        F.explode("texts").alias("value"),
+    # explode would add a filter on the array, and make every line twice
+    return log_entries(spark, sf_dir).select(
+        F.explode_outer("texts").alias("value"),
         F.concat(F.lit("file:///logs/"), "app", F.lit("/"), "container", F.lit(".log")).alias("file_path"),
-    )
+    ).filter("value IS NOT NULL")
 
 
 def log_tree(spark: SparkSession, sf_dir: str) -> str:
@@ -120,7 +99,7 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
     if key not in _trees:
         root = new_folder(spark, "logs")
         (
-            _entries(spark, sf_dir, TREE_APPS)
+            log_entries(spark, sf_dir, TREE_APPS)
             .select(F.array_join("texts", "\n").alias("value"), "app", "container")
             .hint("rebalance", "app", "container")
             .write.partitionBy("app", "container").text(root)
