@@ -39,8 +39,8 @@ def percentile(values, num, den):
     return s[max(0, -(-len(s) * num // den) - 1)]
 
 
-@pytest.mark.parametrize("split_over", [1_000_000, 10])
-def test_exact_percentile(spark, split_over):
+@pytest.mark.parametrize("piece", [1_000_000, 50, 1])
+def test_exact_percentile(spark, piece):
     rng = random.Random(7)
     data = [("hot", round(rng.lognormvariate(3, 2), 2)) for _ in range(4000)]
     data += [("ties", float(rng.randrange(4))) for _ in range(500)]
@@ -49,7 +49,7 @@ def test_exact_percentile(spark, split_over):
     for p, num, den in (("0.95", 95, 100), ("0.5", 1, 2), ("1.0", 1, 1), ("0.001", 1, 1000)):
         got = {
             r["k"]: (r["q"], r["n_values"])
-            for r in exact_percentile(df, ["k"], "v", p, "q", split_over=split_over, pieces=8, salts=3).collect()
+            for r in exact_percentile(df, ["k"], "v", p, "q", piece=piece, salts=3).collect()
         }
         groups = {}
         for k, v in data:
@@ -60,7 +60,7 @@ def test_exact_percentile(spark, split_over):
 
 def test_exact_percentile_of_two_keys(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"), "id")
-    got = exact_percentile(df, ["a", "b"], "id", "0.5", "m", split_over=5, pieces=4).collect()
+    got = exact_percentile(df, ["a", "b"], "id", "0.5", "m", piece=20).collect()
     for r in got:
         values = [i for i in range(1000) if i % 3 == r["a"] and i % 2 == r["b"]]
         assert r["m"] == percentile(values, 1, 2)

@@ -15,37 +15,31 @@ def exact_percentile(
     value: str,
     p: str,
     name: str,
-    split_over: int = 1_000_000,
-    pieces: int = 64,
+    piece: int = 1_000_000,
     salts: int = 16,
 ) -> DataFrame:
     """Per group, the smallest value with at least ``p`` of the values at or below it.
 
     This is ``percentile_disc`` without its one hash map per group. Equal
-    values are counted first. A group with more than ``split_over`` distinct
-    values is cut at approximate quantiles into ``pieces``; exact counts of the
-    pieces tell which of them holds the wanted rank, and only that piece is
-    ordered. The cut points decide how even the work is, never the result.
+    values are counted first. About one in ``piece`` distinct values, picked by
+    hash, is a cut point, so small groups have none and a large group falls into
+    pieces of about that size. Exact counts of the pieces tell which of them
+    holds the wanted rank, and only that piece is ordered. The cut points decide
+    how even the work is, never the result.
 
-    Gives the keys, ``name`` and ``n_values``. ``p`` is decimal text, so that
-    rank arithmetic is exact.
+    Gives the keys (which must not be null), ``name`` and ``n_values``. ``p`` is
+    decimal text, so that rank arithmetic is exact.
     """
     keys = list(keys)
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     )
-    shares = [i / pieces for i in range(1, pieces)]
-    # Only groups above the limit are here: at most (all distinct values / split_over) rows.
+    # The hash reads _n as well: a condition on _v alone would be pushed below the
+    # count, and the two uses of ``counted`` would no longer share one scan.
     cuts = (
-        counted.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_distinct"), F.sum("_n").alias("_rows"),
-            F.percentile_approx("_v", shares, 1000).alias("_cuts"),
-        )
-        # _rows >= _distinct: reading it keeps the columns of both uses of
-        # ``counted`` equal, so they share one exchange and one scan.
-        .filter((F.col("_distinct") > split_over) & (F.col("_rows") > split_over))
+        counted.filter(F.pmod(F.hash("_v", "_n"), F.lit(piece)) == 0)
+        .groupBy(*keys).agg(F.collect_list("_v").alias("_cuts"))
         .select(*keys, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     )
     placed = (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.functions import logtext
+from waybill.functions import logtext, paths
 from waybill.operators import (
     daily, distribution, entries, levels, records, reports, tasks, usage,
 )
@@ -71,16 +71,16 @@ def file_path_column(spark, sf_dir):
     lines = text.scan_log_tree(spark, log_tree(spark, sf_dir))
     containers = lines.groupBy("file_path").agg(F.count("*").alias("n"))
     return (
-        records.paths.with_application_ids(containers)
-        .select("application_id", records.paths.container_id().alias("container_id"), "n")
+        paths.with_application_ids(containers)
+        .select("application_id", paths.container_id().alias("container_id"), "n")
         .groupBy("application_id", "container_id").agg(F.sum("n").alias("n_lines"))
     )
 
 
 def scan_parquet_many(spark, sf_dir):
     root = monthly_orders(spark, sf_dir)
-    paths = tables.month_paths(root, 1995, [1, 12]) + tables.month_paths(root, 1997, [6])
-    return tables.scan_parquet_many(spark, paths, root).select("o_orderkey", "o_totalprice", "yyyy")
+    months = tables.month_paths(root, 1995, [1, 12]) + tables.month_paths(root, 1997, [6])
+    return tables.scan_parquet_many(spark, months, root).select("o_orderkey", "o_totalprice", "yyyy")
 
 
 def scan_parquet_glob(spark, sf_dir):
@@ -179,7 +179,7 @@ def multiline_entries(spark, sf_dir):
     lines = entries.attach_entries(text.scan_log_blocks(spark, log_tree(spark, sf_dir)))
     return (
         lines.select(
-            records.paths.container_id().alias("container_id"),
+            paths.container_id().alias("container_id"),
             "value", "is_continuation", "entry_timestamp", "entry_level",
         )
     )
