@@ -60,6 +60,12 @@ def test_loose_level_is_the_plain_regex(lines):
     assert column(lines, logtext.log_level()) == plain
 
 
+def test_has_level_is_a_level(lines):
+    level = column(lines, logtext.log_level())
+    for name, got in column(lines, logtext.has_level()).items():
+        assert got == (None if level[name] is None else level[name] != "")
+
+
 def test_strict_level(lines):
     got = column(lines, logtext.log_level(mode="strict"))
     assert got["normal"] == "INFO" and got["no colon"] == "WARN"

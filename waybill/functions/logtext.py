@@ -49,6 +49,15 @@ def _first_level(line: Column) -> Column:
     return F.when(plain, F.lit("INFO")).otherwise(F.regexp_extract(line, LEVEL, 1))
 
 
+def has_level(line: Column | str = "value") -> Column:
+    """Whether a line holds a level word; the same as a level other than ``''``,
+    without a regex."""
+    info, *others = (_col(line).contains(word) for word in LEVELS)
+    for other in others:
+        info = info | other
+    return info
+
+
 def timestamp_text(line: Column | str = "value") -> Column:
     """The ``yy/MM/dd HH:mm:ss`` text at the very start of a line."""
     return F.regexp_extract(_col(line), STAMP, 1)

@@ -86,29 +86,28 @@ def level_token_counts(lines: DataFrame) -> DataFrame:
 
 def lines_with_level(lines: DataFrame) -> DataFrame:
     """Lines that hold a level word, with that level."""
-    return lines.select("*", logtext.log_level().alias("log_level")).filter("log_level != ''")
+    return lines.filter(logtext.has_level()).select("*", logtext.log_level().alias("log_level"))
 
 
 def sample_log_entries(lines: DataFrame, n: int = 10) -> DataFrame:
     """A repeatable sample of n lines with a level: the n smallest hashes.
 
     It does not depend on how the lines are partitioned. Each task keeps its
-    own n best rows; there is no full sort.
+    own n best rows, without a full sort; levels are taken from the sample.
     """
-    return (
-        lines_with_level(lines)
+    return _entries(
+        lines.filter(logtext.has_level())
         .orderBy(F.md5(F.concat("file_path", "value")), "file_path", "value").limit(n)
-        .select("value", "log_level")
-        .withColumnRenamed("value", "log_entry")
     )
 
 
 def sample_random(lines: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
     """A random sample of n lines with a level."""
-    return (
-        lines_with_level(lines).orderBy(F.rand(seed)).limit(n)
-        .select(F.col("value").alias("log_entry"), "log_level")
-    )
+    return _entries(lines.filter(logtext.has_level()).orderBy(F.rand(seed)).limit(n))
+
+
+def _entries(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("value").alias("log_entry"), logtext.log_level().alias("log_level"))
 
 
 def filter_error_lines(lines: DataFrame, word: str = "ERROR") -> DataFrame:
