@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waybill.llm import simhash
+from waybill.llm import bpe, mixing, simhash, token_counts
 from waybill.llm.common import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+MOST_TOKENS = 512
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    # one row per source
+    return taken.join(F.broadcast(sources), "pattern").select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "source",
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+    return counts.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MOST_TOKENS).alias("over_limit")
+    )
+
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
-        found.id.alias("doc_id"), simhash.hex_print().alias("fingerprint"),
-        found.component.alias("component_id"),
+        F.col("id").alias("doc_id"), simhash.hex_print().alias("fingerprint"),
+        F.col("component").alias("component_id"),
     )
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
+    "op10_simhash": op10_simhash,
+}
 ORACLES: dict[str, str] = {}
