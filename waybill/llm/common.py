@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def pieces_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Reco
 
     A row is never cut: a long text is a slice of its own.
     """
-    ends = batch.column(column).offsets.to_numpy()
+    ends = np.r_[0, np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))]
     first = 0
     while first < batch.num_rows:
-        last = max(first + 1, int(ends.searchsorted(ends[first] + most, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
         yield batch.slice(first, last - first)
         first = last

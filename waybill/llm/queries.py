@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import bpe, mixing, simhash, token_counts
-from waybill.llm.common import table
+from waybill.llm import bloom_lm, bpe, mixing, simhash, token_counts
+from waybill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MOST_TOKENS = 512
@@ -22,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_out = held_out("doc_id", 7, 2)
+    scored = bloom_lm.score_documents(table(spark, sf_dir, "documents"), ~left_out)
+    return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", left_out)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -43,6 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_bloom_lm": op3_bloom_lm,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
