@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import bloom_lm, bpe, mixing, simhash, token_counts
+from waybill.llm import bloom_lm, bpe, chat, mixing, quality_ledger, simhash, token_counts
 from waybill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,34 @@ def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", left_out)
 
 
+def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_ledger.ledger(quality_ledger.measure(table(spark, sf_dir, "documents")))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_ledger.rejected("base_v1").alias("base_failed"),
+        (~quality_ledger.rejected("clean_v2")).alias("kept"), "failed",
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select(control.columns).unionByName(control)
+    read = chat.parse(chat.format_chats(chat.events_of_rows(rows)))
+    said = F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: t["text"]), "")
+    return read.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), trained.alias("trained")).select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +78,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_bloom_lm": op3_bloom_lm,
+    "op5_quality_ledger": op5_quality_ledger,
+    "op6_chat": op6_chat,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
