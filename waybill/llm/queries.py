@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import bloom_lm, bpe, chat, mixing, quality_ledger, simhash, token_counts
+from waybill.llm import bloom_lm, bpe, chat, collision_search, mixing, quality_ledger, simhash, token_counts
 from waybill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision_search.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     left_out = held_out("doc_id", 7, 2)
     scored = bloom_lm.score_documents(table(spark, sf_dir, "documents"), ~left_out)
@@ -77,6 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_collision_search": op2_collision_search,
     "op3_bloom_lm": op3_bloom_lm,
     "op5_quality_ledger": op5_quality_ledger,
     "op6_chat": op6_chat,
