@@ -32,6 +32,13 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def keeping(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """Columns to keep, with the text's bytes as the last one, ``_bytes``; and their schema."""
+    schema = docs.select(*keep).schema
+    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
+    return docs.select(*keep, text_bytes(text_col).alias("_bytes")), columns
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, free of its lineage.
 
