@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.common import stored, text_bytes
@@ -38,17 +38,17 @@ def _size_batches(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         sizes = [len(t.as_py().split()) for t in batch.column("text")]  # bytes: the six ASCII blanks
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("pattern"), pa.array(sizes, pa.int64())],
-            names=["id", "pattern", "size"],
+            [*batch.columns[:-1], pa.array(sizes, pa.int64())], names=["id", "place", "pattern", "size"]
         )
 
 
-def document_sizes(docs: DataFrame, id_col: str, text_col: str, members) -> DataFrame:
-    """``id``, ``pattern`` (its sources as JSON, sorted, null last) and ``size`` in words."""
+def document_sizes(docs: DataFrame, id_col: str, text_col: str, members: Column, place: Column) -> DataFrame:
+    """``id``, ``place``, ``pattern`` (its sources as JSON, sorted, null last) and ``size`` in words."""
     pattern = F.to_json(F.array_sort(F.array_distinct(members)))
+    kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(
-        F.col(id_col).alias("id"), pattern.alias("pattern"), text_bytes(text_col).alias("text")
-    ).mapInArrow(_size_batches, f"id {docs.schema[id_col].dataType.simpleString()}, pattern string, size long")
+        F.col(id_col).alias("id"), place.alias("place"), pattern.alias("pattern"), text_bytes(text_col).alias("text")
+    ).mapInArrow(_size_batches, f"id {kind}, place long, pattern string, size long")
 
 
 @dataclass(frozen=True)
@@ -212,7 +212,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(extra=taken.astype("int32"))[["id", "pattern", "size", "passes", "extra"]]
 
 
-def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int], seed: int = SEED) -> DataFrame:
+def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int]) -> DataFrame:
     """``id``, ``pattern``, ``size`` and ``copies``: how often the mix takes each document.
 
     Every document is taken as often as its pattern's flow goes over the pattern whole.
@@ -228,7 +228,6 @@ def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int],
     # at most MAX_PATTERNS short rows
     placed = (
         sizes.join(F.broadcast(plan), "pattern")
-        .withColumn("place", F.xxhash64(F.lit(seed), "id"))
         .withColumn("bucket", F.pmod("place", "n_buckets"))
     )
     sums = placed.groupBy("pattern", "bucket").agg(
@@ -252,15 +251,28 @@ def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int],
     )
 
 
+def take(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, the others left out.
+
+    Rows are told apart by a number given as they are written, so repeated and null ids do no harm.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken, _ = mix(rows, members, "_row", text_col, order_col=id_col, **options)
+    copies = taken.filter("copies > 0").select(F.col("id").alias("_row"), "copies")
+    return (
+        rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    )
+
+
 def mix(
-    docs: DataFrame, members, id_col: str = "doc_id", text_col: str = "text", weights=cyclic_weights,
-    share: float = 1.0, max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = MAX_PATTERNS,
+    docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights=cyclic_weights,
+    share: float = 1.0, max_repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = MAX_PATTERNS, order_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Take documents so that each source's words come near its target.
 
     ``members`` is an array column with the sources of a document; ``weights`` maps the list of
     sources (code point order, null last) to a weight each; ``share`` is the size of the
-    mix in parts of all words.
+    mix in parts of all words. The seeded order hashes ``order_col``, which is the id if not given.
 
     Returns the documents (``id``, ``pattern``, ``size``, ``copies``) and the sources
     (``source``, ``pattern`` of documents in it alone, ``source_size``, ``target``, ``routed``).
@@ -268,7 +280,8 @@ def mix(
     source of its own. Rows with one id stand at one place of the seeded order and keep their order
     by size. Without documents both results are empty.
     """
-    sizes = stored(document_sizes(docs, id_col, text_col, members), "sizes")
+    place = F.xxhash64(F.lit(seed), order_col or id_col)
+    sizes = stored(document_sizes(docs, id_col, text_col, members, place), "sizes")
     patterns = read_patterns(sizes, max_patterns)
     by_source = source_sizes(patterns)
     wanted = targets(
@@ -285,4 +298,4 @@ def mix(
         [(s, alone.get(s), n, wanted[s], routed.get(s, 0)) for s, n in by_source.items()],
         "source string, pattern string, source_size long, target double, routed long",
     )
-    return select(sizes, patterns, flow, seed), sources
+    return select(sizes, patterns, flow), sources

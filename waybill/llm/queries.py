@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import bloom_lm, bpe, chat, collision_search, mixing, quality_ledger, simhash, token_counts
+from waybill.llm import bloom_lm, bpe, chat, collision_search, mixing, quality_ledger, simhash, string_kernel, subword, token_counts
 from waybill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MOST_TOKENS = 512
+GOOD_SCORE = 0.7
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,13 @@ def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", left_out)
 
 
+def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, left_out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = string_kernel.train(docs.filter(~left_out))
+    found = string_kernel.predict(docs, model, ["doc_id"])
+    return found.withColumnRenamed("lang_score", "score").withColumn("held_out", left_out)
+
+
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_ledger.ledger(quality_ledger.measure(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -61,6 +69,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, left_out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = subword.train(docs.filter(~left_out), table(spark, sf_dir, "labels"))
+    scored = subword.score(docs, model, ["doc_id"]).withColumnRenamed("quality_score", "score")
+    return scored.withColumn("held_out", left_out).withColumn(
+        "predicted", (F.col("score") >= GOOD_SCORE).cast("int")
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -84,8 +101,10 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_collision_search": op2_collision_search,
     "op3_bloom_lm": op3_bloom_lm,
+    "op4_string_kernel": op4_string_kernel,
     "op5_quality_ledger": op5_quality_ledger,
     "op6_chat": op6_chat,
+    "op7_subword": op7_subword,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,

@@ -291,5 +291,23 @@ def near_duplicates(
     return prints.join(by_print, "fp").select("id", "fp", "component")
 
 
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS, seed: int = SEED,
+) -> DataFrame:
+    """The documents with one row of each group: that with the smallest id, null ids last.
+
+    Rows are told apart by a number given as they are written, so repeated and null ids do no harm.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "_row", text_col, shingle, max_bits, seed)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("name"), "_row"))
+    keep = (
+        found.select(F.col("id").alias("_row"), "component").join(rows.select("_row", id_col), "_row")
+        .groupBy("component").agg(first.alias("first")).select("first._row")
+    )
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+
+
 def hex_print(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
