@@ -10,25 +10,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import logtext
-from waybill.sources.scratch import checkpointed
+from waybill.sources.scratch import written
 
 HEAD = ("entry_timestamp", "entry_level")
 BLOCK = ("file_path", "block_start")
 UNKNOWN = "?"  # stands for "head not in this block" while heads are carried down
+IS_BLOCK = "_is_block"  # marks the row that sums up a block
 
 
 def _carrier():
     """The task-side function. It is made here so that it travels to the
     executors by value: they need pyarrow, but not this package."""
-    names, unknown = HEAD, UNKNOWN
+    names, unknown, mark = HEAD, UNKNOWN, IS_BLOCK
 
     def carry_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fill head columns from the line above, within each block of a file.
 
         A task gets its blocks one after the other, each in line order. Only the
-        last line's block and head are kept from batch to batch.
+        last line of a batch is kept. Behind the lines of each block follows one
+        row with its last head.
         """
-        last_block, last_head = None, None
+        last = None  # the last line so far, as a batch of one row
+
+        def block_row(line: pa.RecordBatch) -> pa.RecordBatch:
+            """A line as the row of its block: same block, same heads, no text."""
+            for name, value in (("value", None), (mark, True)):
+                at = line.schema.get_field_index(name)
+                line = line.set_column(at, line.schema.field(at), pa.array([value], line.schema.field(at).type))
+            return line
+
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -38,71 +48,74 @@ def _carrier():
                 pc.not_equal(paths.slice(1), paths.slice(0, n - 1)),
                 pc.not_equal(starts.slice(1), starts.slice(0, n - 1)),
             )
-            continues = (paths[0].as_py(), starts[0].as_py()) == last_block
+            continues = last is not None and (paths[0], starts[0]) == (last.column("file_path")[0], last.column("block_start")[0])
             opens = pa.concat_arrays([pa.array([not continues]), changed])
-            filled = []
-            for i, name in enumerate(names):
+            for name in names:
                 head = batch.column(name)
                 head = pc.if_else(pc.and_(opens, pc.is_null(head)), unknown, head)
                 if continues and not head[0].is_valid:
-                    head = pa.concat_arrays([pa.array([last_head[i]], head.type), head.slice(1)])
-                filled.append(pc.fill_null_forward(head))
-            last_block = (paths[n - 1].as_py(), starts[n - 1].as_py())
-            last_head = [head[n - 1].as_py() for head in filled]
-            for name, head in zip(names, filled):
-                batch = batch.set_column(batch.schema.get_field_index(name), name, head)
-            yield batch
+                    above = pa.array([last.column(name)[0].as_py()], head.type)
+                    head = pa.concat_arrays([above, head.slice(1)])
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pc.fill_null_forward(head))
+            if last is not None and not continues:
+                yield block_row(last)
+            first = 0
+            for at in pc.indices_nonzero(changed).to_pylist():  # block ends inside the batch
+                yield batch.slice(first, at + 1 - first)
+                yield block_row(batch.slice(at, 1))
+                first = at + 1
+            yield batch.slice(first)
+            last = batch.slice(n - 1)
+        if last is not None:
+            yield block_row(last)
 
     return carry_down
 
 
-def _inherited_heads(lines: DataFrame) -> DataFrame:
-    """For each block that opens with continuation lines: the last head ahead of it."""
-    order = F.col("line_order")
-    is_head = F.col("entry_timestamp").isNotNull()
-    blocks = lines.groupBy(*BLOCK).agg(
-        F.max_by(F.struct(*HEAD), F.when(is_head, order)).alias("last_head"),
-        (F.coalesce(F.min(F.when(is_head, order)), F.lit(-1)) != F.min(order)).alias("opens_inside"),
-    )
-    # one row per block of a file
+def _inherited_heads(blocks: DataFrame) -> DataFrame:
+    """For each block of a file, the last head ahead of it (null where there is none)."""
+    own = F.when(F.col("entry_timestamp") != UNKNOWN, F.struct(*HEAD))
     ahead = (
         Window.partitionBy("file_path").orderBy("block_start")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        blocks.select(*BLOCK, "opens_inside", F.last("last_head", True).over(ahead).alias("inherited"))
-        .filter("opens_inside AND inherited IS NOT NULL").drop("opens_inside")
+    return blocks.select(
+        *BLOCK, F.last(own, True).over(ahead).alias("inherited"), F.lit(True).alias("is_known")
     )
 
 
-def attach_entries(blocks: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def attach_entries(blocks: DataFrame) -> DataFrame:
     """Give every line of a block scan the head line of its entry.
 
     A head is a line that starts with a time stamp. ``entry_timestamp`` and
     ``entry_level`` are those of the nearest head at or above a line in its
     file; both are null ahead of the first one.
 
-    The lines are not shuffled: heads are carried down inside the blocks as they
-    are read. The one thing that crosses blocks is a row for each block that
-    opens in the middle of an entry. These rows are counted, and broadcast up
-    to ``broadcast_rows``; beyond that the join shuffles.
+    The text is read once. Heads are carried down inside the blocks as they are read, and the lines
+    are written to the shared folder with one more row per block, which holds the block's last head.
+    All else works on what was written, so how files were cut, or whether a log has grown since, can't
+    make a difference. Only the lines at the start of a block that have no head in it are joined with
+    the heads of the blocks ahead; the other lines are not shuffled. A block without its row fails the query.
     """
     stamp = logtext.timestamp_text()
     lines = blocks.select(
         "*",
         F.nullif(stamp, F.lit("")).alias("entry_timestamp"),
         F.when(stamp != "", logtext.log_level()).alias("entry_level"),
+        F.lit(False).alias(IS_BLOCK),
     )
-    inherited = checkpointed(_inherited_heads(lines))
-    if inherited.count() <= broadcast_rows:
-        inherited = F.broadcast(inherited)
     marked = lines.select("*", F.col("entry_timestamp").isNull().alias("is_continuation"))
-    filled = marked.mapInArrow(_carrier(), marked.schema)
-    open_head = F.col("entry_timestamp") == UNKNOWN
-    return filled.join(inherited, list(BLOCK), "left").select(
-        *BLOCK, "line_order", "value", "is_continuation",
+    filled = written(marked.mapInArrow(_carrier(), marked.schema), "entries")
+    text = filled.filter(~F.col(IS_BLOCK))
+    is_open = F.col("entry_timestamp") == UNKNOWN
+    columns = [*BLOCK, "line_order", "value", "is_continuation"]
+    inherited = _inherited_heads(filled.filter(IS_BLOCK))
+    missing = F.raise_error(F.concat(F.lit("no row for a block of "), F.col("file_path")))
+    opened = text.filter(is_open).join(inherited, list(BLOCK), "left").select(
+        *columns,
         *[
-            F.when(open_head, F.col(f"inherited.{name}")).otherwise(F.col(name)).alias(name)
+            F.when(F.col("is_known"), F.col(f"inherited.{name}")).otherwise(missing.cast("string")).alias(name)
             for name in HEAD
         ],
     )
+    return text.filter(~is_open).select(*columns, *HEAD).unionByName(opened)

@@ -31,6 +31,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/waybill-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Compute a frame now, as Parquet in the shared folder, and read it back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that ``new_folder`` named, once its table is no longer needed.
+
+    Other paths are refused. True if it was there.
+    """
+    if not path.startswith(f"{_root(spark)}/waybill-"):
+        raise ValueError(f"{path} is not a folder for written tables")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute a frame now and keep it in the shared folder, free of its lineage."""
     context = df.sparkSession.sparkContext
