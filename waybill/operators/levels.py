@@ -6,7 +6,7 @@ totals, shares and the report are made from it. The other operators take lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import logtext
@@ -90,24 +90,59 @@ def lines_with_level(lines: DataFrame) -> DataFrame:
 
 
 def sample_log_entries(lines: DataFrame, n: int = 10) -> DataFrame:
-    """A repeatable sample of n lines with a level: the n smallest hashes.
-
-    It does not depend on how the lines are partitioned. Each task keeps its
-    own n best rows, without a full sort; levels are taken from the sample.
+    """A repeatable sample of n lines with a level, each line as likely as any other.
+
+    It does not depend on how the lines are partitioned, and equal lines of a file are lines of their
+    own. They share a digest, so lines are counted by digest first; that shuffles a short key and a
+    number, not the lines. The c copies behind a digest stand for c random numbers, of which only the n
+    smallest can matter: in order, they grow by exponential steps that shrink as copies are used up, each
+    step drawn from the digest and its number. The n smallest of all digests win, and a second pass
+    fetches their lines.
     """
+    digest = F.substring(F.md5(F.concat_ws("\n", "file_path", "value")), 1, 16)
+    digested = lines.filter(logtext.has_level()).select("file_path", "value", digest.alias("digest"))
+    counted = digested.groupBy("digest").agg(F.count("*").alias("copies"))
+
+    def step(i: Column) -> Column:
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("\n", "digest", i)), 1, 12), 16, 10).cast("double")
+        return -F.log((drawn + 1) / 2.0**48) / (F.col("copies") - i + 1)
+
+    def place(j: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), j), F.lit(0.0), lambda total, i: total + step(i))
+
+    firsts = F.sequence(F.lit(1), F.least(F.lit(n), "copies").cast("int"))
+    won = (
+        counted.select("digest", F.explode(F.transform(firsts, place)).alias("place"))
+        .orderBy("place", "digest").limit(n).groupBy("digest").agg(F.count("*").alias("taken"))
+    )
+    fetched = (
+        digested.join(F.broadcast(won), "digest")  # n rows
+        .groupBy("digest", "taken").agg(F.min(F.struct("file_path", "value")).alias("line"))
+    )
     return _entries(
-        lines.filter(logtext.has_level())
-        .orderBy(F.md5(F.concat("file_path", "value")), "file_path", "value").limit(n)
+        fetched.select("line.*", F.explode(F.sequence(F.lit(1).cast("bigint"), "taken")).alias("copy"))
     )
 
 
-def sample_random(lines: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
-    """A random sample of n lines with a level."""
-    return _entries(lines.filter(logtext.has_level()).orderBy(F.rand(seed)).limit(n))
+def sample_random(lines: DataFrame, n: int = 10, seed: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A random sample of n lines with a level, and the columns ``keep`` of them."""
+    return _entries(lines.filter(logtext.has_level()).orderBy(F.rand(seed)).limit(n), keep)
 
 
-def _entries(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("value").alias("log_entry"), logtext.log_level().alias("log_level"))
+def sample_check(lines: DataFrame, n: int = 10, seed: int = 1) -> DataFrame:
+    """What holds for a random sample of any seed: its rows, those that are lines of the table
+    with the level they have, and its distinct places in the table."""
+    sample = sample_random(lines.withColumn("line_id", F.monotonically_increasing_id()), n, seed, ("line_id",))
+    levels = lines.filter(logtext.has_level()).select(
+        F.col("value").alias("log_entry"), logtext.log_level().alias("log_level"), F.lit(1).alias("known")
+    )
+    wanted = F.broadcast(sample)  # n rows
+    hits = levels.join(wanted, ["log_entry", "log_level"]).groupBy("line_id").agg(F.max("known").alias("known"))
+    return hits.agg(F.count("*").alias("n_places"), F.sum("known").alias("n_known"))
+
+
+def _entries(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return lines.select(F.col("value").alias("log_entry"), logtext.log_level().alias("log_level"), *keep)
 
 
 def filter_error_lines(lines: DataFrame, word: str = "ERROR") -> DataFrame:
@@ -115,10 +150,11 @@ def filter_error_lines(lines: DataFrame, word: str = "ERROR") -> DataFrame:
     return lines.filter(logtext.contains_word(word))
 
 
+def component_counts(lines: DataFrame) -> DataFrame:
+    """Lines per component, with ``''`` for lines without one."""
+    return lines.select(logtext.component().alias("component")).groupBy("component").agg(F.count("*").alias("count"))
+
+
 def top_components(lines: DataFrame, n: int = 20) -> DataFrame:
-    """Components by number of lines."""
-    return (
-        lines.select(logtext.component().alias("component"))
-        .groupBy("component").agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "component").limit(n)
-    )
+    """The n components with most lines; ties go to the smaller name."""
+    return component_counts(lines).orderBy(F.desc("count"), "component").limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions import logtext, paths
-from waybill.operators.quantiles import exact_percentile
+from waybill.operators.quantiles import SECONDS, exact_percentile
 
 # Line formats.
 TASK = r"(?:Running|Finished) task \d+\.\d+ in stage (\d+\.\d+ \(TID \d+)\)"
@@ -23,15 +23,33 @@ SPLIT = r"Input split: (\S+):(\d+)\+(\d+)"
 BLOCK = r"Block (\S+) stored as \S+ in memory \(estimated size ([\d.]+) (\w+), free ([\d.]+) (\w+)\)"
 CAPACITY = r"MemoryStore started with capacity ([\d.]+) (\w+)"
 # Bytes per unit.
-UNIT_BYTES = {"B": 1, "KB": 2**10, "MB": 2**20, "GB": 2**30, "TB": 2**40}
+UNIT_BYTES = {"B": 1} | {
+    prefix + end: 2 ** (10 * i) for i, prefix in enumerate("KMGTPE", 1) for end in ("B", "iB")
+}
+CONTAINER = r"Container request \(host: (\S+), capability: <memory:(\d+), vCores:(\d+)>"
+FAILED = r"(?:Exception in|Lost) task (\d+)\.(\d+) in stage (\d+\.\d+) \(TID (\d+)"
+FOUND = r"Found block (\S+) (locally|remotely)"
 
 
 def _part(pattern: str, group: int) -> Column:
     return F.regexp_extract("value", pattern, group)
 
 
+def _matched(lines: DataFrame, word: str, pattern: str, *keep: Column | str) -> DataFrame:
+    """``file_path``, and ``m``: the part of a line that fits the pattern, for lines with a word.
+
+    The pattern is searched once per line. Groups are taken from the few characters of ``m``
+    afterwards; the filter is on the size of an array, which is not pushed below the search.
+    """
+    found = F.regexp_extract_all("value", F.lit(pattern), F.lit(0)).alias("_all")
+    return (
+        lines.filter(F.col("value").contains(word)).select("file_path", found, *keep)
+        .select("*", F.explode_outer(F.slice("_all", 1, 1)).alias("m")).drop("_all").filter("m IS NOT NULL")
+    )
+
+
 def _number(pattern: str, group: int) -> Column:
-    return _part(pattern, group).try_cast("bigint")
+    return F.regexp_extract("m", pattern, group).try_cast("bigint")
 
 
 def _app(df: DataFrame) -> DataFrame:
@@ -40,13 +58,13 @@ def _app(df: DataFrame) -> DataFrame:
 
 def resource_requests(lines: DataFrame) -> DataFrame:
     """Executors, cores and memory each application asked for."""
-    asked = lines.filter(F.col("value").contains("Will request")).select(
+    asked = _matched(lines, "Will request", REQUEST).select(
         "file_path",
         _number(REQUEST, 1).alias("executors"),
         _number(REQUEST, 2).alias("cores"),
         _number(REQUEST, 3).alias("memory_mb"),
         F.coalesce(_number(REQUEST, 4), F.lit(0)).alias("overhead_mb"),
-    ).filter("executors IS NOT NULL")
+    )
     return _app(asked).groupBy("application_id").agg(
         F.count("*").alias("n_requests"),
         F.sum("executors").alias("executors"),
@@ -117,7 +135,7 @@ def task_skew(lines: DataFrame) -> DataFrame:
     tasks = task_durations(lines).filter("duration_sec IS NOT NULL")
     keys = ["application_id", "stage"]
     longest = tasks.groupBy(*keys).agg(F.max("duration_sec").alias("max_sec"))
-    median = exact_percentile(tasks, keys, "duration_sec", "0.5", "median_sec")
+    median = exact_percentile(tasks, keys, "duration_sec", "0.5", "median_sec", SECONDS)
     return longest.join(median, keys).select(
         *keys, F.col("n_values").alias("n_tasks"), "max_sec", "median_sec",
         F.try_divide("max_sec", "median_sec").alias("skew"),
@@ -126,48 +144,88 @@ def task_skew(lines: DataFrame) -> DataFrame:
 
 def python_times(lines: DataFrame) -> DataFrame:
     """Python worker times in milliseconds, one row per line that reports them."""
-    return _app(lines.filter(F.col("value").contains("Times: total = ")).select(
+    return _app(_matched(lines, "Times: total = ", PYTHON).select(
         "file_path",
         _number(PYTHON, 1).alias("total_ms"),
         _number(PYTHON, 2).alias("boot_ms"),
         _number(PYTHON, 3).alias("init_ms"),
         _number(PYTHON, 4).alias("finish_ms"),
-    ).filter("total_ms IS NOT NULL"))
+    ))
 
 
 def input_bytes(lines: DataFrame) -> DataFrame:
     """Input splits and bytes read per application."""
-    splits = lines.filter(F.col("value").contains("Input split: ")).select(
-        "file_path", _number(SPLIT, 3).alias("bytes")
-    ).filter("bytes IS NOT NULL")
+    splits = _matched(lines, "Input split: ", SPLIT).select("file_path", _number(SPLIT, 3).alias("bytes"))
     return _app(splits).groupBy("application_id").agg(
         F.count("*").alias("n_splits"), F.sum("bytes").alias("input_bytes")
     )
 
 
-def _bytes(pattern: str, size: int, unit: int) -> Column:
+def _bytes(amount: Column, unit: Column) -> Column:
+    """Whole bytes of an amount with its unit; null where the unit is not known."""
     factors = F.create_map(*[F.lit(x) for kv in UNIT_BYTES.items() for x in kv])
-    amount = _part(pattern, size).try_cast("decimal(18,4)")
-    factor = F.try_element_at(factors, _part(pattern, unit)).cast("decimal(20,0)")
-    return F.round(amount * factor).cast("bigint")
+    return F.round(
+        amount.try_cast("decimal(18,4)") * F.try_element_at(factors, unit).cast("decimal(20,0)")
+    ).try_cast("bigint")
 
 
 def block_memory(lines: DataFrame) -> DataFrame:
-    """Blocks stored in memory, their bytes, and the largest store capacity per application.
+    """Per application: blocks stored in memory, their bytes, the least memory that was free after one,
+    the largest store capacity, and how many of these lines have an amount that can't be read.
 
     Amounts are decimals, so sums do not depend on the order of rows.
     """
-    memory = lines.filter(
-        F.col("value").contains(" in memory (") | F.col("value").contains("MemoryStore started")
-    ).select(
-        "file_path",
-        _bytes(BLOCK, 2, 3).alias("stored"),
-        _bytes(CAPACITY, 1, 2).alias("capacity"),
-    ).filter("stored IS NOT NULL OR capacity IS NOT NULL")
+    def amounts(word: str, pattern: str, *groups: int) -> DataFrame:
+        part = lambda i: F.regexp_extract("m", pattern, i)
+        return _matched(lines, word, pattern).select("file_path", *[_bytes(part(i), part(i + 1)).alias(f"b{i}") for i in groups])
+
+    none = F.lit(None).cast("bigint")
+    memory = amounts(" in memory (", BLOCK, 2, 4).select(
+        "file_path", F.lit(1).alias("block"), F.col("b2").alias("stored"), F.col("b4").alias("free"), none.alias("capacity")
+    ).unionByName(amounts("MemoryStore started", CAPACITY, 1).select(
+        "file_path", F.lit(0).alias("block"), none.alias("stored"), none.alias("free"), F.col("b1").alias("capacity")
+    ))
+    unread = F.when(F.col("block") == 1, F.col("stored").isNull() | F.col("free").isNull()).otherwise(F.col("capacity").isNull())
     return _app(memory).groupBy("application_id").agg(
-        F.count("stored").alias("n_blocks"),
+        F.sum("block").alias("n_blocks"),
         F.sum("stored").alias("stored_bytes"),
+        F.min("free").alias("min_free_bytes"),
         F.max("capacity").alias("max_capacity_bytes"),
+        F.count_if(unread).alias("n_unread"),
+    )
+
+
+def cache_use(lines: DataFrame) -> DataFrame:
+    """Cached blocks found, here and on other nodes, per application."""
+    found = _matched(lines, "Found block ", FOUND).select(
+        "file_path", F.regexp_extract("m", FOUND, 1).alias("block"), F.regexp_extract("m", FOUND, 2).alias("place")
+    )
+    return _app(found).groupBy("application_id").agg(
+        F.count_if(F.col("place") == "locally").alias("n_local"),
+        F.count_if(F.col("place") == "remotely").alias("n_remote"),
+        F.count_distinct("block").alias("n_blocks"),
+    )
+
+
+def container_requests(lines: DataFrame) -> DataFrame:
+    """Containers asked for, per application, host and capability."""
+    asked = _matched(lines, "Container request ", CONTAINER).select(
+        "file_path", F.regexp_extract("m", CONTAINER, 1).alias("host"),
+        _number(CONTAINER, 2).alias("memory_mb"), _number(CONTAINER, 3).alias("v_cores"),
+    )
+    return _app(asked).groupBy("application_id", "host", "memory_mb", "v_cores").agg(F.count("*").alias("n_containers"))
+
+
+def failed_tasks(lines: DataFrame) -> DataFrame:
+    """Failed attempts of every task that failed: first and last attempt and time, and how many."""
+    failed = _matched(lines, " task ", FAILED, logtext.event_time().alias("at")).select(
+        "file_path", "at", _number(FAILED, 1).alias("task"), _number(FAILED, 2).alias("attempt"),
+        F.regexp_extract("m", FAILED, 3).alias("stage"), _number(FAILED, 4).alias("tid"),
+    )
+    return _app(failed).groupBy("application_id", "stage", "task").agg(
+        F.count_distinct("attempt", "tid").alias("n_failures"),
+        F.min("attempt").alias("first_attempt"), F.max("attempt").alias("last_attempt"),
+        F.min("at").alias("first_failed_at"), F.max("at").alias("last_failed_at"),
     )
 
 

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 STAMPS = "yyyy-MM-dd HH:mm:ss"
+# Quotes are doubled and blanks kept, as other CSV readers expect; Spark's defaults do neither.
+CSV = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": STAMPS, "timestampNTZFormat": STAMPS,
+}
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header, in parallel part files.
+    """CSV with a header, in parallel part files. Text comes back as it was, also to other readers.
 
+    Null is written as an unquoted empty field, an empty string as a quoted one.
     ``one_file`` is for sorted or limited results of known small size: it joins
     the parts of the last stage in their order.
     """
     if one_file:
         df = df.coalesce(1)
-    stamps = {"timestampFormat": STAMPS, "timestampNTZFormat": STAMPS}
-    df.write.mode("overwrite").options(header=True, **stamps).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

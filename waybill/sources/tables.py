@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.sources.sinks import STAMPS
+from waybill.sources.sinks import CSV
 
 
 def scan_parquet_many(spark: SparkSession, paths: Sequence[str], base: str | None = None) -> DataFrame:
@@ -34,13 +36,14 @@ def scan_month_range(spark: SparkSession, root: str, year: int, months: Iterable
     return scan_parquet_many(spark, month_paths(root, year, months), root)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header and a declared schema, so ids keep their leading zeros.
 
-    A quoted empty field is an empty string, an unquoted one is null.
+    A quoted empty field is an empty string, an unquoted one is null. Text that may hold line breaks
+    needs ``multi_line``, which reads each file in one task.
     """
-    stamps = {"timestampFormat": STAMPS, "timestampNTZFormat": STAMPS}
-    return spark.read.schema(schema).options(header=True, nullValue=r"\N", **stamps).csv(path)
+    # no text is taken for null
+    return spark.read.schema(schema).options(multiLine=multi_line, nullValue="\0", **CSV).csv(path)
 
 
 def number_range(spark: SparkSession, n: int) -> DataFrame:
@@ -48,16 +51,28 @@ def number_range(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
 
+def numbers_between(bounds: DataFrame) -> DataFrame:
+    """``id``: the whole numbers from ``low`` to ``high`` of each row, both included."""
+    return bounds.select(F.explode(F.sequence("low", "high")).alias("id"))
+
+
 def even_doubled(df: DataFrame, column: str) -> DataFrame:
     """Twice every even value of a column."""
     c = F.col(column)
     return df.filter(c % 2 == 0).select((c * 2).alias("doubled"))
 
 
-def count_by_sql(df: DataFrame, view: str) -> DataFrame:
-    """Register a view and count it with SQL text."""
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql("SELECT count(*) AS total FROM IDENTIFIER(:view)", args={"view": view})
+def count_by_sql(df: DataFrame) -> DataFrame:
+    """Register a view, under a name of its own, and count it with SQL text.
+
+    The plan is resolved at once, so the view is dropped again.
+    """
+    view = f"counted_{uuid.uuid4().hex}"
+    df.createTempView(view)
+    try:
+        return df.sparkSession.sql("SELECT count(*) AS total FROM IDENTIFIER(:view)", args={"view": view})
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -95,7 +110,7 @@ def source_health(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for name, path in paths.items():
         try:
             df = spark.read.parquet(path)
-        except Exception as e:  # whatever the file system or the format reports
+        except (PySparkException, Py4JJavaError, OSError) as e:  # what Spark or the file system reports
             condition = e.getCondition() if isinstance(e, PySparkException) else None
             bad = "source string, ok boolean, n_rows bigint, n_columns int, error_class string"
             checks.append(
