@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.operators.quantiles import exact_percentile
+from waybill.operators.quantiles import exact_percentile, log_cell
 
 
 @dataclass(frozen=True)
@@ -63,37 +64,69 @@ def newest_first(daily: DataFrame) -> DataFrame:
     return daily.orderBy(F.desc("dt_year"), F.desc("dt_month"), F.desc("dt_day"))
 
 
+def _upper_percentile(cells: DataFrame, p: str, name: str) -> DataFrame:
+    """Add ``name`` to the cells of a day: the top of the cell that holds the percentile, else null.
+
+    ``_cell`` orders a day's cells, which have ``_n`` values up to ``_top`` each.
+    """
+    day = Window.partitionBy("_day")
+    total = F.sum("_n").over(day)
+    upto = F.sum("_n").over(day.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.ceil(total.cast("decimal(20,0)") * F.lit(Decimal(p)))
+    return cells.withColumn("_reached", upto >= rank).withColumn(name, F.when(F.col("_reached"), F.col("_top")))
+
+
 def daily_summary(
-    trips: DataFrame, year: int | None = None, cols: TripColumns = TripColumns(), accuracy: int = 10000
+    trips: DataFrame, year: int | None = None, cols: TripColumns = TripColumns(), steps: float = 1e7
 ) -> DataFrame:
     """Trips, mean distance, highest tax, 95th percentile of fares, lowest tip and
     mean passengers (rounded up) of every day of a year; all days without one.
 
-    Days are grouped by date, and the parts are taken from the few results.
+    Trips are first reduced to one row per day and fare, by a plain hash aggregate: fares are few. The
+    percentile comes from the counts. Fares that differ by less than one in ``steps`` count as
+    equal to the highest of them, which bounds the fares of a day.
     """
-    days = _by_day(trips, cols.pickup, year).groupBy("_day").agg(
-        F.count("*").alias("num_trips"),
-        F.avg(cols.distance).alias("mean_trip_distance"),
-        F.max(cols.tax).alias("max_mta_tax"),
-        F.percentile_approx(cols.fare, 0.95, accuracy).alias("q95_fare_amount"),
-        F.min(cols.tip).alias("min_tip_amount"),
-        F.ceil(F.avg(cols.passengers)).alias("mean_passenger_count"),
+    by_fare = _by_day(trips, cols.pickup, year).groupBy("_day", log_cell(steps)(F.col(cols.fare)).alias("_cell")).agg(
+        F.count("*").alias("trips"), F.count(cols.fare).alias("_n"), F.max(cols.fare).alias("_top"),
+        F.sum(cols.distance).alias("distance"), F.count(cols.distance).alias("n_distance"),
+        F.max(cols.tax).alias("tax"), F.min(cols.tip).alias("tip"),
+        F.sum(cols.passengers).alias("passengers"), F.count(cols.passengers).alias("n_passengers"),
+    )
+    days = _upper_percentile(by_fare, "0.95", "q95").groupBy("_day").agg(
+        F.sum("trips").alias("num_trips"),
+        F.try_divide(F.sum("distance"), F.sum("n_distance")).alias("mean_trip_distance"),
+        F.max("tax").alias("max_mta_tax"),
+        F.min("q95").alias("q95_fare_amount"),
+        F.min("tip").alias("min_tip_amount"),
+        F.ceil(F.try_divide(F.sum("passengers"), F.sum("n_passengers"))).alias("mean_passenger_count"),
     )
     return days.select(*_day_parts(), *[c for c in days.columns if c != "_day"])
 
 
+def newest_days(trips: DataFrame, n: int, cols: TripColumns = TripColumns()) -> DataFrame:
+    """The trips of the n newest days; only the times are read to find these."""
+    days = (
+        trips.select(F.to_date(cols.pickup).alias("_newest")).filter("_newest IS NOT NULL").distinct()
+        .orderBy(F.desc("_newest")).limit(n)
+    )
+    # n rows
+    return trips.join(F.broadcast(days), F.to_date(cols.pickup) == F.col("_newest"), "left_semi")
+
+
 def daily_latest(daily: DataFrame, n: int = 20) -> DataFrame:
     """The n newest days."""
     return newest_first(daily).limit(n)
 
 
 def daily_p95_approx(
-    df: DataFrame, time: str, value: str, year: int | None = None, accuracy: int = 10000
+    df: DataFrame, time: str, value: str, year: int | None = None, steps: float = 1e7
 ) -> DataFrame:
-    """Approximate 95th percentile per day, with a fixed-size sketch per day."""
+    """95th percentile per day; values that differ by less than one in ``steps`` count as the highest of them."""
+    cells = _by_day(df, time, year).groupBy("_day", log_cell(steps)(F.col(value)).alias("_cell")).agg(
+        F.count(value).alias("_n"), F.max(value).alias("_top")
+    )
     return (
-        _by_day(df, time, year).groupBy("_day")
-        .agg(F.percentile_approx(value, 0.95, accuracy).alias("q95"))
+        _upper_percentile(cells, "0.95", "q95").groupBy("_day").agg(F.min("q95").alias("q95"))
         .select(*_day_parts(), "q95")
     )
 

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Cells = Sequence[Callable[[Column], Column]]
+
+
+def log_cell(steps: float) -> Callable[[Column], Column]:
+    """Numbers to cells whose width is a ``steps``-th of a factor e (of 1, near zero); never decreasing."""
+    return lambda v: F.rint(F.signum(v.cast("double")) * F.log1p(F.abs(v.cast("double"))) * steps)
+
+
+def span_cell(width: int) -> Callable[[Column], Column]:
+    """Whole numbers to cells of ``width`` numbers."""
+    return lambda v: F.floor(v / width)
+
+
+# A double lies in one of some 1.5 million cells, then in one of some 10,000 of it,
+# then among the few million doubles that are equal to seven digits.
+ANY_NUMBER: Cells = (log_cell(1e3), log_cell(1e7))
+DAY = 86400
+SECONDS: Cells = (span_cell(DAY),)
+
 
 def exact_percentile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: str,
-    name: str,
-    piece: int = 1_000_000,
-    salts: int = 16,
+    df: DataFrame, keys: Sequence[str], value: str, p: str, name: str, cells: Cells = ANY_NUMBER
 ) -> DataFrame:
     """Per group, the smallest value with at least ``p`` of the values at or below it.
 
-    This is ``percentile_disc`` without its one hash map per group. Equal
-    values are counted first. About one in ``piece`` distinct values, picked by
-    hash, is a cut point, so small groups have none and a large group falls into
-    pieces of about that size. Exact counts of the pieces tell which of them
-    holds the wanted rank, and only that piece is ordered. The cut points decide
-    how even the work is, never the result.
+    This is ``percentile_disc`` without its one hash map per group. Equal values are counted first. Then
+    the range of values is cut into cells, coarse ones first: the counts of a group's cells tell which
+    holds the wanted rank, and only that cell is looked into. What is ordered in one task is the cells of a
+    group, whose number the kind of value bounds, and the distinct values of one finest cell. A
+    hot group is spread over its values in all other steps.
 
     Gives the keys (which must not be null), ``name`` and ``n_values``. ``p`` is
     decimal text, so that rank arithmetic is exact.
@@ -35,41 +47,29 @@ def exact_percentile(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     )
-    # The hash reads _n as well: a condition on _v alone would be pushed below the
-    # count, and the two uses of ``counted`` would no longer share one scan.
-    cuts = (
-        counted.filter(F.pmod(F.hash("_v", "_n"), F.lit(piece)) == 0)
-        .groupBy(*keys).agg(F.collect_list("_v").alias("_cuts"))
-        .select(*keys, "_cuts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    )
-    placed = (
-        counted.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(salts)))
-        .join(cuts, [*keys, "_salt"], "left")
-        .select(
-            *keys, "_v", "_n",
-            F.coalesce(
-                F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)
-            ).alias("_piece"),
-        )
-    )
     group = Window.partitionBy(*keys)
-    upto = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = (
-        placed.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_in_piece"))
-        .select(
-            *keys, "_piece",
-            F.sum("_in_piece").over(group).alias("n_values"),
-            (F.sum("_in_piece").over(upto) - F.col("_in_piece")).alias("_before"),
-            F.sum("_in_piece").over(upto).alias("_after"),
+    inside = counted
+    for level, cell in enumerate(cells):
+        # The cell reads _n as well: a condition on _v alone would be pushed below the count, and
+        # the uses of ``counted`` would no longer share one scan.
+        placed = inside.withColumn("_cell", F.when(F.col("_n") > 0, cell(F.col("_v"))))
+        known = [] if level == 0 else ["n_values", "_rank", "_before"]
+        sums = placed.groupBy(*keys, "_cell", *known).agg(F.sum("_n").alias("_in_cell"))
+        upto = F.sum("_in_cell").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        if level == 0:
+            total = F.sum("_in_cell").over(group)
+            sums = sums.withColumns({
+                "n_values": total, "_rank": F.ceil(total.cast("decimal(20,0)") * F.lit(Decimal(p))), "_before": F.lit(0),
+            })
+        wanted = (
+            sums.withColumn("_upto", F.col("_before") + upto)
+            .filter("_upto >= _rank AND _upto - _in_cell < _rank")
+            .select(*keys, "_cell", "n_values", "_rank", (F.col("_upto") - F.col("_in_cell")).alias("_before"))
         )
-        .withColumn("_rank", F.ceil(F.col("n_values").cast("decimal(20,0)") * F.lit(Decimal(p))))
-        .filter("_before < _rank AND _rank <= _after")
-        .select(*keys, "_piece", "_before", "_rank", "n_values")
-    )
+        inside = placed.drop(*known).join(wanted, [*keys, "_cell"]).drop("_cell")
     along = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(wanted, [*keys, "_piece"])
-        .withColumn("_seen", F.col("_before") + F.sum("_n").over(along))
+        inside.withColumn("_seen", F.col("_before") + F.sum("_n").over(along))
         .filter("_seen >= _rank")
         .groupBy(*keys)
         .agg(F.min("_v").alias(name), F.first("n_values").alias("n_values"))

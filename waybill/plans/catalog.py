@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ TRIPS = daily.TripColumns(
     fare="l_extendedprice", tip="l_discount", passengers="l_linenumber",
 )
 YEAR = 1996
+OUTLIERS = 1.05  # times the median
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +46,26 @@ def _on_timeline(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_lines(lambda lines: operator(usage.app_timeline(lines)))
 
 
-def _on_durations(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    """Operators on the durations of the largest cluster."""
-    return _on_timeline(lambda t: operator(distribution.largest_cluster_durations(t)))
+def _on_durations(operator: Callable[[DataFrame], DataFrame], largest: bool = True) -> Query:
+    """Operators on the durations of the largest cluster, or of all.
+
+    The durations, a row per application, are written once: the operators use them
+    several times, and the lines are read for that no more than once.
+    """
+    spans = distribution.largest_cluster_durations if largest else distribution.app_durations
+    return _on_timeline(lambda t: operator(scratch.written(spans(t), "durations")))
+
+
+@contextmanager
+def _small_blocks(spark: SparkSession, size: str) -> Iterator[None]:
+    """Scans that run inside cut files into blocks of this size."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -95,8 +114,14 @@ def scan_month_range(spark, sf_dir):
 
 
 def range_source(spark, sf_dir):
-    # the row count comes from the file footers
-    return tables.number_range(spark, _table(spark, sf_dir, "orders").count())
+    """Orders of every day from the first to the last, days without any included."""
+    days = _table(spark, sf_dir, "orders").groupBy(F.unix_date(F.to_date("o_orderdate")).alias("id")).agg(
+        F.count("*").alias("n")
+    )
+    calendar = tables.numbers_between(days.agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    return calendar.join(days, "id", "left").select(
+        F.date_from_unix_date("id").alias("order_day"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_orders")
+    )
 
 
 def range_even_double(spark, sf_dir):
@@ -104,7 +129,7 @@ def range_even_double(spark, sf_dir):
 
 
 def sql_count(spark, sf_dir):
-    return tables.count_by_sql(_table(spark, sf_dir, "orders"), "orders_view")
+    return tables.count_by_sql(_table(spark, sf_dir, "orders"))
 
 
 def source_health(spark, sf_dir):
@@ -124,14 +149,18 @@ def schema_rows(spark, sf_dir):
 # written results
 
 def csv_round_trip(spark, sf_dir):
-    folder = scratch.new_folder(spark, "timeline")
-    sinks.write_csv(usage.app_timeline(log_lines(spark, sf_dir)), folder)
-    return tables.scan_csv(spark, folder, TIMELINE)
+    """Log lines, and the lines again with quotes, commas, a tab and a final backslash, through CSV."""
+    folder = scratch.new_folder(spark, "lines")
+    noted = F.concat(F.lit(' "'), "value", F.lit('",\tsaid it, '), "file_path", F.lit("\\"))
+    sinks.write_csv(log_lines(spark, sf_dir).select("value", noted.alias("noted")), folder)
+    return tables.scan_csv(spark, folder, "value string, noted string")
 
 
 def reload_saved_results(spark, sf_dir):
     """Redraw from saved tables: the bars come from the CSV, not from the logs."""
-    return usage.apps_per_cluster_bars(csv_round_trip(spark, sf_dir))
+    folder = scratch.new_folder(spark, "timeline")
+    sinks.write_csv(usage.app_timeline(log_lines(spark, sf_dir)), folder)
+    return usage.apps_per_cluster_bars(tables.scan_csv(spark, folder, TIMELINE))
 
 
 # trips
@@ -152,8 +181,8 @@ def daily_summary(spark, sf_dir, year=YEAR):
 
 
 def daily_latest(spark, sf_dir):
-    days = daily.daily_summary(_table(spark, sf_dir, "lineitem"), None, TRIPS)
-    return _rounded(daily.daily_latest(days), 6, "mean_trip_distance")
+    trips = daily.newest_days(_table(spark, sf_dir, "lineitem"), 20, TRIPS)
+    return _rounded(daily.daily_latest(daily.daily_summary(trips, None, TRIPS)), 6, "mean_trip_distance")
 
 
 def daily_p95_approx(spark, sf_dir):
@@ -169,14 +198,20 @@ def daily_rollup_totals(spark, sf_dir):
 
 
 def report_daily(spark, sf_dir):
-    return reports.report_daily(daily.daily_summary(_table(spark, sf_dir, "lineitem"), None, TRIPS))
+    trips = daily.newest_days(_table(spark, sf_dir, "lineitem"), 5, TRIPS)
+    return reports.report_daily(daily.daily_summary(trips, None, TRIPS))
 
 
 # entries
 
 def multiline_entries(spark, sf_dir):
-    """Every line of a written tree with the head of its entry."""
-    lines = entries.attach_entries(text.scan_log_blocks(spark, log_tree(spark, sf_dir)))
+    """Every line of a written tree with the head of its entry.
+
+    The tree has few files, and they are cut into small blocks, so many blocks open inside an entry.
+    """
+    root = log_tree(spark, sf_dir, 2)
+    with _small_blocks(spark, "16k"):
+        lines = entries.attach_entries(text.scan_log_blocks(spark, root))
     return (
         lines.select(
             paths.container_id().alias("container_id"),
@@ -222,7 +257,8 @@ QUERIES: dict[str, Query] = {
     "level_counts_complete": _on_levels(levels.level_counts_complete),
     "level_token_counts": _on_lines(levels.level_token_counts),
     "sample_log_entries": _on_lines(levels.sample_log_entries),
-    "sample_random": _on_lines(levels.sample_random),
+    "sample_random": _on_lines(levels.sample_check),
+    "component_counts": _on_lines(levels.component_counts),
     "top_components": _on_lines(levels.top_components),
     "report_log_levels": _on_levels(reports.report_log_levels),
     # usage
@@ -252,8 +288,16 @@ QUERIES: dict[str, Query] = {
         lambda d: _rounded(distribution.app_duration_stats(d), 6, "mean_sec", "stddev_sec")
     ),
     "duration_cdf": _on_durations(distribution.duration_cdf),
-    "duration_outliers": _on_timeline(
-        lambda t: distribution.duration_outliers(distribution.app_durations(t))
+    # the longest demo application takes three days, the median two at least
+    "duration_outliers": _on_durations(lambda d: distribution.duration_outliers(d, OUTLIERS), largest=False),
+    "duration_histogram_by_cluster": _on_durations(
+        lambda d: distribution.duration_histogram(d, by=["cluster_id"]), largest=False
+    ),
+    "duration_density_by_cluster": _on_durations(
+        lambda d: _rounded(distribution.duration_density(d, by=["cluster_id"]), 12, "density"), largest=False
+    ),
+    "duration_cdf_by_cluster": _on_durations(
+        lambda d: distribution.duration_cdf(d, by=["cluster_id"]), largest=False
     ),
     # tasks
     "resource_requests": _on_lines(tasks.resource_requests),
@@ -264,6 +308,9 @@ QUERIES: dict[str, Query] = {
     "python_times": _on_lines(tasks.python_times),
     "input_bytes": _on_lines(tasks.input_bytes),
     "block_memory": _on_lines(tasks.block_memory),
+    "cache_use": _on_lines(tasks.cache_use),
+    "container_requests": _on_lines(tasks.container_requests),
+    "failed_tasks": _on_lines(tasks.failed_tasks),
     "failures_by_app": _on_lines(tasks.failures_by_app),
     # trips
     "filter_year": filter_year,

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from waybill.sources.scratch import new_folder
 
 TREE_APPS = 40  # applications in a written tree, which bounds its number of folders
-_trees: dict[tuple[str, str], str] = {}
+_trees: dict[tuple[str, str, int], str] = {}
 
 
 # The lines an event writes, by its type. e: event id, s: whole seconds of its
 # value, t and t_end: its time, and its time s seconds later.
 _TASK = "'task ' || e % 8 || '.0 in stage ' || e % 5 || '.0 (TID ' || e || ')'"
+_ATTEMPT = "'task ' || e % 8 || '.' || e % 3 || ' in stage ' || e % 5 || '.0 (TID ' || e"
 _LINES = {
     "view": f"""
         t || ' INFO executor.Executor: Running ' || {_TASK},
@@ -28,21 +29,28 @@ _LINES = {
         t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
             || '.txt:' || e * 1000 || '+' || (s * 1024 + e),
         t || ' INFO python.PythonRunner: Times: total = ' || (s + e % 50) || ', boot = '
-            || (e % 300 - 150) || ', init = ' || e % 40 || ', finish = ' || s""",
+            || (e % 300 - 150) || ', init = ' || e % 40 || ', finish = ' || s,
+        if(e % 2 = 0, t || ' INFO storage.BlockManager: Found block rdd_' || e % 20 || '_' || e % 4
+            || if(e % 3 = 0, ' remotely', ' locally'), NULL)""",
     "purchase": """
         t || ' INFO storage.MemoryStore: Block broadcast_' || e
-            || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10 || ' KB, free '
-            || e % 500 || '.5 MB)',
+            || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10
+            || if(e % 13 = 0, ' XB', elt(e % 3 + 1, ' KB', ' KiB', ' B')) || ', free '
+            || e % 500 || '.5 ' || if(e % 2 = 0, 'MB', 'MiB') || ')',
         if(e % 3 = 0, t || ' INFO storage.MemoryStore: MemoryStore started with capacity '
-            || (e % 7 + 1) || '.5 GB', NULL)""",
+            || (e % 7 + 1) || '.5 ' || if(e % 2 = 0, 'GB', 'GiB'), NULL)""",
     "signup": """
         t || ' INFO YarnAllocator: Will request ' || (e % 16 + 1) || ' executor containers, each with '
             || (e % 5 + 1) || ' cores and ' || (e % 8 + 1) * 1024 || ' MB memory including '
             || (e % 8 + 1) * 128 || ' MB overhead',
+        if(e % 3 = 0, t || ' INFO YarnAllocator: Container request (host: Any, capability: <memory:'
+            || (e % 8 + 1) * 1152 || ', vCores:' || (e % 5 + 1) || '>)', NULL),
         if(e % 4 = 0, t || ' WARN YarnAllocator no colon here', NULL),
         if(e % 6 = 1, '17/13/45 10:04:42 WARN a.B: bad date', NULL)""",
     "error": f"""
-        t || ' ERROR executor.Executor: Exception in ' || {_TASK},
+        if(e % 4 = 0, t || ' WARN scheduler.TaskSetManager: Lost ' || {_ATTEMPT}
+            || ', node-' || e % 6 || ', executor ' || e % 9 || '): reset', NULL),
+        t || ' ERROR executor.Executor: Exception in ' || {_ATTEMPT} || ')',
         '\tat org.foo.INFORMATION(App.scala:' || e % 90 || ')',
         if(e % 5 = 0, '', NULL),
         if(e % 7 = 0, t || ' TERRORIZE x', NULL)""",
@@ -88,18 +96,18 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter("value IS NOT NULL")
 
 
-def log_tree(spark: SparkSession, sf_dir: str) -> str:
+def log_tree(spark: SparkSession, sf_dir: str, apps: int = TREE_APPS) -> str:
     """Write the lines as a tree of text files, once per Spark application; its root.
 
     An entry is written as one value with line breaks inside, so its lines stay
     together and in order. The rebalance gives each folder few files, and cuts
     a folder that holds much of the data into files of the advisory size.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, apps)
     if key not in _trees:
         root = new_folder(spark, "logs")
         (
-            log_entries(spark, sf_dir, TREE_APPS)
+            log_entries(spark, sf_dir, apps)
             .select(F.array_join("texts", "\n").alias("value"), "app", "container")
             .hint("rebalance", "app", "container")
             .write.partitionBy("app", "container").text(root)

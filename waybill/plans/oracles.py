@@ -12,6 +12,7 @@ ORACLES: dict[str, str] = {}
 def _lines(app: str) -> str:
     """CTEs up to ``lines(file_path, container, value, e, head, level)``."""
     task = "'task ' || e % 8 || '.0 in stage ' || e % 5 || '.0 (TID ' || e || ')'"
+    attempt = "'task ' || e % 8 || '.' || e % 3 || ' in stage ' || e % 5 || '.0 (TID ' || e"
     return rf"""
     ev AS (
       SELECT event_id AS e, CAST(floor(value) AS BIGINT) AS s, event_type AS k,
@@ -41,22 +42,33 @@ def _lines(app: str) -> str:
       SELECT *, t || ' INFO python.PythonRunner: Times: total = ' || s + e % 50 || ', boot = '
         || e % 300 - 150 || ', init = ' || e % 40 || ', finish = ' || s FROM placed WHERE k = 'click'
       UNION ALL
+      SELECT *, t || ' INFO storage.BlockManager: Found block rdd_' || e % 20 || '_' || e % 4
+        || CASE WHEN e % 3 = 0 THEN ' remotely' ELSE ' locally' END FROM placed WHERE k = 'click' AND e % 2 = 0
+      UNION ALL
       SELECT *, t || ' INFO storage.MemoryStore: Block broadcast_' || e
-        || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10 || ' KB, free '
-        || e % 500 || '.5 MB)' FROM placed WHERE k = 'purchase'
+        || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10
+        || CASE WHEN e % 13 = 0 THEN ' XB' WHEN e % 3 = 0 THEN ' KB' WHEN e % 3 = 1 THEN ' KiB' ELSE ' B' END
+        || ', free ' || e % 500 || '.5 ' || CASE WHEN e % 2 = 0 THEN 'MB' ELSE 'MiB' END || ')'
+      FROM placed WHERE k = 'purchase'
       UNION ALL
       SELECT *, t || ' INFO storage.MemoryStore: MemoryStore started with capacity ' || e % 7 + 1
-        || '.5 GB' FROM placed WHERE k = 'purchase' AND e % 3 = 0
+        || '.5 ' || CASE WHEN e % 2 = 0 THEN 'GB' ELSE 'GiB' END FROM placed WHERE k = 'purchase' AND e % 3 = 0
       UNION ALL
       SELECT *, t || ' INFO YarnAllocator: Will request ' || e % 16 + 1
         || ' executor containers, each with ' || e % 5 + 1 || ' cores and ' || (e % 8 + 1) * 1024
         || ' MB memory including ' || (e % 8 + 1) * 128 || ' MB overhead' FROM placed WHERE k = 'signup'
       UNION ALL
+      SELECT *, t || ' INFO YarnAllocator: Container request (host: Any, capability: <memory:'
+        || (e % 8 + 1) * 1152 || ', vCores:' || e % 5 + 1 || '>)' FROM placed WHERE k = 'signup' AND e % 3 = 0
+      UNION ALL
       SELECT *, t || ' WARN YarnAllocator no colon here' FROM placed WHERE k = 'signup' AND e % 4 = 0
       UNION ALL
       SELECT *, '17/13/45 10:04:42 WARN a.B: bad date' FROM placed WHERE k = 'signup' AND e % 6 = 1
       UNION ALL
-      SELECT *, t || ' ERROR executor.Executor: Exception in ' || {task} FROM placed WHERE k = 'error'
+      SELECT *, t || ' WARN scheduler.TaskSetManager: Lost ' || {attempt}
+        || ', node-' || e % 6 || ', executor ' || e % 9 || '): reset' FROM placed WHERE k = 'error' AND e % 4 = 0
+      UNION ALL
+      SELECT *, t || ' ERROR executor.Executor: Exception in ' || {attempt} || ')' FROM placed WHERE k = 'error'
       UNION ALL
       SELECT *, chr(9) || 'at org.foo.INFORMATION(App.scala:' || e % 90 || ')' FROM placed WHERE k = 'error'
       UNION ALL
@@ -82,6 +94,7 @@ def _lines(app: str) -> str:
 APP = "user_id * 10 + (day(ts) - 1) // 3"
 LINES = _lines(APP)
 TREE = _lines(f"({APP}) % 40")
+FEW_FILES = _lines(f"({APP}) % 2")
 TIMELINE = LINES + """,
     timeline AS (
       SELECT cluster_id, application_id, app_number, min(at_time) AS start_time, max(at_time) AS end_time
@@ -125,6 +138,9 @@ _add(
     scan_log_tree="SELECT value FROM lines",
     scan_log_glob="SELECT value FROM lines WHERE app <> 'gateway'",
     file_path_column="SELECT application_id, container_id, count(*) AS n_lines FROM parsed GROUP BY 1, 2",
+)
+_add(
+    FEW_FILES,
     # k and t belong to the event, so a continuation line's head is known without line order;
     # a signup may hold a second head with an impossible date, which has no lines below it
     multiline_entries=r"""
@@ -146,7 +162,10 @@ _add(
     scan_month_range="""
       SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS yyyy
       FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) <= 6""",
-    range_source="SELECT range AS id FROM range((SELECT count(*) FROM orders))",
+    range_source="""
+      SELECT CAST(d AS DATE) AS order_day, count(o_orderkey) AS n_orders
+      FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders)
+      LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY 1""",
     range_even_double="SELECT o_orderkey * 2 AS doubled FROM orders WHERE o_orderkey % 2 = 0",
     sql_count="SELECT count(*) AS total FROM orders",
     source_health="""
@@ -213,8 +232,16 @@ _add(
         SELECT unnest(regexp_extract_all(value, '(INFO|WARN|ERROR|DEBUG)', 1)) AS token FROM parsed)
       GROUP BY 1""",
     sample_log_entries="""
-      SELECT value AS log_entry, log_level FROM parsed WHERE log_level <> ''
-      ORDER BY md5(file_path || value), file_path, value LIMIT 10""",
+      , c AS (SELECT left(md5(file_path || chr(10) || value), 16) AS digest, count(*) AS copies,
+          min(value) AS value, min(log_level) AS log_level FROM parsed WHERE log_level <> '' GROUP BY 1),
+      n AS (SELECT digest, copies, unnest(range(1, least(10, copies) + 1)) AS i FROM c),
+      p AS (SELECT digest, sum(-ln((CAST('0x' || left(md5(digest || chr(10) || i), 12) AS BIGINT) + 1)::DOUBLE
+          / 281474976710656::DOUBLE) / (copies - i + 1)) OVER (PARTITION BY digest ORDER BY i) AS place FROM n),
+      best AS (SELECT digest FROM p ORDER BY place, digest LIMIT 10)
+      SELECT value AS log_entry, log_level FROM best JOIN c USING (digest)""",
+    sample_random="""
+      SELECT least(10, count(*)) AS n_places, least(10, count(*)) AS n_known FROM parsed WHERE log_level <> ''""",
+    component_counts="SELECT component, count(*) AS count FROM parsed GROUP BY 1",
     top_components="""
       SELECT component, count(*) AS count FROM parsed GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20""",
     report_log_levels="""
@@ -261,22 +288,51 @@ _add(
         sum(CAST(regexp_extract(value, '\+(\d+)$', 1) AS BIGINT))::BIGINT AS input_bytes
       FROM parsed WHERE component = 'rdd.HadoopRDD' GROUP BY 1""",
     block_memory=r"""
-      , m AS (SELECT application_id,
-          CAST(round(CAST(nullif(regexp_extract(value, 'estimated size ([\d.]+) KB', 1), '')
-            AS DECIMAL(18, 4)) * 1024) AS BIGINT) AS stored,
-          CAST(CAST(nullif(regexp_extract(value, 'capacity ([\d.]+) GB', 1), '')
-            AS DECIMAL(18, 4)) * 1073741824 AS BIGINT) AS capacity
-        FROM parsed WHERE component = 'storage.MemoryStore')
-      SELECT application_id, count(stored) AS n_blocks, sum(stored)::BIGINT AS stored_bytes,
-        max(capacity) AS max_capacity_bytes FROM m GROUP BY 1""",
+      , a AS (SELECT application_id, value LIKE '%in memory%' AS block,
+          regexp_extract(value, 'size ([\d.]+) (\w+)', ['n', 'u']) AS size,
+          regexp_extract(value, 'free ([\d.]+) (\w+)', ['n', 'u']) AS free,
+          regexp_extract(value, 'capacity ([\d.]+) (\w+)', ['n', 'u']) AS capacity
+        FROM parsed WHERE component = 'storage.MemoryStore'),
+      f AS (SELECT * FROM (VALUES ('B', 1), ('KB', 1024), ('KiB', 1024), ('MB', 1048576), ('MiB', 1048576),
+          ('GB', 1073741824), ('GiB', 1073741824)) t(u, x)),
+      m AS (SELECT application_id, block,
+          CAST(round(CAST(nullif(size.n, '') AS DECIMAL(18, 4)) * fs.x) AS BIGINT) AS stored,
+          CAST(round(CAST(nullif(free.n, '') AS DECIMAL(18, 4)) * ff.x) AS BIGINT) AS free,
+          CAST(round(CAST(nullif(capacity.n, '') AS DECIMAL(18, 4)) * fc.x) AS BIGINT) AS capacity
+        FROM a LEFT JOIN f fs ON fs.u = size.u LEFT JOIN f ff ON ff.u = free.u LEFT JOIN f fc ON fc.u = capacity.u)
+      SELECT application_id, count(*) FILTER (WHERE block) AS n_blocks, sum(stored)::BIGINT AS stored_bytes,
+        min(free) AS min_free_bytes, max(capacity) AS max_capacity_bytes,
+        count(*) FILTER (WHERE CASE WHEN block THEN stored IS NULL OR free IS NULL ELSE capacity IS NULL END) AS n_unread
+      FROM m GROUP BY 1""",
+    cache_use=r"""
+      SELECT application_id, count(*) FILTER (WHERE value LIKE '% locally') AS n_local,
+        count(*) FILTER (WHERE value LIKE '% remotely') AS n_remote,
+        count(DISTINCT regexp_extract(value, '(rdd_\d+_\d+)', 1)) AS n_blocks
+      FROM parsed WHERE component = 'storage.BlockManager' GROUP BY 1""",
+    container_requests=r"""
+      SELECT application_id, regexp_extract(value, 'host: (\w+)', 1) AS host,
+        CAST(regexp_extract(value, 'memory:(\d+)', 1) AS BIGINT) AS memory_mb,
+        CAST(regexp_extract(value, 'vCores:(\d+)', 1) AS BIGINT) AS v_cores, count(*) AS n_containers
+      FROM parsed WHERE value LIKE '%Container request %' GROUP BY 1, 2, 3, 4""",
+    failed_tasks=r"""
+      , x AS (SELECT application_id, at_time,
+          CAST(regexp_extract(value, 'task (\d+)\.', 1) AS BIGINT) AS task,
+          CAST(regexp_extract(value, 'task \d+\.(\d+)', 1) AS BIGINT) AS attempt,
+          regexp_extract(value, 'stage (\d+\.\d+)', 1) AS stage,
+          CAST(regexp_extract(value, 'TID (\d+)', 1) AS BIGINT) AS tid
+        FROM timed WHERE value LIKE '%Exception in task %' OR value LIKE '%Lost task %')
+      SELECT application_id, stage, task, count(DISTINCT (attempt, tid)) AS n_failures,
+        min(attempt) AS first_attempt, max(attempt) AS last_attempt,
+        min(at_time) AS first_failed_at, max(at_time) AS last_failed_at FROM x GROUP BY 1, 2, 3""",
     failures_by_app="""
       SELECT application_id, component, count(*) AS n_errors FROM parsed
       WHERE log_level = 'ERROR' GROUP BY 1, 2""",
 )
+ORACLES["csv_round_trip"] = f"""WITH {LINES}
+    SELECT value, ' "' || value || '",' || chr(9) || 'said it, ' || file_path || chr(92) AS noted FROM lines"""
 _add(
     TIMELINE,
     app_timeline="SELECT * FROM timeline",
-    csv_round_trip="SELECT * FROM timeline",
     cluster_summary="""
       SELECT cluster_id, count(DISTINCT application_id) AS num_applications,
         min(start_time) AS cluster_first_app, max(end_time) AS cluster_last_app FROM timeline GROUP BY 1""",
@@ -328,6 +384,10 @@ _HISTOGRAM = """
       hist AS (
         SELECT bin, bin_start, bin_end, coalesce(n, 0) AS count, coalesce(n, 0) / (total * width) AS density
         FROM edges LEFT JOIN binned USING (bin))"""
+_BY_CLUSTER = """
+      , per AS (SELECT cluster_id, min(duration_sec) AS lo, max(duration_sec) AS hi, count(*) AS total,
+          sum(CAST(duration_sec AS HUGEINT)) AS s1, sum(CAST(duration_sec AS HUGEINT) * duration_sec) AS s2
+        FROM spans GROUP BY 1)"""
 _add(
     DURATIONS,
     app_durations="SELECT * FROM durations",
@@ -358,7 +418,30 @@ _add(
     duration_outliers="""
       SELECT cluster_id, application_id, duration_sec, median_sec FROM spans
       JOIN (SELECT cluster_id, quantile_disc(duration_sec, 0.5) AS median_sec FROM spans GROUP BY 1)
-      USING (cluster_id) WHERE duration_sec > 2 * median_sec""",
+      USING (cluster_id) WHERE duration_sec > 1.05::DOUBLE * median_sec""",
+    duration_histogram_by_cluster=_BY_CLUSTER + """,
+      binned AS (
+        SELECT cluster_id, CASE WHEN hi = lo THEN 1 ELSE least((duration_sec - lo) * 30 // (hi - lo) + 1, 30) END AS bin,
+          count(*) AS n FROM spans JOIN per USING (cluster_id) GROUP BY 1, 2)
+      SELECT cluster_id, b AS bin, CASE WHEN hi > lo THEN lo + (b - 1) * ((hi - lo)::DOUBLE / 30) ELSE lo::DOUBLE END AS bin_start,
+        CASE WHEN hi > lo THEN lo + b * ((hi - lo)::DOUBLE / 30) ELSE hi::DOUBLE END AS bin_end,
+        coalesce(n, 0) AS count, CASE WHEN hi > lo THEN coalesce(n, 0) / (total * ((hi - lo)::DOUBLE / 30)) END AS density
+      FROM (SELECT per.*, b, b AS bin FROM per, range(1, 31) g(b) WHERE hi > lo OR b = 1) LEFT JOIN binned USING (cluster_id, bin)""",
+    duration_density_by_cluster=_BY_CLUSTER + """,
+      band AS (
+        SELECT cluster_id, lo, hi - lo AS span, total::DOUBLE AS total,
+          sqrt((s2::DOUBLE - s1::DOUBLE * s1::DOUBLE / total) / (total - 1)) * pow(total::DOUBLE, -0.2) AS h
+        FROM per WHERE total > 1 AND hi > lo),
+      grid AS (SELECT cluster_id, CAST(g AS INTEGER) AS point, lo + g * span / 199::DOUBLE AS x, total, h
+        FROM range(0, 200) r(g), band)
+      SELECT cluster_id, point, x, round(sum(exp(-0.5::DOUBLE * pow((x - duration_sec) / h, 2))
+        / (total * h * sqrt(2 * pi()))), 12) AS density
+      FROM grid JOIN spans USING (cluster_id) GROUP BY 1, 2, 3""",
+    duration_cdf_by_cluster="""
+      SELECT cluster_id, duration_sec, n, (sum(n) OVER w)::BIGINT AS cumulative,
+        (sum(n) OVER w)::DOUBLE / (sum(n) OVER (PARTITION BY cluster_id)) AS share
+      FROM (SELECT cluster_id, duration_sec, count(*) AS n FROM spans GROUP BY 1, 2)
+      WINDOW w AS (PARTITION BY cluster_id ORDER BY duration_sec)""",
 )
 _add(
     TASKS,
