@@ -81,10 +81,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     added = F.transform(
         "at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), i + 1) - x, F.lit(WINDOW))).cast("long")
     )
-    return twice.select(
-        *measures,
-        F.coalesce(F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    zero = F.lit(0).cast("long")
+    repeated = F.coalesce(F.aggregate(added, zero, lambda a, x: a + x), zero).alias("n_repeat_words")
+    # A condition on the result would be pushed down to the text, with every step above written into it again
+    # and again. It can't be pushed through a generator (the outer kind, which infers no filter of its own).
+    return twice.select(*measures, repeated).select(F.inline_outer(F.array(F.struct(*measures, "n_repeat_words"))))
 
 
 @dataclass(frozen=True)
@@ -150,16 +151,17 @@ def ablations(rows: DataFrame, policies: dict[str, Sequence[str]] = POLICIES, ru
         )
         for name, names in policies.items() for rule in names
     ]
-    hit, of_policy = F.col("failed").bitwiseAND("bit"), F.col("failed").bitwiseAND("mask")
+    bit, mask = F.col("bit"), F.col("mask")
+    hit, of_policy = F.col("failed").bitwiseAND(bit), F.col("failed").bitwiseAND(mask)
     zero = F.lit(0)
     return (
         by_bits.select("failed", "n", F.explode(F.array(*cases)).alias("c")).select("failed", "n", "c.*")
         .groupBy("policy", "rule").agg(
             F.sum(F.when(hit != 0, F.col("n")).otherwise(zero)).alias("n_failed"),
-            F.sum(F.when(of_policy == F.col("bit"), F.col("n")).otherwise(zero)).alias("n_only"),
+            F.sum(F.when(of_policy == bit, F.col("n")).otherwise(zero)).alias("n_only"),
             F.sum(F.when(of_policy != 0, F.col("n")).otherwise(zero)).alias("n_removed"),
             F.coalesce(
-                F.bit_or(F.when(hit != 0, F.col("failed").bitwiseAND(F.bitwise_not("bit")))), zero.cast("long")
+                F.bit_or(F.when(hit != 0, F.col("failed").bitwiseAND(F.bitwise_not(bit)))), zero.cast("long")
             ).alias("other_rules"),
         )
     )
