@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from waybill.llm.pretokens import Vocabulary
 
-CACHE_ROWS = 1 << 19  # encoded pre-tokens that a task remembers
+CACHE_ROWS = 3 << 17  # encoded pre-tokens that a task remembers
 LONGEST = 64  # bytes of a pre-token that is remembered
-SLICE_CHARS = 4_000_000  # characters of documents whose new pre-tokens are merged together
+SLICE_CHARS = 1_000_000  # characters of documents whose new pre-tokens are merged together
 NONE = np.int64(1) << 40
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,33 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or one with more underscores if there is such a column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keeping(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str]:
-    """Columns to keep, with the text's bytes as the last one, ``_bytes``; and their schema."""
-    schema = docs.select(*keep).schema
-    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
-    return docs.select(*keep, text_bytes(text_col).alias("_bytes")), columns
+    """Columns to keep, with the text's bytes behind them as the last one; and the kept ones' schema."""
+    kept = docs.select(*[f"`{c}`" for c in keep])
+    columns = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    last = free_name(keep, "_bytes")
+    return docs.select(*[f"`{c}`" for c in keep], text_bytes(text_col).alias(last)), columns
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand tasks at most so many rows at a time: a batch of long texts is large
+    in the JVM, on its way, and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

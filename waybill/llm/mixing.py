@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import stored, text_bytes
+from waybill.llm.common import free_name, stored, text_bytes
 from waybill.operators.running import running_total
 
 MAX_PATTERNS = 100_000
 MAX_REPEATS = 3
 BUCKET_ROWS = 1024  # documents of a pattern that are expected in one bucket of the seeded order
+EXACT_BITS = 1 << 26  # documents times words of a bucket whose best sum is worked out exactly
 SEED = 17
 
 
@@ -180,10 +181,33 @@ def route(patterns: Sequence[Pattern], quotas: dict, max_repeats: int = MAX_REPE
     return {key: net.room[arc ^ 1] for key, arc in routes.items()}
 
 
+def _nearest_sum(size: np.ndarray, goal: int) -> np.ndarray:
+    """The documents whose sizes add up nearest to the goal; earlier ones are preferred. Exact.
+
+    Bit t of a number says whether t can be reached with the documents from one on to the last.
+    """
+    top = int(goal + size.max(initial=0))
+    within = (1 << (top + 1)) - 1
+    reach = [1]
+    for words in size[::-1].tolist():
+        reach.append((reach[-1] | reach[-1] << words) & within)
+    below = (reach[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (goal + 1)
+    above = goal + (above & -above).bit_length() if above else None
+    left = above if above is not None and above - goal < goal - below else below
+    taken = np.zeros(len(size), bool)
+    for i, words in enumerate(size.tolist()):
+        if 0 < words <= left and reach[len(size) - 1 - i] >> (left - words) & 1:
+            taken[i] = True
+            left -= words
+    return taken
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Documents of the bucket in which a pattern's rest ends: in seeded order, each that still fits.
 
-    Then one document is added, or exchanged for a taken one, while that brings the words nearer.
+    Then one document is added, or exchanged for a taken one, while that brings the words nearer. What a
+    small bucket can't reach that way is worked out exactly.
     """
     rows = rows.sort_values(["place", "id"], na_position="last", kind="stable")
     size, left = rows["size"].to_numpy(), int(rows["left"].iloc[0])
@@ -209,6 +233,9 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         taken[new] = True
         if best < len(out):
             taken[out[best]] = False
+    goal = int(rows["left"].iloc[0])
+    if left and len(size) * (goal + int(size.max())) <= EXACT_BITS:
+        taken = _nearest_sum(size, goal)
     return rows.assign(extra=taken.astype("int32"))[["id", "pattern", "size", "passes", "extra"]]
 
 
@@ -256,12 +283,12 @@ def take(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
 
     Rows are told apart by a number given as they are written, so repeated and null ids do no harm.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    taken, _ = mix(rows, members, "_row", text_col, order_col=id_col, **options)
-    copies = taken.filter("copies > 0").select(F.col("id").alias("_row"), "copies")
-    return (
-        rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
-    )
+    row, copies, copy = (free_name(docs.columns, name) for name in ("_row", "_copies", "_copy"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken, _ = mix(rows, members, row, text_col, order_col=id_col, **options)
+    wanted = taken.filter("copies > 0").select(F.col("id").alias(row), F.col("copies").alias(copies))
+    repeated = rows.join(wanted, row).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return repeated.select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix(

@@ -38,7 +38,7 @@ def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, left_out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
     model = string_kernel.train(docs.filter(~left_out))
     found = string_kernel.predict(docs, model, ["doc_id"])
-    return found.withColumnRenamed("lang_score", "score").withColumn("held_out", left_out)
+    return found.withColumn("held_out", left_out)
 
 
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, left_out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     model = subword.train(docs.filter(~left_out), table(spark, sf_dir, "labels"))
-    scored = subword.score(docs, model, ["doc_id"]).withColumnRenamed("quality_score", "score")
+    scored = subword.score(docs, model, ["doc_id"])
     return scored.withColumn("held_out", left_out).withColumn(
         "predicted", (F.col("score") >= GOOD_SCORE).cast("int")
     )

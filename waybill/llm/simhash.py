@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import stored, text_bytes
+from waybill.llm.common import free_name, stored, text_bytes
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -299,14 +299,15 @@ def deduplicate(
 
     Rows are told apart by a number given as they are written, so repeated and null ids do no harm.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "_row", text_col, shingle, max_bits, seed)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("name"), "_row"))
+    row = free_name(docs.columns, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, row, text_col, shingle, max_bits, seed).select(F.col("id").alias("_r"), "component")
+    named = rows.select(F.col(row).alias("_r"), F.col(id_col).isNull().alias("_without"), F.col(id_col).alias("_name"))
     keep = (
-        found.select(F.col("id").alias("_row"), "component").join(rows.select("_row", id_col), "_row")
-        .groupBy("component").agg(first.alias("first")).select("first._row")
+        found.join(named, "_r").groupBy("component").agg(F.min(F.struct("_without", "_name", "_r")).alias("_first"))
+        .select(F.col("_first._r").alias(row))
     )
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    return rows.join(keep, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def hex_print(fp: str = "fp") -> Column:

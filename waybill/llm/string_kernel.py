@@ -119,7 +119,7 @@ def has_letter(text: bytes) -> bool:
     return bool(re.search(rb"[A-Za-z]", text)) or any(c.isalpha() for c in text.decode())
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], shared):
+def _predict_batches(batches: Iterator[pa.RecordBatch], shared, names: tuple[str, str]):
     model = Model(*shared.value) if shared.value else None
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -136,7 +136,7 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], shared):
             kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays(
                 [*(c.slice(at, len(part)) for c in kept), pa.array(label), pa.array(score)],
-                names=[*batch.schema.names[:-1], "lang_pred", "lang_score"],
+                names=[*batch.schema.names[:-1], *names],
             )
 
 
@@ -150,14 +150,17 @@ def train(
     return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``lang_pred`` and ``lang_score`` (0 to 1) for every text; only the text is looked at.
+def predict(
+    docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text",
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` with the language and the score (0 to 1) of every text, as ``names``; only the text is looked at.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text where nothing
-    was learned. Each row gives a row, repeated ones and null ids too. Kept columns must not
-    have the names of the new ones.
+    was learned. Each row gives a row, repeated ones and null ids too. ``names`` must not be kept columns'.
     """
     parts = (model.labels, model.columns, model.weights, model.bias) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)  # n-grams of the landmarks by languages: SPACE rows at most
     rows, columns = keeping(docs, keep, text_col)
-    return rows.mapInArrow(partial(_predict_batches, shared=shared), columns + "lang_pred string, lang_score double")
+    step = partial(_predict_batches, shared=shared, names=names)
+    return rows.mapInArrow(step, columns + f"`{names[0]}` string, `{names[1]}` double")

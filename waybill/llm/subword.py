@@ -123,14 +123,14 @@ def fit(
     return Model(vectors, layer, bias)
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], shared):
+def _score_batches(batches: Iterator[pa.RecordBatch], shared, name: str):
     odds, bias = shared.value
     for whole in batches:
-        for batch in pieces_of(whole, "_bytes", SLICE_BYTES):
-            z = Features.of(batch.column("_bytes").to_pylist()).means(odds) + bias
+        for batch in pieces_of(whole, whole.schema.names[-1], SLICE_BYTES):
+            z = Features.of(batch.columns[-1].to_pylist()).means(odds) + bias
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))],
-                names=[*batch.schema.names[:-1], "quality_score"],
+                names=[*batch.schema.names[:-1], name],
             )
 
 
@@ -145,14 +145,16 @@ def train(
     return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist(), shares)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``quality_score`` (0 to 1, that of class 1) for every text; only the text is looked at.
+def score(
+    docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", name: str = "score"
+) -> DataFrame:
+    """The columns ``keep`` with the score (0 to 1, that of class 1) of every text as ``name``; only the text is looked at.
 
     Null text counts as empty. A text without features has the score of the bias alone. Where nothing was
-    learned every score is 0.5. Each row gives a row, repeated ones and null ids too. No kept column
-    may have the new one's name.
+    learned every score is 0.5. Each row gives a row, repeated ones and null ids too. ``name`` must not be
+    a kept column's.
     """
     folded = model.folded() if model else (np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(folded)  # BUCKETS numbers: 1 MB
     rows, columns = keeping(docs, keep, text_col)
-    return rows.mapInArrow(partial(_score_batches, shared=shared), columns + "quality_score double")
+    return rows.mapInArrow(partial(_score_batches, shared=shared, name=name), columns + f"`{name}` double")

@@ -22,7 +22,7 @@ from waybill.llm.pretokens import Vocabulary
 
 FREQUENT = 1 << 17  # rows of the first tier, 16 bytes each on average
 SAMPLE_ROWS = 20_000  # documents that decide which pre-tokens are in the first tier
-CACHE_ROWS = 1 << 20  # entries of a task's cache
+CACHE_ROWS = 3 << 17  # entries of a task's cache
 LONGEST = 255  # characters of a pre-token that either tier keeps
 SEPARATOR = b"\xff"  # in no UTF-8 text
 
