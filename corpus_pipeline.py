@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm import bpe, mixing, simhash, string_kernel, subword
-from waybill.llm.common import held_out, stored, table
+from waybill.llm.common import free_name, held_out, stored, table
 from waybill.llm.queries import GOOD_SCORE, VOCABULARY
 
 LANG_SCORE = 0.3  # a text whose best language scores less is no text in a known language
@@ -19,16 +19,18 @@ LANG_SCORE = 0.3  # a text whose best language scores less is no text in a known
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality classifier scores well."""
     model = subword.train(docs.filter(~held_out("doc_id", 4, 2)), table(spark, sf_dir, "labels"))
-    scored = subword.score(docs, model, docs.columns)
-    return scored.filter(F.col("quality_score") >= GOOD_SCORE).select(*docs.columns)
+    score = free_name(docs.columns, "_score")
+    scored = subword.score(docs, model, docs.columns, name=score)
+    return scored.filter(F.col(score) >= GOOD_SCORE).drop(score)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learned."""
     model = string_kernel.train(docs.filter(~held_out("doc_id", 3, 1)))
-    found = string_kernel.predict(docs, model, docs.columns)
-    known = (F.col("lang_pred") != string_kernel.UNKNOWN) & (F.col("lang_score") >= LANG_SCORE)
-    return found.filter(known).select(*docs.columns)
+    lang, score = free_name(docs.columns, "_lang"), free_name(docs.columns, "_score")
+    found = string_kernel.predict(docs, model, docs.columns, names=(lang, score))
+    known = (F.col(lang) != string_kernel.UNKNOWN) & (F.col(score) >= LANG_SCORE)
+    return found.filter(known).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
