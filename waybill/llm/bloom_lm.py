@@ -28,22 +28,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import pieces_of, stored, text_bytes
+from waybill.llm import words
+from waybill.llm.common import pieces_of, short_batches, stored, text_bytes
+from waybill.llm.words import mixed
 
-HEAD_ROWS = 1 << 20
-SEGMENT_BYTES = 256 << 20
-BITS_PER_ENTRY = 12
-PROBES = 6
-BASE = 1.2  # the ratio of one level's counts to the next
-PART_PAIRS = 1 << 19  # pair tokens that are expected in a part
+HEAD_ROWS = 1 << 19
+SEGMENT_BYTES = 128 << 20
+BITS_PER_ENTRY = 10
+PROBES = 4  # bits of a key, all in one 64-bit word
+BASE = 2  # the ratio of one level's counts to the next
+PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
 SALTS = 16  # a word's followers are spread over so many parts
-SLICE_BYTES = 24 << 20
-START, END = (xxhash.xxh64_intdigest(mark) for mark in (b" start", b" end"))  # no word has a blank
+COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 19  # text that is looked at together
+COUNT_ROWS, SCORE_ROWS = 500, 200  # texts that a task is handed at a time
+# the hashes of the marks; a word's is one of 2^64
+START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 COUNT, FOLLOWERS = 1, 2  # kinds of single-word keys
+PAIRS, WORDS = 0, 1  # kinds of parts
 
 
 def thresholds(base: float = BASE, largest: float = 2.0**62) -> np.ndarray:
@@ -59,9 +63,9 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def counts_of() -> np.ndarray:
-    """The count that stands for each level: the middle of its counts; 0 for level 0."""
+    """The count that stands for each level: the geometric middle of its counts; 0 for level 0."""
     low = thresholds()
-    return np.r_[0.0, (low[:-1] + low[1:] - 1) / 2, low[-1]]
+    return np.r_[0.0, np.sqrt(low[:-1] * (low[1:] - 1)), low[-1]]
 
 
 def _odd(n: int, factor: int) -> np.uint64:
@@ -69,11 +73,9 @@ def _odd(n: int, factor: int) -> np.uint64:
     return np.uint64(n * factor & 0xFFFFFFFFFFFFFFFF)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A scrambled 64-bit value for each 64-bit value."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def _below(x: np.ndarray, n) -> np.ndarray:
+    """Scrambled values dealt evenly to 0 .. n-1 by their high bits."""
+    return ((x >> np.uint64(32)) * np.uint64(n) if np.isscalar(n) else (x >> np.uint64(32)) * n) >> np.uint64(32)
 
 
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def pair_parts(h: np.ndarray, w: np.ndarray, n_parts: int) -> np.ndarray:
     salt = w % np.uint64(SALTS)
-    return (mixed(h ^ (salt + np.uint64(1)) << np.uint64(58)) % np.uint64(n_parts)).astype(np.int32)
+    return _below(mixed(h ^ (salt + np.uint64(1)) << np.uint64(58)), n_parts).astype(np.int32)
 
 
 def word_keys(w: np.ndarray, kind: int) -> np.ndarray:
@@ -91,38 +93,38 @@ def word_keys(w: np.ndarray, kind: int) -> np.ndarray:
 
 
 def word_parts(w: np.ndarray, n_parts: int) -> np.ndarray:
-    return (mixed(w ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_parts)).astype(np.int32)
+    return _below(mixed(w ^ np.uint64(0x5851F42D4C957F2D)), n_parts).astype(np.int32)
 
 
-def _steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the probes of keys at a level start, and how far they step."""
+def _probe(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a part in which a key at a level has its bits, and these bits."""
     x = mixed(keys + _odd(level, 0x2545F4914F6CDD1D))
-    return x, (x >> np.uint64(32)) | np.uint64(1)
+    bits = np.zeros(len(x), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << (x >> np.uint64(6 * i) & np.uint64(63))
+    return _below(x, size), bits
 
 
 def part_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
     """The bits of one part with all its keys at all their levels."""
-    size = max(64, -(-BITS_PER_ENTRY * int(levels.sum(dtype=np.int64)) // 8) * 8)
-    bits = np.zeros(size, bool)
+    size = 1 + BITS_PER_ENTRY * int(levels.sum(dtype=np.int64)) // 64
+    held = np.zeros(size, np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        x, step = _steps(keys[levels >= level], level)
-        for i in range(PROBES):
-            bits[(x + np.uint64(i) * step) % np.uint64(size)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+        at, bits = _probe(keys[levels >= level], level, size)
+        np.bitwise_or.at(held, at, bits)
+    return held.tobytes()
 
 
 class Filter:
     """Parts side by side; a part that is not here answers level 0."""
 
-    def __init__(self, n_parts: int, parts: list[tuple[int, bytes]]):
+    def __init__(self, n_parts: int, kind: int, places: dict[tuple[int, int], tuple[int, int]], held: bytearray):
         self.size = np.zeros(n_parts, np.uint64)
         self.start = np.zeros(n_parts, np.uint64)
-        at = 0
-        for p, bits in parts:
-            self.size[p], self.start[p] = 8 * len(bits), at
-            at += 8 * len(bits)
-        self.bytes = np.frombuffer(b"".join(bits for _, bits in parts), np.uint8)
-        self.n_parts = n_parts
+        for (k, part), (start, n) in places.items():
+            if k == kind:
+                self.size[part], self.start[part] = n // 8, start // 8
+        self.held = np.frombuffer(held, np.uint64)
 
     def levels(self, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.uint8)
@@ -131,84 +133,87 @@ class Filter:
         level = 0
         while len(active) and level < 255:
             level += 1
-            x, step = _steps(keys[active], level)
-            for i in range(PROBES):
-                at = (x + np.uint64(i) * step) % size[active] + start[active]
-                byte = self.bytes[(at >> np.uint64(3)).astype(np.int64)]
-                hit = (byte >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-                active, x, step = active[hit], x[hit], step[hit]
+            at, bits = _probe(keys[active], level, size[active])
+            found = self.held[(at + start[active]).astype(np.int64)]
+            active = active[(found & bits) == bits]
             out[active] = level
         return out
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 2  # 0 and 1 are the start and end marks
-        return n
-
-
 @dataclass
 class Tokens:
-    """The tokens of some texts: local word numbers, document of each token, and word hashes."""
+    """The tokens of some texts: hash of each, of the one before it, its text, and each text's number."""
 
     word: np.ndarray
     before: np.ndarray
     doc: np.ndarray
     n: np.ndarray
-    hash: np.ndarray
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Tokens:
-        words = _Words()
-        get = words.__getitem__
-        parts, n = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            split = text.lower().split()  # of bytes: A-Z, and the six ASCII blanks
-            n[i] = len(split) + 1
-            parts.append(np.fromiter(map(get, split), np.int64, len(split)))
-            parts.append(np.ones(1, np.int64))
-        word = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        before = np.r_[np.zeros(1, np.int64), word[:-1]][: len(word)]
-        before[before == 1] = 0  # behind an end comes a start
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        marks = np.array([START, END], np.uint64)
-        return cls(word, before, np.repeat(np.arange(len(texts)), n), n, np.r_[marks, hashes])
-
-    def pairs(self, inverse: bool = False):
-        return np.unique((self.before << 32) | self.word, return_inverse=inverse, return_counts=not inverse)
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch]):
-    for whole in batches:
-        for batch in pieces_of(whole, "text", SLICE_BYTES):
-            t = Tokens.of(batch.column("text").to_pylist())
-            n = np.bincount(t.word, minlength=len(t.hash))
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.hash[seen].view(np.int64)), pa.array(n[seen])], names=["word", "n"]
-            )
+        data, ends = words.joined([t.lower() for t in texts])  # of bytes: A-Z
+        start, end = words.spans(data)
+        doc = np.searchsorted(ends, start, "right")
+        n = np.bincount(doc, minlength=len(texts)) + 1
+        last = np.cumsum(n) - 1
+        word = np.full(n.sum(), END, np.uint64)
+        word[np.arange(len(start)) + doc] = words.hashes(data, start, end)
+        before = np.r_[START, word[:-1]][: len(word)]
+        before[last[:-1] + 1] = START
+        return cls(word, before, np.repeat(np.arange(len(texts)), n), n)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One place of each distinct pair, the pair's number at each token, and its count."""
+        _, first, at, n = np.unique(
+            mixed(self.before) + self.word, return_index=True, return_inverse=True, return_counts=True
+        )
+        return first, at, n
+
+
+PACKED_COLUMNS = "kind int, part int, keys binary, runs binary, seconds binary, counts binary"
+
+
+def _packed(kind: int, part: np.ndarray, key: np.ndarray, second: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row per part: its distinct keys, how many entries each has, and the entries in order of their keys."""
+    order = np.argsort(key)
+    by_part = part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part
+    order = order[np.argsort(by_part[order], kind="stable")]
+    part, key, second, n = part[order], key[order], second[order], n[order]
+    new = np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])]
+    first = np.flatnonzero(new)
+    runs = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    at = np.searchsorted(first, cut)
+    spans, entries = list(zip(at[:-1], at[1:])), list(zip(cut[:-1], cut[1:]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([kind] * len(spans), pa.int32()), pa.array(part[cut[:-1]].astype(np.int32)),
+            pa.array([key[first[x:y]].tobytes() for x, y in spans], pa.binary()),
+            pa.array([runs[x:y].tobytes() for x, y in spans], pa.binary()),
+            pa.array([second[x:y].astype(np.uint32).tobytes() for x, y in entries], pa.binary()),
+            pa.array([n[x:y].astype(np.uint32).tobytes() for x, y in entries], pa.binary()),
+        ],
+        names=["kind", "part", "keys", "runs", "seconds", "counts"],
+    )
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
+def _count_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
+    """Counts of words and pairs in each slice of texts, packed by part."""
     for whole in batches:
-        for batch in pieces_of(whole, "text", SLICE_BYTES):
+        for batch in pieces_of(whole, "text", COUNT_BYTES):
             t = Tokens.of(batch.column("text").to_pylist())
-            pairs, n = t.pairs()
-            h, w = t.hash[pairs >> 32], t.hash[pairs & 0xFFFFFFFF]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(pair_parts(h, w, n_parts)), pa.array(h.view(np.int64)),
-                    pa.array(w.astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int32)),
-                ],
-                names=["part", "h", "w", "n"],
-            )
+            word, n = np.unique(t.word, return_counts=True)
+            yield _packed(WORDS, word_parts(word, n_parts), word, np.zeros(len(word), np.uint32), n)
+            first, _, n = t.pairs()
+            h, w = t.before[first], t.word[first]
+            yield _packed(PAIRS, pair_parts(h, w, n_parts), h, w & np.uint64(0xFFFFFFFF), n)
 
 
 PART_SCHEMA = pa.schema([
     ("kind", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("n1", pa.int64()),
-    ("n2", pa.int64()), ("word", pa.int64()), ("followers", pa.int64()),
+    ("n2", pa.int64()), ("word", pa.int64()), ("c", pa.int64()), ("t", pa.int64()),
 ])
-PART_COLUMNS = "kind int, part int, bits binary, n1 long, n2 long, word long, followers long"
+PART_COLUMNS = "kind int, part int, bits binary, n1 long, n2 long, word long, c long, t long"
 
 
 def _part_row(kind: int, part: int, bits: bytes, n1: int, n2: int) -> pa.RecordBatch:
@@ -217,31 +222,43 @@ def _part_row(kind: int, part: int, bits: bytes, n1: int, n2: int) -> pa.RecordB
     )
 
 
+def _word_rows(kind: int, word: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    given = {"kind": np.full(len(word), kind, np.int32), "word": word.view(np.int64), **values}
+    columns = [pa.array(given[f.name]) if f.name in given else pa.nulls(len(word), f.type) for f in PART_SCHEMA]
+    return pa.RecordBatch.from_arrays(columns, schema=PART_SCHEMA)
+
+
 def _column(tables: list[pa.RecordBatch], name: str) -> np.ndarray:
     return np.concatenate([t.column(name).to_numpy() for t in tables])
 
 
-def _pair_part_batches(batches: Iterator[pa.RecordBatch]):
-    """Whole parts of pairs in; their bits out, and each word's followers in that part."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    part, h, w, n = (_column(held, c) for c in ("part", "h", "w", "n"))
-    order = np.lexsort((w, h, part))
-    part, h, w, n = part[order], h[order], w[order], n[order].astype(np.int64)
-    new = np.r_[True, (part[1:] != part[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
-    first = np.flatnonzero(new)
-    n = np.add.reduceat(n, first)
-    part, h, w = part[first], h[first], w[first]
-    keys = pair_keys(h.view(np.uint64), w.view(np.uint32).astype(np.uint64))
-    levels = levels_of(n)
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-    for a, b in zip(cut[:-1], cut[1:]):
-        once, twice = int((n[a:b] == 1).sum()), int((n[a:b] == 2).sum())
-        yield _part_row(0, int(part[a]), part_bits(keys[a:b], levels[a:b]), once, twice)
-    word, followers = np.unique(h, return_counts=True)
-    empty = [pa.nulls(len(word), t) for t in PART_SCHEMA.types[:5]]
-    yield pa.RecordBatch.from_arrays([*empty, pa.array(word), pa.array(followers)], schema=PART_SCHEMA)
+def _part_batches(batches: Iterator[pa.RecordBatch]):
+    """Whole parts in. Of words: their counts. Of pairs: the bits, and each first word's followers in the part."""
+    held: dict[tuple[int, int], list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            held.setdefault((row["kind"], row["part"]), []).append(row)
+    while held:
+        (kind, part), rows = held.popitem()
+
+        def joined(name, kind_of):
+            return np.frombuffer(b"".join(r[name] for r in rows), kind_of)
+
+        key = np.repeat(joined("keys", np.uint64), joined("runs", np.uint32))
+        second, n = joined("seconds", np.uint32), joined("counts", np.uint32).astype(np.int64)
+        entry = mixed(key) + second
+        order = np.argsort(entry)
+        entry = entry[order]
+        first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+        n = np.add.reduceat(n[order], first)
+        key, second = key[order[first]], second[order[first]]
+        if kind == WORDS:
+            yield _word_rows(WORDS, key, c=n)
+            continue
+        once, twice = int((n == 1).sum()), int((n == 2).sum())
+        yield _part_row(PAIRS, part, part_bits(pair_keys(key, second.astype(np.uint64)), levels_of(n)), once, twice)
+        word, followers = np.unique(key, return_counts=True)
+        yield _word_rows(PAIRS, word, t=followers)
 
 
 def _dealt_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
@@ -261,7 +278,7 @@ def _word_part_batches(batches: Iterator[pa.RecordBatch]):
         mine = part == p
         keys = np.r_[word_keys(word[mine], COUNT), word_keys(word[mine], FOLLOWERS)]
         levels = levels_of(np.r_[c[mine], t[mine]])
-        yield _part_row(1, int(p), part_bits(keys, levels), 0, 0)
+        yield _part_row(WORDS, int(p), part_bits(keys, levels), 0, 0)
 
 
 def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,23 +301,26 @@ def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
     """Probe one segment. The last pass gives scores, the others text and levels."""
-    n_pair_parts, n_word_parts, total, n_words, discount, parts = shared.value
-    pair_filter = Filter(n_pair_parts, [(p, bits) for kind, p, bits in parts if kind == 0])
-    word_filter = Filter(n_word_parts, [(p, bits) for kind, p, bits in parts if kind == 1])
+    n_parts, total, n_words, discount, places, held = shared.value
+    pair_filter = Filter(n_parts, PAIRS, places, held)
+    word_filter = Filter(n_parts, WORDS, places, held)
     head_word, head_c = head.value
     counts = counts_of()
     for whole in batches:
-        for batch in pieces_of(whole, "text", SLICE_BYTES):
+        for batch in pieces_of(whole, "text", SCORE_BYTES):
             t = Tokens.of(batch.column("text").to_pylist())
-            pairs, at = t.pairs(inverse=True)
-            h, w = t.hash[pairs >> 32], t.hash[pairs & 0xFFFFFFFF]
-            in_part = word_parts(t.hash, n_word_parts)
-            c = word_filter.levels(word_keys(t.hash, COUNT), in_part)
-            f = word_filter.levels(word_keys(t.hash, FOLLOWERS), in_part)
-            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_pair_parts))
-            levels = np.stack([pair[at], c[t.before], f[t.before], c[t.word]])
-            # a start mark is followed as often as an end mark occurs
-            levels[1][t.before == 0] = c[1]
+            first, at, _ = t.pairs()
+            word, of_word = np.unique(np.r_[START, END, t.word], return_inverse=True)
+            start, end, of_word = of_word[0], of_word[1], of_word[2:]
+            of_before = np.r_[start, of_word[:-1]][: len(of_word)]
+            of_before[t.before == START] = start
+            h, w = t.before[first], t.word[first]
+            in_part = word_parts(word, n_parts)
+            c = word_filter.levels(word_keys(word, COUNT), in_part)
+            f = word_filter.levels(word_keys(word, FOLLOWERS), in_part)
+            c[start] = c[end]  # as many starts as ends
+            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts))
+            levels = np.stack([pair[at], c[of_before], f[of_before], c[of_word]])
             held = batch.column("levels").to_pylist()
             if held and held[0] is not None:
                 old = [np.frombuffer(x, np.uint8).reshape(4, -1) for x in held]
@@ -319,13 +339,13 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
             p = np.where(seen, (mass + discount * t_h * single) / c_h, single)
             score = np.bincount(t.doc, np.log10(np.minimum(p, 1.0)), batch.num_rows)
             # exact single-word counts
-            place = np.minimum(np.searchsorted(head_word, t.hash), max(len(head_word) - 1, 0))
-            in_head = head_word[place] == t.hash if len(head_word) else np.zeros(len(t.hash), bool)
+            place = np.minimum(np.searchsorted(head_word, word), max(len(head_word) - 1, 0))
+            in_head = head_word[place] == word if len(head_word) else np.zeros(len(word), bool)
             log_c = np.where(in_head, np.log10(head_c[place] + 1.0) if len(head_c) else 0.0, 0.0)
-            known = np.bincount(t.doc, in_head[t.word], batch.num_rows).astype(np.int64)
-            base = np.bincount(t.doc, log_c[t.word], batch.num_rows)
-            rare = np.flatnonzero(~in_head[t.word])
-            rare_pairs, rare_n = np.unique((t.doc[rare] << 32) | t.word[rare], return_counts=True)
+            known = np.bincount(t.doc, in_head[of_word], batch.num_rows).astype(np.int64)
+            base = np.bincount(t.doc, log_c[of_word], batch.num_rows)
+            rare = np.flatnonzero(~in_head[of_word])
+            rare_pairs, rare_n = np.unique((t.doc[rare] << 32) | of_word[rare], return_counts=True)
             offsets = np.searchsorted(rare_pairs >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
 
             def lists(values):
@@ -334,29 +354,39 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), pa.array(t.n), pa.array(score), pa.array(base), pa.array(known),
-                    lists(t.hash[rare_pairs & 0xFFFFFFFF].view(np.int64)), lists(rare_n.astype(np.int64)),
+                    lists(word[rare_pairs & 0xFFFFFFFF].view(np.int64)), lists(rare_n.astype(np.int64)),
                 ],
                 names=["id", "n_tokens", "score", "head_base", "head_known", "rare", "rare_n"],
             )
 
 
-def _segments(parts: DataFrame, most: int) -> list[list[tuple[int, int]]]:
-    """Parts in groups of ``most`` bytes at most (a part alone may be no larger)."""
-    sizes = parts.filter("bits IS NOT NULL").select("kind", "part", F.length("bits").alias("n")).collect()
-    groups: list[list[tuple[int, int]]] = [[]]
+def _segments(parts: DataFrame, most: int) -> list[dict[tuple[int, int], tuple[int, int]]]:
+    """Parts in groups of ``most`` bytes at most (a part alone may be no larger): start and size of each."""
+    sizes = parts.select("kind", "part", F.length("bits").alias("n")).collect()
+    segments: list[dict] = [{}]
     held = 0
     for kind, part, n in sorted(sizes):
-        if held + n > most and groups[-1]:
-            groups.append([])
+        if held + n > most and segments[-1]:
+            segments.append({})
             held = 0
-        groups[-1].append((kind, part))
+        segments[-1][kind, part] = (held, n)
         held += n
-    return groups
+    return segments
+
+
+def _read_segment(parts: DataFrame, places: dict[tuple[int, int], tuple[int, int]]) -> bytearray:
+    """The bits of a segment, fetched a file at a time into one buffer."""
+    held = bytearray(sum(n for _, n in places.values()))
+    wanted = parts.sparkSession.createDataFrame(list(places) or [(-1, -1)], "kind int, part int")
+    for row in parts.join(F.broadcast(wanted), ["kind", "part"]).select("kind", "part", "bits").toLocalIterator():
+        start, n = places[row.kind, row.part]
+        held[start : start + n] = row.bits
+    return held
 
 
 def score_documents(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-    head_rows: int = HEAD_ROWS, segment_bytes: int = SEGMENT_BYTES, part_pairs: int = PART_PAIRS,
+    head_rows: int = HEAD_ROWS, segment_bytes: int = SEGMENT_BYTES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Learn from the rows where ``training`` holds, score all rows.
 
@@ -369,22 +399,20 @@ def score_documents(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     learn = docs.filter(training).select(text_bytes(text_col).alias("text"))
-    unigrams = stored(
-        learn.mapInArrow(_word_batches, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "unigrams"
-    )
+    n_parts = 1 + learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes
+    counts = learn.mapInArrow(partial(_count_batches, n_parts=n_parts), PACKED_COLUMNS)
+    with short_batches(spark, COUNT_ROWS):
+        counted = stored(counts.repartition("kind", "part").mapInArrow(_part_batches, PART_COLUMNS), "counts")
+    unigrams = counted.filter("c IS NOT NULL").select("word", "c")
+    followers = counted.filter("t IS NOT NULL").groupBy("word").agg(F.sum("t").alias("t"))
     total, n_words = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_pair_parts, n_word_parts = 1 + total // part_pairs, 1 + n_words // part_pairs
-
-    pairs = learn.mapInArrow(partial(_pair_batches, n_parts=n_pair_parts), "part int, h long, w int, n int")
-    pair_parts_ = stored(pairs.repartition("part").mapInArrow(_pair_part_batches, PART_COLUMNS), "pair-parts")
-    followers = pair_parts_.filter("word IS NOT NULL").groupBy("word").agg(F.sum("followers").alias("t"))
     words = unigrams.join(followers, "word", "full").select(
         "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t")
     )
-    dealt = words.mapInArrow(partial(_dealt_batches, n_parts=n_word_parts), "word long, c long, t long, part int")
+    dealt = words.mapInArrow(partial(_dealt_batches, n_parts=n_parts), "word long, c long, t long, part int")
     word_parts_ = stored(dealt.repartition("part").mapInArrow(_word_part_batches, PART_COLUMNS), "word-parts")
-    parts = pair_parts_.unionByName(word_parts_)
-    n1, n2 = pair_parts_.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
+    parts = counted.select(word_parts_.columns).unionByName(word_parts_).filter("bits IS NOT NULL").select("kind", "part", "bits")
+    n1, n2 = counted.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
     discount = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
 
     head = spark.sparkContext.broadcast(_head(unigrams, head_rows))  # 16 bytes a row
@@ -392,25 +420,26 @@ def score_documents(
         F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), F.lit(None).cast("binary").alias("levels"),
     )
     segments = _segments(parts, segment_bytes)
-    for i, group in enumerate(segments):
-        wanted = spark.createDataFrame(group or [(-1, -1)], "kind int, part int")
-        held = parts.filter("bits IS NOT NULL").join(F.broadcast(wanted), ["kind", "part"]).select("kind", "part", "bits")
-        shared = spark.sparkContext.broadcast((
-            n_pair_parts, n_word_parts, total, n_words, discount,
-            [(r.kind, r.part, bytes(r.bits)) for r in held.collect()],  # segment_bytes at most
-        ))
+    for i, places in enumerate(segments):
+        shared = spark.sparkContext.broadcast(
+            (n_parts, total, n_words, discount, places, _read_segment(parts, places))
+        )
         last = i == len(segments) - 1
         step = partial(_score_batches, shared=shared, head=head, last=last)
         if not last:
-            texts = stored(texts.mapInArrow(step, f"id {kind}, text binary, levels binary"), "levels")
-    scored = stored(
-        texts.mapInArrow(
-            step,
-            f"id {kind}, n_tokens long, score double, head_base double, head_known long, "
-            "rare array<bigint>, rare_n array<bigint>",
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "scored",
+            with short_batches(spark, SCORE_ROWS):
+                texts = stored(texts.mapInArrow(step, f"id {kind}, text binary, levels binary"), "levels")
+            shared.destroy()
+    scores = texts.mapInArrow(
+        step,
+        f"id {kind}, n_tokens long, score double, head_base double, head_known long, "
+        "rare array<bigint>, rare_n array<bigint>",
     )
+    with short_batches(spark, SCORE_ROWS):
+        scored = stored(scores.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # all that follows reads what was written
+    shared.destroy()
+    head.destroy()
     rare = (
         scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
         .select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
