@@ -109,4 +109,41 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+_RULES = {
+    "few_words": "n_words < 10",
+    "repeated_words": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "capitals": "2 * n_capitals > n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 20 * n_words",
+}
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(_RULES.values()))
+# The other queries can't be put in SQL: hashes with seeds, trained models, approximate search, tokenizers.
+ORACLES: dict[str, str] = {
+    "op5_quality_ledger": rf"""
+      WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+      w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+      i AS (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w),
+      g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 4], ' ')) AS c FROM i),
+      rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, range(5) t(k) WHERE c > 1 GROUP BY r),
+      m AS (SELECT doc_id, len(words) AS n_words,
+          coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+          coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+          len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_capitals FROM w LEFT JOIN rep USING (r)),
+      f AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
+        failed = 0 AS kept, failed FROM f""",
+    "op6_chat": r"""
+      WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+      n AS (SELECT *, length(role || text) + length(regexp_replace(role || text, '[^\\<|\[]', '', 'g')) AS escaped FROM c)
+      SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(escaped + 13)::BIGINT AS formatted_chars
+      FROM n GROUP BY 1""",
+}
