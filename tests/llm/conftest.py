@@ -24,8 +24,13 @@ TEXTS = [
 
 
 @pytest.fixture(scope="session")
-def edge_docs(spark):
-    rows = [(*t, None, 7, 7, "x", 7, 7, 0.5, 7, 7, 7, 7, 7, 7) for t in TEXTS]
+def edge_texts():
+    return TEXTS
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark, edge_texts):
+    rows = [(*t, None, 7, 7, "x", 7, 7, 0.5, 7, 7, 7, 7, 7, 7) for t in edge_texts]
     return spark.createDataFrame(rows, COLUMNS).repartition(3)
 
 

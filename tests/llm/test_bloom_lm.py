@@ -73,12 +73,10 @@ def test_filter_levels():
     assert bloom_lm.levels_of(np.array([0, 1, 2, 3, 4, 7, 8, 10**12])).tolist() == [0, 1, 2, 2, 3, 3, 4, 40]
 
 
-def test_edges(spark, edge_docs, no_docs):
-    from conftest import TEXTS
-
+def test_edges(spark, edge_docs, no_docs, edge_texts):
     got = bloom_lm.score_documents(edge_docs, F.lit(True)).toPandas()
-    assert len(got) == len(TEXTS) and got.n_tokens.min() == 1 and got.score.notna().all()
-    want, n = exact([t[1] for t in TEXTS], [True] * len(TEXTS))
+    assert len(got) == len(edge_texts) and got.n_tokens.min() == 1 and got.score.notna().all()
+    want, n = exact([t[1] for t in edge_texts], [True] * len(edge_texts))
     assert sorted(got.n_tokens) == sorted(t for t, *_ in want) and set(got.train_tokens) == {n}
     assert sorted(got.base_score.round(6)) == sorted(round(b, 6) for _, _, b, _ in want)
     none = bloom_lm.score_documents(edge_docs, F.lit(False)).toPandas()

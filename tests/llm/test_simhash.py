@@ -58,7 +58,7 @@ def planted(n, seed):
     return sorted(set(prints))
 
 
-@pytest.mark.parametrize("max_shard, radius", [(4096, 2), (3, 2), (4096, 1), (5, 3)])
+@pytest.mark.parametrize("max_shard, radius", [(4096, 2), (3, 2), (5, 3)])
 def test_links_lose_nothing(spark, max_shard, radius):
     prints = planted(300, max_shard + radius)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()

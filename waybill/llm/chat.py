@@ -11,6 +11,9 @@ An event has ``conv_id``, ``seq``, ``turn``, ``kind``, ``role``, ``text``:
 - ``delta`` adds to it (streamed output);
 - ``edit`` sets it and discards what came before in all later turns;
 - ``regenerate`` empties it, likewise; the deltas of the new answer follow.
+
+A conversation becomes one row, so its turns meet in one task; the events of a turn are
+collected apart from those of other turns.
 """
 
 from __future__ import annotations
