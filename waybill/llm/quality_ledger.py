@@ -110,6 +110,8 @@ POLICIES = {
     "base_v1": ("few_words", "repeated_words"),
     "clean_v1": ("few_words", "repeated_words", "symbols", "repeated_lines", "capitals"),
     "clean_v2": ("few_words", "repeated_words", "symbols", "repeated_lines", "capitals", "short_words", "long_words"),
+    # without repeated lines, which some good documents have: license lines, refrains
+    "clean_v3": ("few_words", "repeated_words", "symbols", "capitals", "short_words", "long_words"),
 }
 
 

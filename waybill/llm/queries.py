@@ -46,7 +46,7 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality_ledger.rejected("base_v1").alias("base_failed"),
-        (~quality_ledger.rejected("clean_v2")).alias("kept"), "failed",
+        (~quality_ledger.rejected("clean_v3")).alias("kept"), "failed",
     )
 
 
@@ -135,7 +135,7 @@ ORACLES: dict[str, str] = {
           len(regexp_extract_all(t, '[A-Z]{{2,}}')) AS n_capitals FROM w LEFT JOIN rep USING (r)),
       f AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
-        failed = 0 AS kept, failed FROM f""",
+        failed & 119 = 0 AS kept, failed FROM f""",
     "op6_chat": r"""
       WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
