@@ -233,32 +233,41 @@ def _column(tables: list[pa.RecordBatch], name: str) -> np.ndarray:
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch]):
-    """Whole parts in. Of words: their counts. Of pairs: the bits, and each first word's followers in the part."""
-    held: dict[tuple[int, int], list[dict]] = {}
+    """Rows sorted by part in, one whole part looked at at a time.
+
+    Of words: their counts. Of pairs: the bits, and each first word's followers in the part.
+    """
+    held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            held.setdefault((row["kind"], row["part"]), []).append(row)
-    while held:
-        (kind, part), rows = held.popitem()
-
-        def joined(name, kind_of):
-            return np.frombuffer(b"".join(r[name] for r in rows), kind_of)
-
-        key = np.repeat(joined("keys", np.uint64), joined("runs", np.uint32))
-        second, n = joined("seconds", np.uint32), joined("counts", np.uint32).astype(np.int64)
-        entry = mixed(key) + second
-        order = np.argsort(entry)
-        entry = entry[order]
-        first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
-        n = np.add.reduceat(n[order], first)
-        key, second = key[order[first]], second[order[first]]
-        if kind == WORDS:
-            yield _word_rows(WORDS, key, c=n)
-            continue
-        once, twice = int((n == 1).sum()), int((n == 2).sum())
-        yield _part_row(PAIRS, part, part_bits(pair_keys(key, second.astype(np.uint64)), levels_of(n)), once, twice)
-        word, followers = np.unique(key, return_counts=True)
-        yield _word_rows(PAIRS, word, t=followers)
+            if held and (row["kind"], row["part"]) != (held[0]["kind"], held[0]["part"]):
+                yield from _whole_part(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from _whole_part(held)
+
+
+def _whole_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def joined(name, kind_of):
+        return np.frombuffer(b"".join(r[name] for r in rows), kind_of)
+
+    key = np.repeat(joined("keys", np.uint64), joined("runs", np.uint32))
+    second, n = joined("seconds", np.uint32), joined("counts", np.uint32).astype(np.int64)
+    entry = mixed(key) + second
+    order = np.argsort(entry)
+    entry = entry[order]
+    first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    n = np.add.reduceat(n[order], first)
+    key, second = key[order[first]], second[order[first]]
+    if rows[0]["kind"] == WORDS:
+        yield _word_rows(WORDS, key, c=n)
+        return
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    bits = part_bits(pair_keys(key, second.astype(np.uint64)), levels_of(n))
+    yield _part_row(PAIRS, rows[0]["part"], bits, once, twice)
+    word, followers = np.unique(key, return_counts=True)
+    yield _word_rows(PAIRS, word, t=followers)
 
 
 def _dealt_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
@@ -402,7 +411,8 @@ def score_documents(
     n_parts = 1 + learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes
     counts = learn.mapInArrow(partial(_count_batches, n_parts=n_parts), PACKED_COLUMNS)
     with short_batches(spark, COUNT_ROWS):
-        counted = stored(counts.repartition("kind", "part").mapInArrow(_part_batches, PART_COLUMNS), "counts")
+        by_part = counts.repartition("kind", "part").sortWithinPartitions("kind", "part")
+        counted = stored(by_part.mapInArrow(_part_batches, PART_COLUMNS), "counts")
     unigrams = counted.filter("c IS NOT NULL").select("word", "c")
     followers = counted.filter("t IS NOT NULL").groupBy("word").agg(F.sum("t").alias("t"))
     total, n_words = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
