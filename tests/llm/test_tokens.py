@@ -94,3 +94,12 @@ def test_edges(edge_docs, no_docs, library):
         token_counts.token_counts(no_docs, VOCABULARY),
     ):
         assert empty.count() == 0
+
+
+def test_pieces_of_more_than_255_tokens(spark, library):
+    texts = ["丐" * 120, "\U0001fae8" * 120, "ꙮ" * 140, "a plain text", "丐" * 120]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(want) > 255
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = token_counts.token_counts(docs, VOCABULARY).collect()
+    assert {r["id"]: r["n_tokens"] for r in got} == dict(enumerate(want))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from waybill.llm.pretokens import Vocabulary
 
-FREQUENT = 1 << 17  # rows of the first tier, 16 bytes each on average
+FREQUENT = 1 << 17  # rows of the first tier, 20 bytes each on average
 SAMPLE_ROWS = 20_000  # documents that decide which pre-tokens are in the first tier
 CACHE_ROWS = 3 << 17  # entries of a task's cache
 LONGEST = 255  # characters of a pre-token that either tier keeps
@@ -101,7 +101,7 @@ def token_counts(
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = frequent_pieces(texts, vocabulary, frequent, sample_rows)
     encode = loaded.tokenizer().encode_batch
-    lengths = np.array([len(e.ids) for e in encode(pieces, add_special_tokens=False)], np.uint8)
+    lengths = np.array([len(e.ids) for e in encode(pieces, add_special_tokens=False)], np.uint32)
     # at most ``frequent`` pieces of LONGEST characters
     table = spark.sparkContext.broadcast((SEPARATOR.join(p.encode() for p in pieces), lengths))
     return texts.mapInArrow(
