@@ -82,3 +82,19 @@ def test_edges(spark, edge_docs, no_docs, edge_texts):
     none = bloom_lm.score_documents(edge_docs, F.lit(False)).toPandas()
     assert (none.score == 0).all() and (none.base_score == 0).all() and (none.n_known == 0).all()
     assert bloom_lm.score_documents(no_docs, F.lit(True)).count() == 0
+
+
+def test_a_hot_word_is_spread_over_all_parts(spark, monkeypatch):
+    texts = [" ".join(f"hot w{i}x{j}" for j in range(100)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sizes, segments = {}, bloom_lm._segments
+
+    def spied(parts, most):
+        sizes.update({r["part"]: len(r["bits"]) for r in parts.filter(F.col("kind") == bloom_lm.PAIRS).collect()})
+        return segments(parts, most)
+
+    monkeypatch.setattr(bloom_lm, "_segments", spied)
+    got = bloom_lm.score_documents(docs, F.lit(True), part_bytes=2_000).toPandas().sort_values("id")
+    assert len(sizes) > 80 and max(sizes.values()) < sum(sizes.values()) / 50
+    want, _ = exact(texts, [True] * len(texts))
+    assert np.mean(np.abs(got.score.to_numpy() - [w[3] for w in want]) / got.n_tokens) < 0.1

@@ -11,8 +11,8 @@ with T(h) the distinct followers of h, D = n1 / (n1 + 2 n2) from all pairs seen
 twice, and P(w | h) = P(w) for an unseen h. A text's first word has a start mark as h, and an end
 mark is its last token.
 
-The filter is made of parts. Keys are dealt to parts by hash, a task makes the bits of
-whole parts, and no bits are merged. Its size grows with the corpus, so it is broadcast in
+The filter is made of parts. Keys are dealt to parts by hash, the followers of a word over the more
+parts the more often it comes; a task makes the bits of whole parts, and no bits are merged. Its size grows with the corpus, so it is broadcast in
 segments of ``SEGMENT_BYTES`` at most: a pass over the texts probes one segment and keeps the levels
 found so far, one byte each; the last pass adds up the logarithms. Nothing is pruned.
 
@@ -41,7 +41,8 @@ BITS_PER_ENTRY = 10
 PROBES = 4  # bits of a key, all in one 64-bit word
 BASE = 2  # the ratio of one level's counts to the next
 PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
-SALTS = 16  # a word's followers are spread over so many parts
+SALTS = 16  # a word's followers are spread over so many parts, those of a hot word over more
+TOKEN_BYTES = 6  # of text to a token; a word with more tokens than a part has bytes for is hot
 COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 19  # text that is looked at together
 COUNT_ROWS, SCORE_ROWS = 500, 200  # texts that a task is handed at a time
 # the hashes of the marks; a word's is one of 2^64
@@ -83,9 +84,14 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(h + mixed((w & np.uint64(0xFFFFFFFF)) + np.uint64(3)))
 
 
-def pair_parts(h: np.ndarray, w: np.ndarray, n_parts: int) -> np.ndarray:
-    salt = w % np.uint64(SALTS)
-    return _below(mixed(h ^ (salt + np.uint64(1)) << np.uint64(58)), n_parts).astype(np.int32)
+def pair_parts(h: np.ndarray, w: np.ndarray, n_parts: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    word, salts = hot
+    n = np.full(len(h), SALTS, np.uint64)
+    if len(word):
+        at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+        n = np.where(word[at] == h, salts[at], n)
+    salt = w % n + np.uint64(1)
+    return _below(mixed(h ^ (salt << np.uint64(58) | salt >> np.uint64(6))), n_parts).astype(np.int32)
 
 
 def word_keys(w: np.ndarray, kind: int) -> np.ndarray:
@@ -197,7 +203,38 @@ def _packed(kind: int, part: np.ndarray, key: np.ndarray, second: np.ndarray, n:
     )
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
+def _hot_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
+    """Counts of first words in each slice of texts, without those that are rare in it.
+
+    What is left out of a word's count is less than half of what makes it hot.
+    """
+    for whole in batches:
+        for batch in pieces_of(whole, "text", COUNT_BYTES):
+            texts = batch.column("text").to_pylist()
+            word, n = np.unique(Tokens.of(texts).before, return_counts=True)
+            kept = 2 * TOKEN_BYTES * n_parts * n >= sum(map(len, texts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], names=["word", "n"]
+            )
+
+
+def hot_words(learn: DataFrame, n_parts: int, part_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words with more tokens than a part holds: hashes, sorted, and how many salts each has.
+
+    All followers of a word under one salt are then a SALTS-th of a part at most. There are at most
+    about three such words for each part.
+    """
+    if n_parts == 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    limit = max(part_bytes // TOKEN_BYTES, 2)
+    counts = learn.mapInArrow(partial(_hot_batches, n_parts=n_parts), "word long, n long")
+    hot = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit // 2).toArrow()
+    word, n = hot.column("word").to_numpy().view(np.uint64), hot.column("n").to_numpy()
+    order = np.argsort(word)
+    return word[order], (SALTS * (1 + (n[order] + limit // 2) // limit)).astype(np.uint64)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], n_parts: int, hot):
     """Counts of words and pairs in each slice of texts, packed by part."""
     for whole in batches:
         for batch in pieces_of(whole, "text", COUNT_BYTES):
@@ -206,7 +243,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
             yield _packed(WORDS, word_parts(word, n_parts), word, np.zeros(len(word), np.uint32), n)
             first, _, n = t.pairs()
             h, w = t.before[first], t.word[first]
-            yield _packed(PAIRS, pair_parts(h, w, n_parts), h, w & np.uint64(0xFFFFFFFF), n)
+            yield _packed(PAIRS, pair_parts(h, w, n_parts, hot.value), h, w & np.uint64(0xFFFFFFFF), n)
 
 
 PART_SCHEMA = pa.schema([
@@ -310,7 +347,7 @@ def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
     """Probe one segment. The last pass gives scores, the others text and levels."""
-    n_parts, total, n_words, discount, places, held = shared.value
+    n_parts, total, n_words, discount, places, held, hot = shared.value
     pair_filter = Filter(n_parts, PAIRS, places, held)
     word_filter = Filter(n_parts, WORDS, places, held)
     head_word, head_c = head.value
@@ -328,7 +365,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
             c = word_filter.levels(word_keys(word, COUNT), in_part)
             f = word_filter.levels(word_keys(word, FOLLOWERS), in_part)
             c[start] = c[end]  # as many starts as ends
-            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts))
+            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts, hot))
             levels = np.stack([pair[at], c[of_before], f[of_before], c[of_word]])
             held = batch.column("levels").to_pylist()
             if held and held[0] is not None:
@@ -409,7 +446,9 @@ def score_documents(
     kind = docs.schema[id_col].dataType.simpleString()
     learn = docs.filter(training).select(text_bytes(text_col).alias("text"))
     n_parts = 1 + learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes
-    counts = learn.mapInArrow(partial(_count_batches, n_parts=n_parts), PACKED_COLUMNS)
+    with short_batches(spark, COUNT_ROWS):
+        hot = spark.sparkContext.broadcast(hot_words(learn, n_parts, part_bytes))  # 16 bytes a row
+    counts = learn.mapInArrow(partial(_count_batches, n_parts=n_parts, hot=hot), PACKED_COLUMNS)
     with short_batches(spark, COUNT_ROWS):
         by_part = counts.repartition("kind", "part").sortWithinPartitions("kind", "part")
         counted = stored(by_part.mapInArrow(_part_batches, PART_COLUMNS), "counts")
@@ -432,7 +471,7 @@ def score_documents(
     segments = _segments(parts, segment_bytes)
     for i, places in enumerate(segments):
         shared = spark.sparkContext.broadcast(
-            (n_parts, total, n_words, discount, places, _read_segment(parts, places))
+            (n_parts, total, n_words, discount, places, _read_segment(parts, places), hot.value)
         )
         last = i == len(segments) - 1
         step = partial(_score_batches, shared=shared, head=head, last=last)
