@@ -104,3 +104,14 @@ def test_quality_edges(spark, edge_docs, no_docs):
     assert subword.score(no_docs, model, no_docs.columns, name="s").count() == 0
     one_class = subword.train(edge_docs, labels.filter("quality = 1"))
     assert subword.score(edge_docs, one_class, ["doc_id"]).count() == edge_docs.count()
+
+
+def test_labels_of_other_documents_change_nothing(spark, edge_docs):
+    known = [(1, 1), (3, 0), (7, 1), (8, 1)]
+    given = edge_docs.filter("doc_id <> 8")
+    models = [
+        subword.train(given, spark.createDataFrame(known[:3] + more, "doc_id bigint, quality int"))
+        for more in ([], known[3:], [(8, 0)] * 3 + [(99, 0)] * 20)
+    ]
+    for other in models[1:]:
+        assert np.array_equal(models[0].vectors, other.vectors) and np.array_equal(models[0].bias, other.bias)

@@ -5,7 +5,7 @@ character 3- and 4-grams (of UTF-8 bytes, blanks included, over the whole text),
 Each bucket has a learned vector. A text is the average of its features' vectors, together with
 ``NEUTRAL`` zero vectors that keep the averages of short texts small; a softmax layer gives the classes.
 Vectors and layer are trained together by stochastic gradient descent in numpy, on a bounded
-sample in which the classes weigh as much as among all labels.
+sample in which the classes weigh as much as among all labels of the documents given.
 For scoring, each bucket's vector is multiplied with the layer once: a feature then adds one
 number per class to the average, which is the same model.
 """
@@ -139,7 +139,8 @@ def train(
 ) -> Model | None:
     """Fit on a bounded sample (see ``labelled_sample``) of the documents that ``labels`` marks 0 or 1."""
     known = labels.select(id_col, F.col(label_col).cast("int").alias(label_col)).filter(F.col(label_col).isin(0, 1))
-    n = {r[label_col]: r["count"] for r in known.groupBy(label_col).count().collect()}
+    learned = known.join(docs.select(id_col), id_col, "left_semi")
+    n = {r[label_col]: r["count"] for r in learned.groupBy(label_col).count().collect()}
     sample = labelled_sample(docs, known, id_col, label_col, text_col)
     shares = n.get(0, 0), n.get(1, 0)
     return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist(), shares)
