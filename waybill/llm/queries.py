@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import bloom_lm, bpe, chat, collision_search, mixing, quality_ledger, simhash, string_kernel, subword, token_counts
+from waybill.llm import (
+    bloom_lm, bpe, chat, collision_search, divergence, hard_negatives, mixing, quality_ledger, simhash, string_kernel,
+    substring, subword, token_counts,
+)
 from waybill.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +100,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_collision_search": op2_collision_search,
@@ -108,6 +125,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_substring": op11_substring,
+    "op12_divergence": op12_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _RULES = {
     "few_words": "n_words < 10",
@@ -146,4 +166,46 @@ ORACLES: dict[str, str] = {
         sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         sum(escaped + 13)::BIGINT AS formatted_chars
       FROM n GROUP BY 1""",
+    "op11_substring": r"""
+      WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+      i AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d),
+      g AS (SELECT r, i, count(*) OVER (PARTITION BY md5(array_to_string(words[i:i + 34], ' '))) AS c FROM i),
+      gone AS (SELECT r, list(DISTINCT i + k) AS gone FROM g, range(35) t(k) WHERE c > 1 GROUP BY r),
+      m AS (SELECT doc_id, words, coalesce(map_from_entries(list_transform(gone, lambda x: (x, true))), MAP {}) AS gone FROM d LEFT JOIN gone USING (r))
+      SELECT doc_id, len(words) AS n_words, cardinality(gone)::BIGINT AS n_removed,
+        sha256(array_to_string(list_filter(words, lambda w, i: gone[i] IS NULL), ' ')) AS kept_sha256 FROM m""",
+    "op12_divergence": r"""
+      WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+          regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        t AS (SELECT r, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3),
+        all_c AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS p
+          FROM all_c WINDOW w AS (PARTITION BY lang, source)),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS q
+          FROM kept WINDOW w AS (PARTITION BY lang)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+          FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+          FROM (FROM pairs UNION ALL FROM terms))
+      SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op13_hard_negatives": """
+      WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+          coalesce(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 50 = 0 AND len(a.vec) = len(b.vec) AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+      p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+      SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank,
+        s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+      QUALIFY rank <= 3""",
 }
