@@ -198,7 +198,9 @@ def test_empty_input(spark):
     assert tuple(totals) == (0, 0, 0)
     t = usage.app_timeline(none)
     assert tuple(usage.usage_totals(t).first()) == (0, 0, None)
-    assert tuple(usage.dataset_inventory(none).first()) == (0, 0, 0)
+    no_files = spark.createDataFrame([], "file_path string, length long")
+    assert tuple(usage.dataset_inventory(no_files).first()) == (0, 0, 0, 0)
+    assert usage.top_apps_by_files(no_files).count() == usage.containers_per_app(no_files).count() == 0
     assert usage.largest_cluster_apps(t).count() == 0
     assert reports.report_log_levels(levels.level_frame(none)).count() == 5
     assert reports.report_cluster_usage(t).count() == 5

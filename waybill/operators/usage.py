@@ -122,41 +122,39 @@ def app_concurrency(timeline: DataFrame) -> DataFrame:
     )
 
 
-def top_apps_by_files(lines: DataFrame, n: int = 5) -> DataFrame:
-    """Applications with most log files."""
-    return (
-        lines.select("file_path").distinct()
-        .select(paths.application_id().alias("application_id"))
-        .filter("application_id != ''")
-        .groupBy("application_id").agg(F.count("*").alias("n_files"))
-        .orderBy(F.desc("n_files"), "application_id").limit(n)
-    )
-
+def top_apps_by_files(files: DataFrame, n: int = 5) -> DataFrame:
+    """Applications with most log files, and their bytes; ``files`` has a row per file (see ``scan_file_metadata``)."""
+    return files_per_app(files).filter("application_id != ''").orderBy(F.desc("n_files"), "application_id").limit(n)
 
-def dataset_inventory(lines: DataFrame) -> DataFrame:
-    """Applications, files and lines of a data set.
 
-    Lines are counted per file first, so the distinct counts see one row per
-    file instead of several copies of every line.
-    """
-    files = lines.groupBy("file_path").agg(F.count("*").alias("n"))
-    apps = (
-        files.select(paths.application_id().alias("application_id"), "n")
+def files_per_app(files: DataFrame) -> DataFrame:
+    """Files, empty files and bytes of every application; ``''`` for files outside an application folder."""
+    return (
+        files.select(paths.application_id().alias("application_id"), "length")
         .groupBy("application_id")
-        .agg(F.count("*").alias("n_files"), F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n_files"), F.count_if(F.col("length") == 0).alias("n_empty_files"), F.sum("length").alias("n_bytes"))
     )
+
+
+def dataset_inventory(files: DataFrame) -> DataFrame:
+    """Applications, files, empty files and bytes of a data set, from a row per file. No line is read."""
+    apps = files_per_app(files)
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return apps.agg(
         F.count(F.nullif("application_id", F.lit(""))).alias("n_applications"),
-        F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
+        whole("n_files"), whole("n_empty_files"), whole("n_bytes"),
     )
 
 
-def containers_per_app(lines: DataFrame) -> DataFrame:
-    """Containers of each application by role."""
+def inventory_with_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """The inventory and the number of lines, which are counted without being parsed."""
+    return dataset_inventory(files).withColumn("n_lines", lines.agg(F.count("*")).scalar())
+
+
+def containers_per_app(files: DataFrame) -> DataFrame:
+    """Containers of each application by role, those with an empty log included; ``files`` has a row per file."""
     containers = (
-        lines.select("file_path").distinct()
-        .select(
+        files.select(
             paths.application_id().alias("application_id"),
             paths.container_id().alias("container_id"),
         )

@@ -12,8 +12,8 @@ from waybill.functions import logtext, paths
 from waybill.operators import (
     daily, distribution, entries, levels, records, reports, tasks, usage,
 )
-from waybill.plans.demo_logs import log_lines, log_tree, monthly_orders
-from waybill.sources import scratch, sinks, tables, text
+from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
+from waybill.sources import files, scratch, sinks, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ def _on_lines(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(log_lines(spark, sf_dir))
 
 
+def _on_files(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """Operators on the files of a tree with empty logs; a row per file, nothing is read of them."""
+    return lambda spark, sf_dir: operator(files.scan_file_metadata(spark, container_logs(spark, sf_dir)))
+
+
 def _on_levels(operator: Callable[[DataFrame], DataFrame], mode: str = "loose") -> Query:
     return _on_lines(lambda lines: operator(levels.level_frame(lines, mode)))
 
@@ -146,6 +151,11 @@ def schema_rows(spark, sf_dir):
     return tables.schema_rows(_table(spark, sf_dir, "lineitem"))
 
 
+def inventory_with_lines(spark, sf_dir):
+    root = container_logs(spark, sf_dir)
+    return usage.inventory_with_lines(files.scan_file_metadata(spark, root), text.scan_log_tree(spark, root))
+
+
 # written results
 
 def csv_round_trip(spark, sf_dir):
@@ -271,9 +281,11 @@ QUERIES: dict[str, Query] = {
     "cluster_share": _on_timeline(usage.cluster_share),
     "apps_per_cluster_bars": _on_timeline(usage.apps_per_cluster_bars),
     "app_concurrency": _on_timeline(usage.app_concurrency),
-    "top_apps_by_files": _on_lines(usage.top_apps_by_files),
-    "dataset_inventory": _on_lines(usage.dataset_inventory),
-    "containers_per_app": _on_lines(usage.containers_per_app),
+    "top_apps_by_files": _on_files(usage.top_apps_by_files),
+    "files_per_app": _on_files(usage.files_per_app),
+    "dataset_inventory": _on_files(usage.dataset_inventory),
+    "inventory_with_lines": inventory_with_lines,
+    "containers_per_app": _on_files(usage.containers_per_app),
     "report_cluster_usage": _on_timeline(reports.report_cluster_usage),
     # durations
     "app_durations": _on_durations(lambda d: d),

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waybill.sources.files import create_empty
 from waybill.sources.scratch import new_folder
 
 TREE_APPS = 40  # applications in a written tree, which bounds its number of folders
-_trees: dict[tuple[str, str, int], str] = {}
+SILENT = "_0039"  # ending of the application whose containers write nothing into their logs
+_trees: dict[tuple[str, str, int | str], str] = {}
 
 
 # The lines an event writes, by its type. e: event id, s: whole seconds of its
@@ -82,7 +84,7 @@ def log_entries(spark: SparkSession, sf_dir: str, apps: int | None = None) -> Da
         .selectExpr(
             "if(e % 97 = 0, 'gateway', 'application_' || ids) AS app",
             "if(e % 97 = 0, 'edge', 'container_' || ids || '_01_00000' || (e % 3 + 1)) AS container",
-            f"{_TEXTS} AS texts",
+            f"{_TEXTS} AS texts", "e",
         )
     )
 
@@ -116,6 +118,28 @@ def log_tree(spark: SparkSession, sf_dir: str, apps: int = TREE_APPS) -> str:
     return _trees[key]
 
 
+def container_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Write one file per container, its entries in the order of their events, once per Spark application; the root.
+
+    The logs of one application are there, and empty.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "containers")
+    if key not in _trees:
+        root = new_folder(spark, "containers")
+        entries = log_entries(spark, sf_dir, TREE_APPS)
+        silent = F.col("app").endswith(SILENT)
+        (
+            entries.filter(~silent)
+            .select(F.array_join("texts", "\n").alias("value"), "app", "container", "e")
+            .repartition("app", "container").sortWithinPartitions("app", "container", "e").drop("e")
+            .write.partitionBy("app", "container").text(root)
+        )
+        for r in entries.filter(silent).select("app", "container").distinct().collect():  # three containers at most
+            create_empty(spark, f"{root}/app={r['app']}/container={r['container']}/part-00000.txt")
+        _trees[key] = root
+    return _trees[key]
+
+
 _months: dict[tuple[str, str], str] = {}
 
 

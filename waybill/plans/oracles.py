@@ -94,6 +94,18 @@ def _lines(app: str) -> str:
 APP = "user_id * 10 + (day(ts) - 1) // 3"
 LINES = _lines(APP)
 TREE = _lines(f"({APP}) % 40")
+# one file per container; the last application's are empty
+FILES = TREE + """,
+    files AS (
+      SELECT application_id, container_id, CASE WHEN ends_with(application_id, '_0039') THEN 0
+        ELSE sum(octet_length(encode(value)) + 1) END AS n_bytes
+      FROM parsed GROUP BY file_path, application_id, container_id),
+    per_app AS (
+      SELECT application_id, count(*) AS n_files, count(*) FILTER (n_bytes = 0) AS n_empty_files, sum(n_bytes)::BIGINT AS n_bytes
+      FROM files GROUP BY 1),
+    inventory AS (
+      SELECT count(*) FILTER (application_id <> '') AS n_applications, sum(n_files)::BIGINT AS n_files,
+        sum(n_empty_files)::BIGINT AS n_empty_files, sum(n_bytes)::BIGINT AS n_bytes FROM per_app)"""
 FEW_FILES = _lines(f"({APP}) % 2")
 TIMELINE = LINES + """,
     timeline AS (
@@ -133,6 +145,17 @@ def _add(base: str | None = None, **sql: str) -> None:
         ORACLES[name] = f"WITH {base}\n{text}" if base else text
 
 
+_add(
+    FILES,
+    top_apps_by_files="SELECT * FROM per_app WHERE application_id <> '' ORDER BY n_files DESC, 1 LIMIT 5",
+    files_per_app="SELECT * FROM per_app",
+    dataset_inventory="SELECT * FROM inventory",
+    inventory_with_lines="SELECT *, (SELECT count(*) FROM parsed WHERE NOT ends_with(application_id, '_0039')) AS n_lines FROM inventory",
+    containers_per_app="""
+      SELECT application_id,
+        CASE WHEN right(container_id, 6) = '000001' THEN 'application_master' ELSE 'executor' END AS role,
+        count(*) AS n_containers FROM files WHERE container_id <> '' GROUP BY 1, 2""",
+)
 _add(
     TREE,
     scan_log_tree="SELECT value FROM lines",
@@ -257,16 +280,6 @@ _add(
             || ' (' || printf('%6.2f', c * 100.0::DOUBLE / valid) || '%)'
         FROM n, v WHERE log_level <> '')
       SELECT * FROM f""",
-    top_apps_by_files="""
-      SELECT application_id, count(DISTINCT file_path) AS n_files FROM parsed WHERE application_id <> ''
-      GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
-    dataset_inventory="""
-      SELECT count(DISTINCT nullif(application_id, '')) AS n_applications,
-        count(DISTINCT file_path) AS n_files, count(*) AS n_lines FROM parsed""",
-    containers_per_app="""
-      SELECT application_id,
-        CASE WHEN right(container_id, 6) = '000001' THEN 'application_master' ELSE 'executor' END AS role,
-        count(DISTINCT container_id) AS n_containers FROM parsed WHERE container_id <> '' GROUP BY 1, 2""",
     resource_requests=r"""
       , r AS (SELECT application_id,
           CAST(regexp_extract(value, 'request (\d+) executor', 1) AS BIGINT) AS n,
