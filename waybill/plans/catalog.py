@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import logtext, paths
 from waybill.operators import (
-    daily, distribution, entries, levels, records, reports, tasks, usage,
+    daily, distribution, entries, levels, records, reports, rollup, tasks, usage,
 )
 from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
 from waybill.sources import files, scratch, sinks, tables, text
@@ -26,6 +26,11 @@ TRIPS = daily.TripColumns(
     pickup="l_shipdate", distance="l_quantity", tax="l_tax",
     fare="l_extendedprice", tip="l_discount", passengers="l_linenumber",
 )
+# orders in the same part
+ORDER_TRIPS = daily.TripColumns(
+    pickup="o_orderdate", distance="o_totalprice", tax="o_totalprice",
+    fare="o_totalprice", tip="o_totalprice", passengers="o_custkey",
+)
 YEAR = 1996
 OUTLIERS = 1.05  # times the median
 
@@ -195,6 +200,14 @@ def daily_latest(spark, sf_dir):
     return _rounded(daily.daily_latest(daily.daily_summary(trips, None, TRIPS)), 6, "mean_trip_distance")
 
 
+def daily_latest_by_month(spark, sf_dir):
+    """The newest days of a table partitioned by month; the scan opens the months of these days."""
+    orders = tables.scan_parquet_glob(spark, monthly_orders(spark, sf_dir))
+    month_end = F.last_day(F.make_date("yyyy", F.col("mm").cast("int"), F.lit(1)))
+    trips = daily.newest_days(orders, 20, ORDER_TRIPS, month_end)
+    return _rounded(daily.daily_latest(daily.daily_summary(trips, None, ORDER_TRIPS)), 7, "mean_trip_distance")
+
+
 def daily_p95_approx(spark, sf_dir):
     return daily.daily_p95_approx(_table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice")
 
@@ -212,6 +225,41 @@ def report_daily(spark, sf_dir):
     return reports.report_daily(daily.daily_summary(trips, None, TRIPS))
 
 
+# roll-ups: the first update of a store sees a part of the files, the second finds the others
+
+def _rolled_orders(spark, sf_dir):
+    root, store = monthly_orders(spark, sf_dir), scratch.new_folder(spark, "rollup")
+    for part in (f"{root}/yyyy=199*", root):
+        rollup.add_new_files(
+            spark, store, part, lambda p: tables.scan_parquet_many(spark, p, root), lambda df: daily.daily_partials(df, None, ORDER_TRIPS)
+        )
+    return rollup.merged(spark, store, daily.merge_partials)
+
+
+def _rolled_logs(spark, sf_dir):
+    root, store = container_logs(spark, sf_dir), scratch.new_folder(spark, "rollup")
+    for part in (f"{root}/app=application_*_000*", root):
+        rollup.add_new_files(spark, store, part, lambda p: text.scan_log_glob(spark, *p), rollup.cluster_partials)
+    return rollup.merged(spark, store, rollup.merge_clusters)
+
+
+def rollup_daily_summary(spark, sf_dir):
+    days = daily.summary_of_partials(_rolled_orders(spark, sf_dir))
+    return _rounded(days, 7, "mean_trip_distance")
+
+
+def rollup_daily_totals(spark, sf_dir):
+    return rollup.daily_totals(_rolled_orders(spark, sf_dir))
+
+
+def rollup_cluster_summary(spark, sf_dir):
+    return rollup.cluster_summary(_rolled_logs(spark, sf_dir))
+
+
+def rollup_usage_totals(spark, sf_dir):
+    return rollup.usage_totals(_rolled_logs(spark, sf_dir))
+
+
 # entries
 
 def multiline_entries(spark, sf_dir):
@@ -329,8 +377,14 @@ QUERIES: dict[str, Query] = {
     "date_parts": date_parts,
     "daily_summary": daily_summary,
     "daily_latest": daily_latest,
+    "daily_latest_by_month": daily_latest_by_month,
     "daily_p95_approx": daily_p95_approx,
     "daily_p95_exact": daily_p95_exact,
     "daily_rollup_totals": daily_rollup_totals,
     "report_daily": report_daily,
+    # roll-ups
+    "rollup_daily_summary": rollup_daily_summary,
+    "rollup_daily_totals": rollup_daily_totals,
+    "rollup_cluster_summary": rollup_cluster_summary,
+    "rollup_usage_totals": rollup_usage_totals,
 }

@@ -517,3 +517,30 @@ ORACLES.update({
     k: v.replace("\n\n      ,", ",").replace("\n      ,", ",", 1)
     for k, v in ORACLES.items()
 })
+
+_ORDER_DAYS = """
+      SELECT year(d)::INT AS dt_year, month(d)::INT AS dt_month, day(d)::INT AS dt_day, count(*) AS num_trips,
+        round(avg(p), 7) AS mean_trip_distance, max(p) AS max_mta_tax, quantile_disc(p, 0.95) AS q95_fare_amount,
+        min(p) AS min_tip_amount, CAST(ceil(avg(c)) AS BIGINT) AS mean_passenger_count
+      FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_totalprice AS p, o_custkey AS c FROM orders) GROUP BY d"""
+_add(
+    rollup_daily_summary=_ORDER_DAYS,
+    daily_latest_by_month=_ORDER_DAYS + " ORDER BY dt_year DESC, dt_month DESC, dt_day DESC LIMIT 20",
+    rollup_daily_totals="""
+      SELECT count(*) AS n_days, sum(n)::BIGINT AS total_trips, sum(n)::DOUBLE / count(*) AS mean_daily_trips,
+        min(d) AS first_date, max(d) AS last_date
+      FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)""",
+)
+_ROLLED = TREE + """,
+    spoken AS (SELECT * FROM timed WHERE NOT ends_with(application_id, '_0039')),
+    clusters AS (
+      SELECT cluster_id, count(DISTINCT application_id) FILTER (at_time IS NOT NULL) AS num_applications, count(*) AS n_lines,
+        min(at_time) AS cluster_first_app, max(at_time) AS cluster_last_app
+      FROM spoken GROUP BY 1)"""
+_add(
+    _ROLLED,
+    rollup_cluster_summary="SELECT * FROM clusters",
+    rollup_usage_totals="""
+      SELECT count(*) AS total_clusters, sum(num_applications)::BIGINT AS total_applications,
+        sum(num_applications)::DOUBLE / count(*) AS avg_apps_per_cluster FROM clusters""",
+)
