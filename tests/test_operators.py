@@ -212,7 +212,7 @@ def test_results_do_not_depend_on_partitioning(spark, sf_dir):
     lines = log_lines(spark, sf_dir)
     spread = lines.repartition(13)
     for operator in (
-        levels.level_frame, levels.sample_log_entries, usage.app_timeline,
+        levels.level_frame, levels.sample_by_text, usage.app_timeline,
         lambda x: distribution.app_duration_stats(distribution.largest_cluster_durations(usage.app_timeline(x)))
         .drop("stddev_sec"),
     ):
@@ -363,11 +363,11 @@ def test_sample_takes_lines_not_texts(spark):
     common = spark.range(9000).select(F.lit("24/01/02 03:04:05 INFO a.B: same").alias("value"))
     rare = spark.range(1000).select(F.format_string("24/01/02 03:04:05 WARN a.B: %d", "id").alias("value"))
     lines = common.unionByName(rare).withColumn("file_path", F.lit("f"))
-    got = [r["log_level"] for r in levels.sample_log_entries(lines, 100).collect()]
+    got = [r["log_level"] for r in levels.sample_by_text(lines, 100).collect()]
     assert len(got) == 100 and 78 <= got.count("INFO") <= 98
-    again = levels.sample_log_entries(lines.repartition(7), 100).collect()
+    again = levels.sample_by_text(lines.repartition(7), 100).collect()
     assert sorted(r["log_level"] for r in again) == sorted(got)
-    assert levels.sample_log_entries(lines.filter("value LIKE '%WARN%'"), 5000).count() == 1000
+    assert levels.sample_by_text(lines.filter("value LIKE '%WARN%'"), 5000).count() == 1000
     assert levels.sample_check(lines, 20, 5).first() == (20, 20)
 
 

@@ -68,7 +68,7 @@ def test_month_range_prunes_files(spark, sf_dir):
 
 
 def test_top_k_and_samples_do_not_sort_everything(spark, sf_dir):
-    for name in ("top_clusters", "sample_log_entries", "sample_random", "top_components", "daily_latest"):
+    for name in ("top_clusters", "sample_log_entries", "sample_by_text", "sample_random", "top_components", "daily_latest"):
         p = plan(catalog.QUERIES[name](spark, sf_dir))
         assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p
 
@@ -92,13 +92,18 @@ def test_level_regex_runs_once_per_line(spark, sf_dir):
 
 
 def test_entries_do_not_shuffle_lines(spark, sf_dir):
-    p = plan(catalog.QUERIES["multiline_entries"](spark, sf_dir))
+    p = plan(catalog.QUERIES["multiline_entries_blocks"](spark, sf_dir))
     shuffled = [x for x in p.splitlines() if x.startswith("Arguments: hashpartitioning")]
     scans = [x for x in p.splitlines() if x.startswith("PushedFilters") and "), EqualTo(entry_timestamp,?)" in x]
     # all lines that take part in a shuffle are open ones, or rows of blocks
     assert len(scans) == 1 and p.count("SortAggregate") == 0 and len(shuffled) <= 3
 
 
+def test_entries_of_ranges_are_one_pass(spark, sf_dir):
+    p = plan(catalog.QUERIES["multiline_entries"](spark, sf_dir))
+    assert "BatchScan log_entries" in p and "Exchange" not in p and "Scan parquet" not in p
+
+
 @pytest.mark.parametrize("name", [
     "duration_histogram", "duration_histogram_log", "duration_density", "app_duration_stats", "duration_cdf",
     "duration_outliers", "duration_histogram_by_cluster", "duration_density_by_cluster", "duration_cdf_by_cluster",

@@ -6,7 +6,7 @@ totals, shares and the report are made from it. The other operators take lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import logtext
@@ -89,9 +89,45 @@ def lines_with_level(lines: DataFrame) -> DataFrame:
     return lines.filter(logtext.has_level()).select("*", logtext.log_level().alias("log_level"))
 
 
-def sample_log_entries(lines: DataFrame, n: int = 10) -> DataFrame:
+def _drawn(lines: DataFrame, n: int, file: Column | str) -> DataFrame:
+    """The n lines whose place has the smallest digest."""
+    place = F.concat_ws(":", file, "line_start")
+    return lines.orderBy(F.md5(place), place).limit(n)
+
+
+def sample_log_entries(lines: DataFrame, n: int = 10, file: Column | str = "file_path") -> DataFrame:
     """A repeatable sample of n lines with a level, each line as likely as any other.
 
+    A line is known by its place: ``file`` and the byte at which it begins (``line_start``, see ``scan_placed_lines``). So
+    the sample is the same however the files were cut, and equal lines are lines of their own. One pass: a task
+    keeps n lines, and nothing else is moved.
+    """
+    return _entries(_drawn(lines.filter(logtext.has_level()), n, file))
+
+
+def levels_and_sample(
+    lines: DataFrame, n: int = 10, file: Column | str = "file_path", mode: str = "loose"
+) -> tuple[DataFrame, DataFrame]:
+    """The level frame and the sample of placed lines, from one pass, which runs here.
+
+    The counts are metrics that the pass for the sample observes on its way. It has no shuffle, so a task that is
+    run again after a loss is counted once. What comes to the driver is n lines and five numbers.
+    """
+    level = F.col("log_level")
+    parsed = lines.select("value", "line_start", F.col(file).alias("file") if isinstance(file, str) else file.alias("file"), logtext.log_level(mode=mode).alias("log_level"))
+    seen = Observation()
+    watched = parsed.observe(seen, F.count("*").alias("all"), *[F.count_if(level == x).alias(x) for x in logtext.LEVELS])
+    spark = lines.sparkSession
+    drawn = _drawn(watched.filter(level != ""), n, "file").select(F.col("value").alias("log_entry"), "log_level").collect()
+    counts = [(x, seen.get[x], seen.get[x]) for x in logtext.LEVELS if seen.get[x]]
+    rest = seen.get["all"] - sum(c for _, c, _ in counts)
+    frame = spark.createDataFrame(counts + [("", rest, 0)] * (rest > 0), "log_level string, n_lines long, count long")
+    return frame, spark.createDataFrame(drawn, "log_entry string, log_level string")
+
+
+def sample_by_text(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The same for lines whose places are not known.
+
     It does not depend on how the lines are partitioned, and equal lines of a file are lines of their
     own. They share a digest, so lines are counted by digest first; that shuffles a short key and a
     number, not the lines. The c copies behind a digest stand for c random numbers, of which only the n

@@ -1,7 +1,6 @@
 """Whole analyses: every result table, report and chart table written in one go.
 
-Each reads its input once (the level analysis twice, since its sample needs the
-lines) and keeps the small frame all results come from in the shared folder.
+Each reads its input once and keeps the small frame all results come from in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,10 +13,16 @@ from waybill.sources.sinks import write_csv, write_report
 
 
 def log_level_analysis(lines: DataFrame, out: str, sample: int = 10) -> None:
-    """``counts``, ``sample`` and ``summary`` below ``out``."""
-    frame = checkpointed(levels.level_frame(lines))
+    """``counts``, ``sample`` and ``summary`` below ``out``.
+
+    Lines with their places (``scan_placed_lines``) are read once; others twice, as their sample has to count equal lines.
+    """
+    if "line_start" in lines.columns:
+        frame, drawn = levels.levels_and_sample(lines, sample)
+    else:
+        frame, drawn = checkpointed(levels.level_frame(lines)), levels.sample_by_text(lines, sample)
     write_csv(levels.log_level_counts(frame), f"{out}/counts", one_file=True)
-    write_csv(levels.sample_log_entries(lines, sample), f"{out}/sample", one_file=True)
+    write_csv(drawn, f"{out}/sample", one_file=True)
     write_report(reports.report_log_levels(frame), f"{out}/summary")
 
 

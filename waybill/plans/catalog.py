@@ -13,7 +13,7 @@ from waybill.operators import (
     daily, distribution, entries, levels, records, reports, rollup, tasks, usage,
 )
 from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
-from waybill.sources import files, scratch, sinks, tables, text
+from waybill.sources import files, ranges, scratch, sinks, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +178,42 @@ def reload_saved_results(spark, sf_dir):
     return usage.apps_per_cluster_bars(tables.scan_csv(spark, folder, TIMELINE))
 
 
+def write_totals(spark, sf_dir):
+    """Totals of lines, observed while the level counts are written, beside the counts that were written."""
+    folder = scratch.new_folder(spark, "counts")
+    frame = levels.level_frame(log_lines(spark, sf_dir))
+    totals = sinks.write_csv_counted(
+        frame, folder, total_lines=F.sum("n_lines"), lines_with_level=F.sum("count"), n_rows=F.count("*")
+    )
+    written = tables.scan_csv(spark, folder, "log_level string, n_lines bigint, count bigint").filter("count > 0")
+    return written.select("log_level", "count", *[F.lit(v).cast("bigint").alias(k) for k, v in totals.items()])
+
+
+# placed lines: a byte range source
+
+def _placed_lines(spark, sf_dir):
+    return ranges.scan_placed_lines(spark, container_logs(spark, sf_dir))
+
+
+def _in_tree():
+    """The folders of a file below the root of its tree, which has another name in every run."""
+    return F.regexp_extract("file_path", "app=[^/]+/container=[^/]+", 0)
+
+
+def scan_placed_lines(spark, sf_dir):
+    return _placed_lines(spark, sf_dir).select("value", _in_tree().alias("file"), "line_start")
+
+
+def sample_log_entries(spark, sf_dir):
+    return levels.sample_log_entries(_placed_lines(spark, sf_dir), file=_in_tree())
+
+
+def levels_with_sample(spark, sf_dir):
+    """Counts and sample from one pass; a sampled line beside the totals of its level."""
+    frame, sample = levels.levels_and_sample(_placed_lines(spark, sf_dir), file=_in_tree())
+    return sample.join(F.broadcast(frame), "log_level")  # five rows
+
+
 # trips
 
 def filter_year(spark, sf_dir):
@@ -263,7 +299,15 @@ def rollup_usage_totals(spark, sf_dir):
 # entries
 
 def multiline_entries(spark, sf_dir):
-    """Every line of a written tree with the head of its entry.
+    """Every line of a tree with the head of its entry, in one pass."""
+    lines = ranges.scan_entries(spark, log_tree(spark, sf_dir, 2), range_bytes=1 << 20)
+    return lines.select(
+        paths.container_id().alias("container_id"), "value", "is_continuation", "entry_timestamp", "entry_level"
+    )
+
+
+def multiline_entries_blocks(spark, sf_dir):
+    """The same from Spark's own text scan, for stores that only Spark reads.
 
     The tree has few files, and they are cut into small blocks, so many blocks open inside an entry.
     """
@@ -307,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "filter_has_timestamp": _on_lines(lambda x: x.filter(logtext.timestamp_text() != "")),
     "filter_error_lines": _on_lines(levels.filter_error_lines),
     "multiline_entries": multiline_entries,
+    "multiline_entries_blocks": multiline_entries_blocks,
     # levels
     "log_level_counts": _on_levels(levels.log_level_counts),
     "log_level_counts_strict": _on_levels(levels.log_level_counts, "strict"),
@@ -314,7 +359,11 @@ QUERIES: dict[str, Query] = {
     "log_level_distribution": _on_levels(levels.log_level_distribution),
     "level_counts_complete": _on_levels(levels.level_counts_complete),
     "level_token_counts": _on_lines(levels.level_token_counts),
-    "sample_log_entries": _on_lines(levels.sample_log_entries),
+    "scan_placed_lines": scan_placed_lines,
+    "sample_log_entries": sample_log_entries,
+    "sample_by_text": _on_lines(levels.sample_by_text),
+    "levels_with_sample": levels_with_sample,
+    "write_totals": write_totals,
     "sample_random": _on_lines(levels.sample_check),
     "component_counts": _on_lines(levels.component_counts),
     "top_components": _on_lines(levels.top_components),

@@ -31,52 +31,52 @@ def _lines(app: str) -> str:
           ELSE 'container_' || ids || '_01_' || printf('%06d', e % 3 + 1) END AS container
       FROM named),
     raw AS (
-      SELECT *, t || ' INFO executor.Executor: Running ' || {task} AS value FROM placed WHERE k = 'view'
+      SELECT *, 1 AS ln, t || ' INFO executor.Executor: Running ' || {task} AS value FROM placed WHERE k = 'view'
       UNION ALL
-      SELECT *, t_end || ' INFO executor.Executor: Finished ' || {task}
+      SELECT *, 2 AS ln, t_end || ' INFO executor.Executor: Finished ' || {task}
         || '. 2076 bytes result sent to driver' FROM placed WHERE k = 'view' AND e % 11 <> 0
       UNION ALL
-      SELECT *, t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
+      SELECT *, 3 AS ln, t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
         || '.txt:' || e * 1000 || '+' || s * 1024 + e FROM placed WHERE k = 'click'
       UNION ALL
-      SELECT *, t || ' INFO python.PythonRunner: Times: total = ' || s + e % 50 || ', boot = '
+      SELECT *, 4 AS ln, t || ' INFO python.PythonRunner: Times: total = ' || s + e % 50 || ', boot = '
         || e % 300 - 150 || ', init = ' || e % 40 || ', finish = ' || s FROM placed WHERE k = 'click'
       UNION ALL
-      SELECT *, t || ' INFO storage.BlockManager: Found block rdd_' || e % 20 || '_' || e % 4
+      SELECT *, 5 AS ln, t || ' INFO storage.BlockManager: Found block rdd_' || e % 20 || '_' || e % 4
         || CASE WHEN e % 3 = 0 THEN ' remotely' ELSE ' locally' END FROM placed WHERE k = 'click' AND e % 2 = 0
       UNION ALL
-      SELECT *, t || ' INFO storage.MemoryStore: Block broadcast_' || e
+      SELECT *, 6 AS ln, t || ' INFO storage.MemoryStore: Block broadcast_' || e
         || ' stored as bytes in memory (estimated size ' || s || '.' || e % 10
         || CASE WHEN e % 13 = 0 THEN ' XB' WHEN e % 3 = 0 THEN ' KB' WHEN e % 3 = 1 THEN ' KiB' ELSE ' B' END
         || ', free ' || e % 500 || '.5 ' || CASE WHEN e % 2 = 0 THEN 'MB' ELSE 'MiB' END || ')'
       FROM placed WHERE k = 'purchase'
       UNION ALL
-      SELECT *, t || ' INFO storage.MemoryStore: MemoryStore started with capacity ' || e % 7 + 1
+      SELECT *, 7 AS ln, t || ' INFO storage.MemoryStore: MemoryStore started with capacity ' || e % 7 + 1
         || '.5 ' || CASE WHEN e % 2 = 0 THEN 'GB' ELSE 'GiB' END FROM placed WHERE k = 'purchase' AND e % 3 = 0
       UNION ALL
-      SELECT *, t || ' INFO YarnAllocator: Will request ' || e % 16 + 1
+      SELECT *, 8 AS ln, t || ' INFO YarnAllocator: Will request ' || e % 16 + 1
         || ' executor containers, each with ' || e % 5 + 1 || ' cores and ' || (e % 8 + 1) * 1024
         || ' MB memory including ' || (e % 8 + 1) * 128 || ' MB overhead' FROM placed WHERE k = 'signup'
       UNION ALL
-      SELECT *, t || ' INFO YarnAllocator: Container request (host: Any, capability: <memory:'
+      SELECT *, 9 AS ln, t || ' INFO YarnAllocator: Container request (host: Any, capability: <memory:'
         || (e % 8 + 1) * 1152 || ', vCores:' || e % 5 + 1 || '>)' FROM placed WHERE k = 'signup' AND e % 3 = 0
       UNION ALL
-      SELECT *, t || ' WARN YarnAllocator no colon here' FROM placed WHERE k = 'signup' AND e % 4 = 0
+      SELECT *, 10 AS ln, t || ' WARN YarnAllocator no colon here' FROM placed WHERE k = 'signup' AND e % 4 = 0
       UNION ALL
-      SELECT *, '17/13/45 10:04:42 WARN a.B: bad date' FROM placed WHERE k = 'signup' AND e % 6 = 1
+      SELECT *, 11 AS ln, '17/13/45 10:04:42 WARN a.B: bad date' FROM placed WHERE k = 'signup' AND e % 6 = 1
       UNION ALL
-      SELECT *, t || ' WARN scheduler.TaskSetManager: Lost ' || {attempt}
+      SELECT *, 12 AS ln, t || ' WARN scheduler.TaskSetManager: Lost ' || {attempt}
         || ', node-' || e % 6 || ', executor ' || e % 9 || '): reset' FROM placed WHERE k = 'error' AND e % 4 = 0
       UNION ALL
-      SELECT *, t || ' ERROR executor.Executor: Exception in ' || {attempt} || ')' FROM placed WHERE k = 'error'
+      SELECT *, 13 AS ln, t || ' ERROR executor.Executor: Exception in ' || {attempt} || ')' FROM placed WHERE k = 'error'
       UNION ALL
-      SELECT *, chr(9) || 'at org.foo.INFORMATION(App.scala:' || e % 90 || ')' FROM placed WHERE k = 'error'
+      SELECT *, 14 AS ln, chr(9) || 'at org.foo.INFORMATION(App.scala:' || e % 90 || ')' FROM placed WHERE k = 'error'
       UNION ALL
-      SELECT *, '' FROM placed WHERE k = 'error' AND e % 5 = 0
+      SELECT *, 15 AS ln, '' FROM placed WHERE k = 'error' AND e % 5 = 0
       UNION ALL
-      SELECT *, t || ' TERRORIZE x' FROM placed WHERE k = 'error' AND e % 7 = 0),
+      SELECT *, 16 AS ln, t || ' TERRORIZE x' FROM placed WHERE k = 'error' AND e % 7 = 0),
     lines AS (
-      SELECT 'file:///logs/' || app || '/' || container || '.log' AS file_path, app, container, value, t, k
+      SELECT 'file:///logs/' || app || '/' || container || '.log' AS file_path, app, container, value, t, k, e, ln
       FROM raw),
     parsed AS (
       SELECT file_path, value,
@@ -145,6 +145,24 @@ def _add(base: str | None = None, **sql: str) -> None:
         ORACLES[name] = f"WITH {base}\n{text}" if base else text
 
 
+# the byte at which a line begins: the lines of a container are in the order of their events
+PLACED = TREE + r""",
+    placed_lines AS (
+      SELECT 'app=' || app || '/container=' || container AS file, value, regexp_extract(value, '(INFO|WARN|ERROR|DEBUG)', 1) AS log_level,
+        (sum(octet_length(encode(value)) + 1) OVER (PARTITION BY app, container ORDER BY e, ln ROWS UNBOUNDED PRECEDING)
+          - octet_length(encode(value)) - 1)::BIGINT AS line_start
+      FROM lines WHERE NOT ends_with(app, '_0039')),
+    drawn AS (
+      SELECT value AS log_entry, log_level FROM placed_lines WHERE log_level <> ''
+      ORDER BY md5(file || ':' || line_start), file || ':' || line_start LIMIT 10)"""
+_add(
+    PLACED,
+    scan_placed_lines="SELECT value, file, line_start FROM placed_lines",
+    sample_log_entries="SELECT * FROM drawn",
+    levels_with_sample="""
+      SELECT log_entry, log_level, count AS n_lines, count
+      FROM drawn JOIN (SELECT log_level, count(*) AS count FROM placed_lines GROUP BY 1) USING (log_level)""",
+)
 _add(
     FILES,
     top_apps_by_files="SELECT * FROM per_app WHERE application_id <> '' ORDER BY n_files DESC, 1 LIMIT 5",
@@ -162,17 +180,19 @@ _add(
     scan_log_glob="SELECT value FROM lines WHERE app <> 'gateway'",
     file_path_column="SELECT application_id, container_id, count(*) AS n_lines FROM parsed GROUP BY 1, 2",
 )
-_add(
-    FEW_FILES,
-    # k and t belong to the event, so a continuation line's head is known without line order;
-    # a signup may hold a second head with an impossible date, which has no lines below it
-    multiline_entries=r"""
+_ENTRIES = r"""
       SELECT regexp_extract(container, '(container_\d+_\d+_\d+_\d+)', 1) AS container_id, value,
         value = '' OR value LIKE chr(9) || '%' AS is_continuation,
         CASE WHEN value LIKE '__/__/__ %' THEN value[1:17] ELSE t END AS entry_timestamp,
         CASE WHEN value LIKE '__/__/__ %' THEN regexp_extract(value, '(INFO|WARN|ERROR|DEBUG)', 1)
           ELSE 'ERROR' END AS entry_level
-      FROM lines""",
+      FROM lines"""
+_add(
+    FEW_FILES,
+    # k and t belong to the event, so a continuation line's head is known without line order;
+    # a signup may hold a second head with an impossible date, which has no lines below it
+    multiline_entries=_ENTRIES,
+    multiline_entries_blocks=_ENTRIES,
 )
 _add(
     scan_parquet_many="""
@@ -254,7 +274,7 @@ _add(
       SELECT token, count(*) AS count FROM (
         SELECT unnest(regexp_extract_all(value, '(INFO|WARN|ERROR|DEBUG)', 1)) AS token FROM parsed)
       GROUP BY 1""",
-    sample_log_entries="""
+    sample_by_text="""
       , c AS (SELECT left(md5(file_path || chr(10) || value), 16) AS digest, count(*) AS copies,
           min(value) AS value, min(log_level) AS log_level FROM parsed WHERE log_level <> '' GROUP BY 1),
       n AS (SELECT digest, copies, unnest(range(1, least(10, copies) + 1)) AS i FROM c),
@@ -264,6 +284,11 @@ _add(
       SELECT value AS log_entry, log_level FROM best JOIN c USING (digest)""",
     sample_random="""
       SELECT least(10, count(*)) AS n_places, least(10, count(*)) AS n_known FROM parsed WHERE log_level <> ''""",
+    write_totals="""
+      , n AS (SELECT log_level, count(*) AS count FROM parsed GROUP BY 1)
+      SELECT log_level, count, (SELECT sum(count) FROM n)::BIGINT AS total_lines,
+        (SELECT sum(count) FROM n WHERE log_level <> '')::BIGINT AS lines_with_level, (SELECT count(*) FROM n) AS n_rows
+      FROM n WHERE log_level <> ''""",
     component_counts="SELECT component, count(*) AS count FROM parsed GROUP BY 1",
     top_components="""
       SELECT component, count(*) AS count FROM parsed GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20""",

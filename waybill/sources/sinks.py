@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 STAMPS = "yyyy-MM-dd HH:mm:ss"
 # Quotes are doubled and blanks kept, as other CSV readers expect; Spark's defaults do neither.
@@ -24,6 +24,17 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     df.write.mode("overwrite").options(**CSV).csv(path)
 
 
+def write_csv_counted(df: DataFrame, path: str, one_file: bool = False, **metrics: Column) -> dict[str, object]:
+    """Write CSV and give aggregates over the rows written, from the same pass; no second job.
+
+    The metrics are observed where the rows are written, behind every shuffle, so a task that is run again is counted once.
+    """
+    seen = Observation()
+    watched = (df.coalesce(1) if one_file else df).observe(seen, *[c.alias(name) for name, c in metrics.items()])
+    write_csv(watched, path)
+    return seen.get
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """The lines of a report (``line_no``, ``line``) as one text file, in order."""
     (
