@@ -8,8 +8,8 @@ Nyström features; a ridge regression per language against the rest is fitted on
 this is linear in the presence vector, so the products with the landmarks are folded into one
 matrix, and a batch of texts is scored by a single matrix product.
 
-Characters are folded to 64 classes of UTF-8 bytes: the letters a-z without case, all other ASCII as
-one separator, and the bytes of other characters, where capital and small Latin letters share a class.
+Characters are code points without case. All ASCII but the letters is one separator; every other character
+stands for itself. N-grams are hashed into ``SPACE`` columns for each n, where two may share a column.
 """
 
 from __future__ import annotations
@@ -25,43 +25,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.common import keeping
-from waybill.llm.samples import labelled_sample
+from waybill.llm.samples import own_label_sample
 
 PER_LABEL = 400
 MOST = 4000  # training texts in all
-LANDMARKS = 160
+LANDMARKS = 160  # one for each language at least
 RIDGE = 1e-2
-SPACE = 64 + 64**2 + 64**3
-BATCH = 256  # texts of one matrix product
+SPACE = 1 << 18  # columns of the n-grams of one length
+BATCH = 64  # texts of one matrix product
 UNKNOWN = "und"
 
 
-def byte_classes() -> np.ndarray:
-    classes = np.zeros(256, np.uint32)
-    for i in range(26):
-        classes[65 + i] = classes[97 + i] = 1 + i
-    high = np.arange(128, 256)
-    classes[128:] = np.where(high < 192, 32 + high % 32, 27 + high % 5)
-    return classes
+def characters(text: bytes) -> np.ndarray:
+    """The code points of a text without case; ASCII other than letters is 0."""
+    points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    ascii_other = (points < 97) | ((points > 122) & (points < 128))
+    return np.where(ascii_other, 0, points).astype(np.uint64)
 
 
-def present(text: bytes, classes: np.ndarray, room: np.ndarray) -> None:
-    """Mark the n-grams of a text in ``room``, an array of SPACE flags."""
-    one = classes[np.frombuffer(text, np.uint8)]
-    two = (one[:-1] << 6) | one[1:]
-    three = (two[:-1] << 6) | one[2:]
-    room[one] = True
-    room[64 + two] = True
-    room[64 + 4096 + three] = True
+def present(text: bytes, room: np.ndarray) -> None:
+    """Mark the n-grams of a text in ``room``, an array of 3 * SPACE flags."""
+    gram = one = characters(text)
+    for n in range(3):
+        if n:
+            gram = (gram[:-1] << np.uint64(21)) | one[n:]
+        mixed = gram * np.uint64(0x9E3779B97F4A7C15)
+        room[n * SPACE + ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)] = True
 
 
 def presence(texts: list[bytes], columns: np.ndarray) -> np.ndarray:
     """Which of the n-grams ``columns`` each text holds, as a matrix of 0 and 1."""
-    classes, room = byte_classes(), np.zeros(SPACE, bool)
+    room = np.zeros(3 * SPACE, bool)
     out = np.empty((len(texts), len(columns)), np.float32)
     for i, text in enumerate(texts):
         room[:] = False
-        present(text, classes, room)
+        present(text, room)
         out[i] = room[columns]
     return out
 
@@ -87,10 +85,10 @@ def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge
     names = sorted(set(labels))
     by_name = {name: [i for i, x in enumerate(labels) if x == name] for name in names}
     turns = [i for r in range(max(map(len, by_name.values()))) for name in names for i in by_name[name][r : r + 1]]
-    marks = turns[:landmarks]  # the sample's order is that of a hash
-    room, classes = np.zeros(SPACE, bool), byte_classes()
+    marks = turns[: max(landmarks, len(names))]  # the sample's order is that of a hash
+    room = np.zeros(3 * SPACE, bool)
     for i in marks:
-        present(texts[i], classes, room)
+        present(texts[i], room)
     columns = np.flatnonzero(room)
 
     def scaled(some: list[bytes]) -> np.ndarray:
@@ -144,9 +142,8 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_label: int = PER_LABEL, most: int = MOST,
 ) -> Model | None:
-    """Fit on a bounded sample of ``docs``: ``per_label`` texts of each language, ``most`` in all."""
-    named = docs.select(id_col, F.col(lang_col).cast("string").alias(lang_col))
-    sample = labelled_sample(docs, named, id_col, lang_col, text_col, per_label, most)
+    """Fit on a bounded sample of ``docs`` (see ``samples``): about ``per_label`` texts of each language, ``most`` in all."""
+    sample = own_label_sample(docs, id_col, F.col(lang_col).cast("string"), text_col, per_label, most)
     return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 
@@ -160,7 +157,7 @@ def predict(
     was learned. Each row gives a row, repeated ones and null ids too. ``names`` must not be kept columns'.
     """
     parts = (model.labels, model.columns, model.weights, model.bias) if model else None
-    shared = docs.sparkSession.sparkContext.broadcast(parts)  # n-grams of the landmarks by languages: SPACE rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # n-grams of the landmarks by languages: 3 * SPACE rows at most
     rows, columns = keeping(docs, keep, text_col)
     step = partial(_predict_batches, shared=shared, names=names)
     return rows.mapInArrow(step, columns + f"`{names[0]}` string, `{names[1]}` double")

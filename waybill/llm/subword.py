@@ -139,9 +139,7 @@ def train(
 ) -> Model | None:
     """Fit on a bounded sample (see ``labelled_sample``) of the documents that ``labels`` marks 0 or 1."""
     known = labels.select(id_col, F.col(label_col).cast("int").alias(label_col)).filter(F.col(label_col).isin(0, 1))
-    learned = known.join(docs.select(id_col), id_col, "left_semi")
-    n = {r[label_col]: r["count"] for r in learned.groupBy(label_col).count().collect()}
-    sample = labelled_sample(docs, known, id_col, label_col, text_col)
+    sample, n = labelled_sample(docs, known, id_col, label_col, text_col)
     shares = n.get(0, 0), n.get(1, 0)
     return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist(), shares)
 
