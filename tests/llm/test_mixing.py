@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,62 @@ def test_nearest_sum():
         assert abs(int(size[mixing._nearest_sum(size, goal)].sum()) - goal) == best
 
 
+def filled(sizes, goal, later=()):
+    """Which of some documents are taken, and the summary."""
+    n = len(sizes)
+    out = mixing._fill(pd.DataFrame({
+        "pattern": "p", "place": range(n), "row": range(n), "size": sizes, "left": goal, "later": [i in later for i in range(n)],
+    }))
+    summary = out[out["row"].isna()].iloc[0]
+    taken = sorted(int(r) for r in out["row"].dropna())
+    assert goal - sum(sizes[i] for i in taken) == summary.left
+    return taken, int(summary.left), bool(summary.done)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fill_of_huge_documents_is_near(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randrange(100_000, 3_000_000) for _ in range(40)]
+    goal = rng.randrange(1_000_000, 50_000_000)
+    assert abs(filled(sizes, goal)[1]) <= 0.0005 * goal
+    # the same documents a thousand times smaller are found no worse
+    assert abs(filled([x // 1000 for x in sizes], goal // 1000)[1]) <= 0.0005 * goal / 1000 + 1
+
+
+def test_fill_is_exact_for_few_documents():
+    rng = random.Random(2)
+    for _ in range(60):
+        sizes = [rng.choice([0, 5, 100_003, 999_999, 10**9 + rng.randrange(99)]) for _ in range(rng.randrange(1, 9))]
+        goal = rng.randrange(1, max(sum(sizes), 2))
+        best = min(abs(sum(c) - goal) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n))
+        taken, left, done = filled(sizes, goal)
+        assert abs(left) == best and done and all(sizes[i] for i in taken)
+
+
+def test_later_buckets_help():
+    # the bucket was closed by a long document; the gap is as large as a document of a later bucket
+    assert filled([10, 20, 5000, 470, 3], 500, later=(3, 4)) == ([0, 1, 3], 0, True)
+    # one document does not close it, but some may
+    assert filled([10, 20, 5000, 100, 3], 500, later=(3, 4)) == ([0, 1], 470, False)
+    # none fits
+    assert filled([10, 20, 5000, 900], 500, later=(3,)) == ([3], -400, True)
+
+
+def test_gap_of_an_end_bucket_is_filled_from_later_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    size = F.when(F.col("id") % 5 == 0, 4000).otherwise(F.col("id") % 7 * 3 + 1)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), size.cast("int")).alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(docs.filter("doc_id < 40").select((F.col("doc_id") + 1000).alias("doc_id"), F.lit(None).cast("string").alias("text"), "source"))
+    for share in (0.13, 0.37, 0.71):
+        taken, sources = mixing.mix(docs, F.array("source"), share=share)
+        target = sources.first()["target"]
+        rows = taken.collect()
+        # where all short ones are taken, a long one more or less is the nearest
+        short_left = any(r["copies"] == 0 and 0 < r["size"] < 4000 for r in rows)
+        assert len(rows) == 240 and abs(sum(r["size"] * r["copies"] for r in rows) - target) <= (1 if short_left else 2000)
+        assert all(r["copies"] == 0 for r in rows if r["size"] == 0)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_flow_is_largest_and_cheapest(seed):
     rng = random.Random(seed)

@@ -31,7 +31,9 @@ from waybill.operators.running import running_total
 MAX_PATTERNS = 100_000
 MAX_REPEATS = 3
 BUCKET_ROWS = 1024  # documents of a pattern that are expected in one bucket of the seeded order
-EXACT_BITS = 1 << 26  # documents times words of a bucket whose best sum is worked out exactly
+SEARCHED = 256  # documents that are decided anew together, where single exchanges leave a gap
+SUMS = 16_384  # sums kept in that search
+NO_END = (1 << 62) - 1
 SEED = 17
 
 
@@ -181,40 +183,34 @@ def route(patterns: Sequence[Pattern], quotas: dict, max_repeats: int = MAX_REPE
     return {key: net.room[arc ^ 1] for key, arc in routes.items()}
 
 
-def _nearest_sum(size: np.ndarray, goal: int) -> np.ndarray:
-    """The documents whose sizes add up nearest to the goal; earlier ones are preferred. Exact.
+def _nearest_sum(size: np.ndarray, goal: int, keep: int = SUMS) -> np.ndarray:
+    """Documents whose sizes add up near the goal.
 
-    Bit t of a number says whether t can be reached with the documents from one on to the last.
+    Sums are built up document by document. Of more than ``keep`` sums one is kept in each of ``keep`` equal
+    intervals; with fewer the result is the nearest of all.
     """
-    top = int(goal + size.max(initial=0))
-    within = (1 << (top + 1)) - 1
-    reach = [1]
-    for words in size[::-1].tolist():
-        reach.append((reach[-1] | reach[-1] << words) & within)
-    below = (reach[-1] & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = reach[-1] >> (goal + 1)
-    above = goal + (above & -above).bit_length() if above else None
-    left = above if above is not None and above - goal < goal - below else below
+    top = goal + int(size.max(initial=0))
+    sums, steps = np.zeros(1, np.int64), []
+    for words in size:
+        more = np.flatnonzero(sums + words <= top)
+        every = np.r_[sums, sums[more] + words]
+        origin, took = np.r_[np.arange(len(sums)), more], np.r_[np.zeros(len(sums), bool), np.ones(len(more), bool)]
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        cell = every if len(every) <= keep else (every / (top + 1) * keep).astype(np.int64)
+        first = np.r_[True, cell[1:] != cell[:-1]]
+        sums, chosen = every[first], order[first]
+        steps.append((origin[chosen], took[chosen]))
+    at = int(np.abs(sums - goal).argmin())
     taken = np.zeros(len(size), bool)
-    for i, words in enumerate(size.tolist()):
-        if 0 < words <= left and reach[len(size) - 1 - i] >> (left - words) & 1:
-            taken[i] = True
-            left -= words
+    for i in range(len(size) - 1, -1, -1):
+        taken[i] = steps[i][1][at]
+        at = int(steps[i][0][at])
     return taken
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of the bucket in which a pattern's rest ends: in seeded order, each that still fits.
-
-    Then one document is added, or exchanged for a taken one, while that brings the words nearer. What a
-    small bucket can't reach that way is worked out exactly.
-    """
-    rows = rows.sort_values(["place", "id"], na_position="last", kind="stable")
-    size, left = rows["size"].to_numpy(), int(rows["left"].iloc[0])
-    taken = np.zeros(len(size), bool)
-    for i, words in enumerate(size):
-        taken[i] = 0 < words <= left
-        left -= words * taken[i]
+def _exchanged(size: np.ndarray, taken: np.ndarray, left: int) -> int:
+    """Add one document, or exchange one for a taken one, while that brings the words nearer; what is left then."""
     while left:
         free = np.flatnonzero(~taken & (size > 0))
         free = free[np.argsort(size[free], kind="stable")]
@@ -233,18 +229,52 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         taken[new] = True
         if best < len(out):
             taken[out[best]] = False
-    goal = int(rows["left"].iloc[0])
-    if left and len(size) * (goal + int(size.max())) <= EXACT_BITS:
-        taken = _nearest_sum(size, goal)
-    return rows.assign(extra=taken.astype("int32"))[["id", "pattern", "size", "passes", "extra"]]
+    return left
+
+
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents for a pattern's rest out of the bucket in which it ends: in seeded order, each that still fits.
+
+    Then single documents are added or exchanged while that brings the words nearer, also for documents of later buckets,
+    which are here with one document of each size (``later``). If that leaves a gap that later documents fit into, the
+    bucket's documents are taken as they fit, and the gap goes on to the next buckets. If none fits, some documents are decided
+    anew together. Gives the rows taken, and a row of the pattern with what is left and whether it is done.
+    """
+    rows = rows.sort_values(["later", "place", "row"], kind="stable")
+    size, later, goal = rows["size"].to_numpy(), rows["later"].to_numpy(), int(rows["left"].iloc[0])
+    fits, left = np.zeros(len(size), bool), goal
+    for i in np.flatnonzero(~later):
+        fits[i] = 0 < size[i] <= left
+        left -= size[i] * fits[i]
+    taken = fits.copy()
+    gap = _exchanged(size, taken, int(left))
+    done = gap == 0 or not (size[later] <= left).any()
+    if not done:
+        taken, gap = fits, int(left)
+    elif gap:
+        by_nearness = np.flatnonzero(later)[np.argsort(np.abs(size[later] - abs(gap)), kind="stable")]
+        here = np.flatnonzero(~later & (size > 0))
+        again = np.r_[here[-(SEARCHED * 3 // 4) :], by_nearness[: SEARCHED // 4]]
+        kept = taken.copy()
+        kept[again] = False
+        other = kept.copy()
+        other[again] = _nearest_sum(size[again], max(goal - int(size[kept].sum()), 0))
+        if abs(goal - int(size[other].sum())) < abs(gap):
+            taken, gap = other, goal - int(size[other].sum())
+    chosen = rows["row"].to_numpy()[taken].tolist()
+    return pd.DataFrame({
+        "pattern": rows["pattern"].iloc[0], "row": pd.array([*chosen, None], "Int64"), "left": gap, "done": done,
+    })
 
 
 def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int]) -> DataFrame:
     """``id``, ``pattern``, ``size`` and ``copies``: how often the mix takes each document.
 
     Every document is taken as often as its pattern's flow goes over the pattern whole.
-    For the rest, documents are ordered by a seeded hash of the id: whole buckets of
-    that order are taken while they fit, and one bucket of each pattern is filled document by document.
+    For the rest, documents are ordered by a seeded hash of the id: whole buckets of that order are taken while they
+    fit, and the bucket where it ends is filled document by document. What is left then goes on to the buckets behind, for their
+    documents that still fit, in rounds until each pattern is done; most are after one. A pattern's task sees one bucket,
+    and one later document of each size, whose number the sum of the sizes bounds.
     """
     spark = sizes.sparkSession
     plan = [
@@ -257,24 +287,49 @@ def select(sizes: DataFrame, patterns: Sequence[Pattern], flow: dict[str, int])
         sizes.join(F.broadcast(plan), "pattern")
         .withColumn("bucket", F.pmod("place", "n_buckets"))
     )
-    sums = placed.groupBy("pattern", "bucket").agg(
-        F.sum("size").alias("bucket_size"), F.first("rest").alias("rest")
-    )
-    running = running_total(sums, ["pattern"], "bucket", "bucket_size", 4096, "through")
-    ends = running.filter("through > rest").groupBy("pattern").agg(
-        F.min(F.struct("bucket", (F.col("rest") - F.col("through") + F.col("bucket_size")).alias("left"))).alias("end")
-    ).select("pattern", "end.*").withColumnRenamed("bucket", "end_bucket")
-    cut = placed.join(F.broadcast(ends), "pattern", "left")  # at most MAX_PATTERNS short rows
-    whole = cut.filter("end_bucket IS NULL OR bucket <> end_bucket").select(
-        "id", "pattern", "size", "passes",
-        (F.col("bucket") < F.coalesce("end_bucket", F.lit(0))).cast("int").alias("extra"),
+    # per pattern: the bucket behind which it goes on, the largest size that fits, the words left
+    state = plan.filter("rest > 0").select(
+        "pattern", F.lit(-1).cast("long").alias("after"), F.lit(NO_END).alias("most"), F.col("rest").alias("left")
     )
-    id_type = sizes.schema["id"].dataType.simpleString()
-    filled = cut.filter("bucket = end_bucket").groupBy("pattern").applyInPandas(
-        _fill, f"id {id_type}, pattern string, size long, passes long, extra int"
-    )
-    return whole.unionByName(filled).select(
-        "id", "pattern", "size", (F.col("passes") + F.col("extra")).cast("int").alias("copies")
+    taken = ranges = None
+    while True:
+        ahead = placed.join(F.broadcast(state), "pattern").filter("bucket > after AND size > 0").select(
+            "pattern", "bucket", "place", "row", "size", "left", "most"
+        )
+        fitting = F.when(F.col("size") <= F.col("most"), F.col("size")).otherwise(0)
+        sums = ahead.groupBy("pattern", "bucket").agg(F.sum(fitting).alias("bucket_size"), F.first("left").alias("left"))
+        running = running_total(sums, ["pattern"], "bucket", "bucket_size", 4096, "through")
+        before = F.struct("bucket", (F.col("left") - F.col("through") + F.col("bucket_size")).alias("left"))
+        ends = stored(running.groupBy("pattern").agg(
+            F.min(F.when(F.col("through") > F.col("left"), before)).alias("end"),
+            (F.first("left") - F.max("through")).alias("rest"),
+        ).select(
+            "pattern", F.coalesce("end.bucket", F.lit(NO_END)).alias("end"), F.coalesce("end.left", "rest").alias("left")
+        ), "ends")
+        cut = ahead.drop("left").join(F.broadcast(ends), "pattern")
+        here = cut.filter("bucket = end AND size <= most").select("pattern", "place", "row", "size", "left", F.lit(False).alias("later"))
+        later = cut.filter("bucket > end OR size > most").groupBy("pattern", "size").agg(
+            F.min(F.struct("place", "row")).alias("f"), F.first("left").alias("left")
+        ).select("pattern", "f.place", "f.row", "size", "left", F.lit(True).alias("later"))
+        filled = stored(
+            here.unionByName(later).groupBy("pattern").applyInPandas(_fill, "pattern string, row long, left long, done boolean"), "filled"
+        )
+        rows = filled.filter("row IS NOT NULL").select("row", F.lit(1).alias("chosen"))
+        whole = state.join(ends.select("pattern", "end"), "pattern", "left").select(
+            "pattern", "after", F.coalesce("end", F.lit(NO_END)).alias("end"), "most"
+        )
+        taken, ranges = (rows, whole) if taken is None else (taken.unionByName(rows), ranges.unionByName(whole))
+        state = stored(filled.filter("row IS NULL AND NOT done").drop("row", "done").join(ends.select("pattern", "end"), "pattern").select(
+            "pattern", F.col("end").alias("after"), F.col("left").alias("most"), "left"
+        ), "state")
+        if state.isEmpty():
+            break
+    # a short array for each of at most MAX_PATTERNS patterns
+    spans = F.broadcast(ranges.groupBy("pattern").agg(F.collect_list(F.struct("after", "end", "most")).alias("spans")))
+    inside = F.exists("spans", lambda r: (F.col("bucket") > r["after"]) & (F.col("bucket") < r["end"]) & (F.col("size") <= r["most"]))
+    extra = (F.coalesce(inside, F.lit(False)) & (F.col("size") > 0)) | F.col("chosen").isNotNull()
+    return placed.join(spans, "pattern", "left").join(taken, "row", "left").select(
+        "id", "pattern", "size", (F.col("passes") + extra.cast("int")).cast("int").alias("copies")
     )
 
 
@@ -308,7 +363,8 @@ def mix(
     by size. Without documents both results are empty.
     """
     place = F.xxhash64(F.lit(seed), order_col or id_col)
-    sizes = stored(document_sizes(docs, id_col, text_col, members, place), "sizes")
+    numbered = document_sizes(docs, id_col, text_col, members, place).withColumn("row", F.monotonically_increasing_id())
+    sizes = stored(numbered, "sizes")
     patterns = read_patterns(sizes, max_patterns)
     by_source = source_sizes(patterns)
     wanted = targets(
