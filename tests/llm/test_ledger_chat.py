@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+
+import pytest
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -105,6 +107,9 @@ def test_chat_round_trip_and_spans(spark):
     assert got[2] == [("", "no role"), ("a|>\n<b", "odd role")] and got[None] == [("user", "no conversation")]
     assert got[3] == [("user", "x")] * 2 and got[4] == [("assistant", "tie")] * 2
     codes = {"\\l": "<", "\\p": "|", "\\s": "[", "\\b": "\\"}
+    masked = {r["conv_id"]: r["m"] for r in formatted.select("conv_id", chat.under_mask().alias("m")).collect()}
+    for conv, said in got.items():
+        assert masked[conv] == "".join(t for role, t in said if role == "assistant")
     for conv, (text, loss) in spans.items():
         under = [text[s["start"] : s["start"] + s["length"]] for s in loss]
         plain = [re.sub(r"\\[lpsb]", lambda m: codes[m[0]], t) for t in under]
@@ -113,37 +118,68 @@ def test_chat_round_trip_and_spans(spark):
 
 
 def folded(events):
-    """Event by event, in order of sequence."""
-    turns = {}
-    for e in sorted(events, key=lambda e: e[1]):
+    """Event by event, in their order; repeated events once."""
+    first = lambda x: (x is not None, x)  # nulls ahead
+
+    def place(e):
         _, seq, turn, kind, role, text = e
+        return (seq is None, seq or 0), first(turn), kind or "message", first(role), text or ""
+
+    turns, done = {}, set()
+    for e in sorted(events, key=place):
+        _, seq, turn, kind, role, text = e
+        kind, text = kind or "message", text or ""
+        if (seq, turn, kind, role, text) in done:
+            continue
+        done.add((seq, turn, kind, role, text))
         if kind in ("edit", "regenerate"):
-            for later in [t for t in turns if t > turn]:
+            for later in [t for t in turns if first(t) > first(turn)]:
                 del turns[later]
         if kind != "delta" or turn not in turns:
-            turns[turn] = [role, "" if kind == "regenerate" else text or ""]
+            turns[turn] = [role, "" if kind == "regenerate" else text]
         else:
-            turns[turn][1] += text or ""
+            turns[turn][1] += text
             turns[turn][0] = turns[turn][0] or role
     return {t: (role, text) for t, (role, text) in turns.items()}
 
 
-def test_fold(spark):
+def fold_of(spark, events):
+    df = spark.createDataFrame(events, "conv_id bigint, seq bigint, turn bigint, kind string, role string, text string").repartition(4)
+    got = {}
+    for r in chat.fold(df).collect():
+        got.setdefault(r["conv_id"], {})[r["turn"]] = (r["role"], r["text"])
+    return got
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_fold(spark, ties):
     import random
 
     rng = random.Random(9)
     events = []
-    for conv in range(60):
+    for conv in range(120):
         for seq in range(rng.randrange(1, 25)):
-            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"])
-            events.append((conv, seq, rng.randrange(5), kind, rng.choice(["user", "assistant"]), rng.choice(["a", "bb", None, "<c"])))
-    df = spark.createDataFrame(events, "conv_id bigint, seq bigint, turn bigint, kind string, role string, text string")
-    got = {}
-    for r in chat.fold(df).collect():
-        got.setdefault(r["conv_id"], {})[r["turn"]] = (r["role"], r["text"])
-    for conv in range(60):
-        assert got[conv] == folded([e for e in events if e[0] == conv]), [e for e in events if e[0] == conv]
-    assert chat.fold(df.filter("false")).count() == 0
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"] + [None] * ties)
+            turn, role = rng.choice([0, 1, 2, 3, 4] + [None] * ties), rng.choice(["user", "assistant"] + [None] * ties)
+            place = rng.choice([seq // 3, seq // 3, None]) if ties else seq
+            events.append((conv, place, turn, kind, role, rng.choice(["a", "bb", None, "<c"])))
+            if ties and rng.random() < 0.3:
+                events.append(rng.choice([e for e in events if e[0] == conv]))
+    got = fold_of(spark, events)
+    for conv in range(120):
+        mine = [e for e in events if e[0] == conv]
+        assert got.get(conv, {}) == folded(mine), mine
+    assert fold_of(spark, events[:0] + [(1, 1, 1, "message", "user", "x")]) == {1: {1: ("user", "x")}}
+
+
+def test_fold_of_repeats_and_equal_places(spark):
+    said = fold_of(spark, [
+        (1, 1, 1, "message", "user", "hello"), (1, 1, 1, "message", "user", "hello"),
+        (2, 1, 1, "message", "user", "ask"), (2, 2, 2, "delta", "assistant", "yes "), (2, 2, 2, "delta", "assistant", "yes "),
+        (3, 1, 1, "delta", "user", "A"), (3, 1, 1, "message", "user", "B"),
+        (4, None, 1, "delta", "user", "b"), (4, 7, 1, "message", "user", "a"),
+    ])
+    assert said == {1: {1: ("user", "hello")}, 2: {1: ("user", "ask"), 2: ("assistant", "yes ")}, 3: {1: ("user", "B")}, 4: {1: ("user", "ab")}}
 
 
 def test_main_paths_are_native(spark, small_dir):

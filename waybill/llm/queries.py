@@ -60,12 +60,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select(control.columns).unionByName(control)
-    read = chat.parse(chat.format_chats(chat.events_of_rows(rows)))
+    read = chat.parse(chat.format_chats(chat.events_of_rows(rows)).withColumn("trained", chat.under_mask()))
     said = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: t["text"]), "")
-    return read.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), trained.alias("trained")).select(
+    return read.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), "trained").select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"),
         F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
