@@ -290,7 +290,8 @@ def remove_repeats(
         named = _with_found(cut, n_buckets, found).mapInArrow(
             partial(_block_batches, steps=steps, level=level, n_parts=n_parts), BLOCKS
         )
-        bits = stored(named.groupBy("part").applyInArrow(_shared, FOUND).withColumn("level", F.lit(level)), f"level{level}")
+        # a task for each part, however many there are
+        bits = stored(named.repartition(n_parts, "part").groupBy("part").applyInArrow(_shared, FOUND).withColumn("level", F.lit(level)), f"level{level}")
         if bits.isEmpty():  # no candidate survives
             break
         found, levels = bits if found is None else found.unionByName(bits), level + 1
