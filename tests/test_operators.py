@@ -133,6 +133,63 @@ def test_density_against_numpy(spark):
     np.testing.assert_allclose([r["density"] for r in got], want, rtol=1e-10)
 
 
+@pytest.mark.parametrize("seed, spread", [(1, 400), (2, 30_000), (3, 2_000_000)])
+def test_binned_density_is_near_the_direct_sum(spark, seed, spread):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    values = np.r_[rng.integers(1, spread, 3000), rng.normal(spread / 3, spread / 20, 3000).astype(int)].tolist()
+    df = durations_of(spark, values)
+    exact = {r["point"]: r for r in distribution.duration_density(df).collect()}
+    got = distribution.duration_density_binned(df).collect()
+    top = max(r["density"] for r in exact.values())
+    assert len(got) == 200
+    for r in got:
+        assert abs(r["x"] - exact[r["point"]]["x"]) <= 1e-9 * spread and abs(r["density"] - exact[r["point"]]["density"]) < 1e-3 * top
+
+
+def test_binned_density_cases(spark):
+    assert distribution.duration_density_binned(durations_of(spark, [7, 7])).count() == 0
+    assert distribution.duration_density_binned(durations_of(spark, [])).count() == 0
+    both = durations_of(spark, [1, 5, 9]).unionByName(durations_of(spark, [2, 80]).select(F.lit("other").alias("cluster_id"), "application_id", "duration_sec"))
+    assert both.transform(lambda d: distribution.duration_density_binned(d, 10, ["cluster_id"])).groupBy("cluster_id").count().count() == 2
+
+
+def test_percentile_of_rank_zero_is_the_smallest(spark):
+    from waybill.operators.quantiles import exact_percentile
+
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("b", -2.0), ("c", None)], "k string, v double")
+    got = {r["k"]: r["m"] for r in exact_percentile(df, ["k"], "v", "0", "m").collect()}
+    assert got == {"a": 1.0, "b": -2.0}
+
+
+def test_csv_keeps_marks_blanks_and_refuses_lost_rows(spark, tmp_path):
+    from waybill.sources import sinks, tables
+
+    odd = [("\0",), ("",), (" ",), ("x",), ('"',), ("a,b",)]
+    sinks.write_csv(spark.createDataFrame(odd, "x string"), f"{tmp_path}/one")
+    assert sorted(map(tuple, tables.scan_csv(spark, f"{tmp_path}/one", "x string").collect())) == sorted(odd)
+    two = [("\0", None), (None, None), ("", ""), (None, "\0")]
+    sinks.write_csv(spark.createDataFrame(two, "x string, y string"), f"{tmp_path}/two")
+    key = lambda r: tuple((v is None, v or "") for v in r)
+    assert sorted(map(tuple, tables.scan_csv(spark, f"{tmp_path}/two", "x string, y string").collect()), key=key) == sorted(two, key=key)
+    with pytest.raises(Exception, match="would be lost"):
+        sinks.write_csv(spark.createDataFrame([("x",), (None,)], "x string"), f"{tmp_path}/null")
+
+
+def test_table_functions(spark, sf_dir):
+    from waybill.plans import sql_functions
+    from waybill.plans.demo_logs import log_lines
+
+    lines = log_lines(spark, sf_dir)
+    assert set(sql_functions.register(lines)) == {"log_level_counts", "app_timeline", "cluster_usage"}
+    assert spark.sql("SELECT * FROM app_timeline()").count() == usage.app_timeline(lines).count()
+    plan = spark.sql("SELECT * FROM log_level_counts(:m)", args={"m": "strict"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("events.parquet") + plan.count("Relation") == 1  # the other way of matching is pruned
+    sql_functions.register(lines.filter("false"))
+    assert spark.sql("SELECT * FROM cluster_usage()").count() == 0
+
+
 def test_cdf_outliers_stats(spark):
     values = [1, 2, 2, 3, 10, 200000]
     spans = durations_of(spark, values)

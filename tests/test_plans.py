@@ -25,7 +25,7 @@ def records_read(spark):
 
 # queries that use their lines in more than one branch of the plan
 BRANCHED = [
-    "app_concurrency", "app_duration_stats", "app_durations", "cluster_share", "duration_cdf",
+    "app_concurrency", "app_duration_stats", "block_memory", "app_durations", "cluster_share", "duration_cdf",
     "duration_density", "duration_histogram", "duration_outliers", "largest_cluster_apps",
     "log_level_distribution", "report_cluster_usage", "report_log_levels", "task_skew",
 ]

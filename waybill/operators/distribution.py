@@ -122,6 +122,44 @@ def duration_density(durations: DataFrame, points: int = 200, by: Sequence[str]
     return scaled.groupBy(*by, "point", "x").agg(F.sum(weight).alias("density"))
 
 
+CELLS = 16  # grid cells between two points of a binned curve
+
+
+def duration_density_binned(durations: DataFrame, points: int = 200, by: Sequence[str] = ()) -> DataFrame:
+    """The density curve from a grid: durations are shared out to the two grid nodes beside them (linear binning), and the
+    nodes' weights are convolved with a table of kernel weights, one for each distance in cells.
+
+    The work behind the binning depends on the grid alone, ``CELLS`` times ``points`` nodes, not on the number
+    of distinct durations. Sums are of whole numbers, so they do not depend on the order of rows. The curve differs from the
+    direct sum by about (cell / bandwidth)^2 / 8 of its curvature; bandwidths from some cells on give three digits.
+    """
+    last = CELLS * (points - 1)
+    counted = _counted(durations, by)
+    d = F.col("duration_sec").cast("decimal(38,0)")
+    stats = _with_stats(counted, counted, by, **_bounds(), s1=F.sum(F.col("n") * d), s2=F.sum(F.col("n") * d * d))
+    total = F.col("s.total").cast("double")
+    spread = F.col("s.s2").cast("double") - F.col("s.s1").cast("double") ** 2 / total
+    # place = (duration - lo) * last / range, as a node and a whole remainder out of range
+    placed = stats.filter("s.total > 1 AND s.hi > s.lo").select(
+        *by, "n", F.col("s.lo").alias("lo"), (F.col("s.hi") - F.col("s.lo")).alias("range"), total.alias("total"),
+        (F.sqrt(spread / (total - 1)) * F.pow(total, F.lit(-0.2))).alias("h"),
+        F.expr(f"((duration_sec - s.lo) * {last}) div (s.hi - s.lo)").alias("node"),
+        F.expr(f"((duration_sec - s.lo) * {last}) % (s.hi - s.lo)").alias("rest"),
+    )
+    share = lambda node, part: F.struct(node.alias("node"), (F.col("n") * part).cast("decimal(38,0)").alias("weight"))
+    group = [*by, "lo", "range", "total", "h"]
+    nodes = placed.select(*group, F.inline(F.array(
+        share(F.col("node"), F.col("range") - F.col("rest")), share(F.col("node") + 1, F.col("rest")),
+    ))).filter("weight > 0").groupBy(*group, "node").agg((F.sum("weight").cast("double") / F.col("range")).alias("weight"))
+    z = (F.col("point") * CELLS - F.col("node")) * F.col("range") / last / F.col("h")
+    kernel = F.exp(-0.5 * z * z) / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))
+    x = F.col("lo") + F.col("point") * F.col("range") / (points - 1)
+    return (
+        nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+        .groupBy(*by, "point", x.alias("x")).agg(F.sum(F.col("weight") * kernel).alias("density"))
+    )
+
+
 def app_duration_stats(durations: DataFrame) -> DataFrame:
     """n, shortest, median, longest, mean and standard deviation per cluster."""
     basic = durations.groupBy("cluster_id").agg(

@@ -31,7 +31,7 @@ SECONDS: Cells = (span_cell(DAY),)
 def exact_percentile(
     df: DataFrame, keys: Sequence[str], value: str, p: str, name: str, cells: Cells = ANY_NUMBER
 ) -> DataFrame:
-    """Per group, the smallest value with at least ``p`` of the values at or below it.
+    """Per group, the smallest value with at least ``p`` of the values at or below it; for ``p`` 0 the smallest of all.
 
     This is ``percentile_disc`` without its one hash map per group. Equal values are counted first. Then
     the range of values is cut into cells, coarse ones first: the counts of a group's cells tell which
@@ -59,7 +59,7 @@ def exact_percentile(
         if level == 0:
             total = F.sum("_in_cell").over(group)
             sums = sums.withColumns({
-                "n_values": total, "_rank": F.ceil(total.cast("decimal(20,0)") * F.lit(Decimal(p))), "_before": F.lit(0),
+                "n_values": total, "_rank": F.greatest(F.lit(1), F.ceil(total.cast("decimal(20,0)") * F.lit(Decimal(p)))), "_before": F.lit(0),
             })
         wanted = (
             sums.withColumn("_upto", F.col("_before") + upto)

@@ -175,16 +175,16 @@ def block_memory(lines: DataFrame) -> DataFrame:
 
     Amounts are decimals, so sums do not depend on the order of rows.
     """
-    def amounts(word: str, pattern: str, *groups: int) -> DataFrame:
-        part = lambda i: F.regexp_extract("m", pattern, i)
-        return _matched(lines, word, pattern).select("file_path", *[_bytes(part(i), part(i + 1)).alias(f"b{i}") for i in groups])
-
-    none = F.lit(None).cast("bigint")
-    memory = amounts(" in memory (", BLOCK, 2, 4).select(
-        "file_path", F.lit(1).alias("block"), F.col("b2").alias("stored"), F.col("b4").alias("free"), none.alias("capacity")
-    ).unionByName(amounts("MemoryStore started", CAPACITY, 1).select(
-        "file_path", F.lit(0).alias("block"), none.alias("stored"), none.alias("free"), F.col("b1").alias("capacity")
-    ))
+    either = f"{BLOCK}|{CAPACITY}"  # one search of a line for both kinds
+    part = lambda i: F.regexp_extract("m", either, i)
+    is_block = F.col("m").startswith("Block ")
+    words = F.col("value").contains(" in memory (") | F.col("value").contains("MemoryStore started")
+    # groups 2 to 5 are those of a block, 6 and 7 those of a capacity
+    memory = _matched(lines.filter(words), "emory", either).select(
+        "file_path", F.when(is_block, 1).otherwise(0).alias("block"),
+        F.when(is_block, _bytes(part(2), part(3))).alias("stored"), F.when(is_block, _bytes(part(4), part(5))).alias("free"),
+        F.when(~is_block, _bytes(part(6), part(7))).alias("capacity"),
+    )
     unread = F.when(F.col("block") == 1, F.col("stored").isNull() | F.col("free").isNull()).otherwise(F.col("capacity").isNull())
     return _app(memory).groupBy("application_id").agg(
         F.sum("block").alias("n_blocks"),

@@ -35,7 +35,7 @@ def cluster_usage_analysis(lines: DataFrame, out: str) -> None:
     write_csv(usage.cluster_summary(timeline).orderBy("cluster_id"), f"{out}/cluster_summary")
     write_csv(usage.apps_per_cluster_bars(timeline), f"{out}/bars")
     write_csv(distribution.duration_histogram(spans).orderBy("bin"), f"{out}/durations", one_file=True)
-    write_csv(distribution.duration_density(spans).orderBy("point"), f"{out}/density", one_file=True)
+    write_csv(distribution.duration_density_binned(spans).orderBy("point"), f"{out}/density", one_file=True)
     write_report(reports.report_cluster_usage(timeline), f"{out}/stats")
 
 

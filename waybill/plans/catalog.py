@@ -12,6 +12,7 @@ from waybill.functions import logtext, paths
 from waybill.operators import (
     daily, distribution, entries, levels, records, reports, rollup, tasks, usage,
 )
+from waybill.plans import sql_functions
 from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
 from waybill.sources import files, ranges, scratch, sinks, tables, text
 
@@ -296,6 +297,16 @@ def rollup_usage_totals(spark, sf_dir):
     return rollup.usage_totals(_rolled_logs(spark, sf_dir))
 
 
+# SQL texts over table functions
+
+def _by_sql(text, **args):
+    def query(spark, sf_dir):
+        sql_functions.register(log_lines(spark, sf_dir))
+        return spark.sql(text, args=args)
+
+    return query
+
+
 # entries
 
 def multiline_entries(spark, sf_dir):
@@ -393,6 +404,9 @@ QUERIES: dict[str, Query] = {
     "duration_density": _on_durations(
         lambda d: _rounded(distribution.duration_density(d), 12, "density")
     ),
+    "duration_density_binned": _on_durations(
+        lambda d: _rounded(distribution.duration_density_binned(d), 12, "density")
+    ),
     "app_duration_stats": _on_durations(
         lambda d: _rounded(distribution.app_duration_stats(d), 6, "mean_sec", "stddev_sec")
     ),
@@ -433,6 +447,13 @@ QUERIES: dict[str, Query] = {
     "report_daily": report_daily,
     # roll-ups
     "rollup_daily_summary": rollup_daily_summary,
+    # table functions
+    "sql_level_counts": _by_sql("SELECT * FROM log_level_counts(:mode)", mode="strict"),
+    "sql_app_timeline": _by_sql("SELECT * FROM app_timeline(cluster => :cluster)", cluster="1700006400000"),
+    "sql_cluster_usage": _by_sql(
+        "SELECT c.cluster_id, c.num_applications, max(t.end_time) AS last_end FROM cluster_usage(:least) c "
+        "JOIN app_timeline() t ON t.cluster_id = c.cluster_id GROUP BY ALL", least=2,
+    ),
     "rollup_daily_totals": rollup_daily_totals,
     "rollup_cluster_summary": rollup_cluster_summary,
     "rollup_usage_totals": rollup_usage_totals,

@@ -444,6 +444,19 @@ _add(
       SELECT point, x, round(sum(exp(-0.5::DOUBLE * pow((x - duration_sec) / h, 2))
         / (total * h * sqrt(2 * pi()))), 12) AS density
       FROM grid, durations GROUP BY 1, 2""",
+    duration_density_binned="""
+      , band AS (
+        SELECT lo, hi - lo AS span, total::DOUBLE AS total,
+          sqrt((s2::DOUBLE - s1::DOUBLE * s1::DOUBLE / total) / (total - 1)) * pow(total::DOUBLE, -0.2) AS h
+        FROM stats),
+      cells AS (
+        SELECT ((duration_sec - lo) * 3184) // span AS node, ((duration_sec - lo) * 3184) % span AS rest, span FROM durations, band),
+      nodes AS (
+        SELECT node, sum(w)::DOUBLE / any_value(span) AS weight
+        FROM (SELECT node, span - rest AS w, span FROM cells UNION ALL SELECT node + 1, rest, span FROM cells) GROUP BY node)
+      SELECT CAST(g AS INTEGER) AS point, lo + g * span / 199::DOUBLE AS x,
+        round(sum(weight * exp(-0.5::DOUBLE * pow((g * 16 - node) * span / 3184::DOUBLE / h, 2)) / (total * h * sqrt(2 * pi()))), 12) AS density
+      FROM nodes, range(0, 200) r(g), band GROUP BY g, lo, span""",
     app_duration_stats="""
       SELECT cluster_id, count(*) AS n, min(duration_sec) AS min_sec,
         quantile_disc(duration_sec, 0.5) AS median_sec, max(duration_sec) AS max_sec,
@@ -569,3 +582,11 @@ _add(
       SELECT count(*) AS total_clusters, sum(num_applications)::BIGINT AS total_applications,
         sum(num_applications)::DOUBLE / count(*) AS avg_apps_per_cluster FROM clusters""",
 )
+
+_add(
+    TIMELINE,
+    sql_app_timeline="SELECT * FROM timeline WHERE cluster_id = '1700006400000'",
+    sql_cluster_usage="""
+      SELECT cluster_id, count(*) AS num_applications, max(end_time) AS last_end FROM timeline GROUP BY 1 HAVING count(*) >= 2""",
+)
+ORACLES["sql_level_counts"] = ORACLES["log_level_counts_strict"]

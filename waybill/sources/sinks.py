@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 STAMPS = "yyyy-MM-dd HH:mm:ss"
 # Quotes are doubled and blanks kept, as other CSV readers expect; Spark's defaults do neither.
 CSV = {
-    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "header": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     "timestampFormat": STAMPS, "timestampNTZFormat": STAMPS,
 }
 
@@ -18,10 +19,18 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     Null is written as an unquoted empty field, an empty string as a quoted one.
     ``one_file`` is for sorted or limited results of known small size: it joins
     the parts of the last stage in their order.
+
+    In a frame of one column a null would be a blank line, which no reader takes for a row: it is refused
+    with an error, and all values are quoted there.
     """
     if one_file:
         df = df.coalesce(1)
-    df.write.mode("overwrite").options(**CSV).csv(path)
+    alone = len(df.columns) == 1
+    if alone:
+        field = df.schema[0]
+        refused = F.raise_error(F.lit("a null in a CSV of one column would be lost")).cast(field.dataType)
+        df = df.select(F.coalesce(F.col(f"`{field.name}`"), refused).alias(field.name))
+    df.write.mode("overwrite").options(quoteAll=alone, **CSV).csv(path)
 
 
 def write_csv_counted(df: DataFrame, path: str, one_file: bool = False, **metrics: Column) -> dict[str, object]:

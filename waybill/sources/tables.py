@@ -39,11 +39,12 @@ def scan_month_range(spark: SparkSession, root: str, year: int, months: Iterable
 def scan_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header and a declared schema, so ids keep their leading zeros.
 
-    A quoted empty field is an empty string, an unquoted one is null. Text that may hold line breaks
-    needs ``multi_line``, which reads each file in one task.
+    A quoted empty field is an empty string, an unquoted one is null; no text is taken for null. Text that may hold
+    line breaks needs ``multi_line``, which reads each file in one task.
     """
-    # no text is taken for null
-    return spark.read.schema(schema).options(multiLine=multi_line, nullValue="\0", **CSV).csv(path)
+    # an unquoted empty field turns into the null mark, which must be no text of the file
+    mark = uuid.uuid4().hex
+    return spark.read.schema(schema).options(multiLine=multi_line, nullValue=mark, **CSV).csv(path)
 
 
 def number_range(spark: SparkSession, n: int) -> DataFrame:
