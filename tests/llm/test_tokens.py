@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,24 @@ def test_queries(spark, small_dir, rows, library):
     }
 
 
+def test_long_pieces(library, encoder):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "東京都é", "ab") for n in (1100, 20_000)]
+    texts += ["a" * 5001, "ab" * 3000 + "a", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))]
+    start = time.perf_counter()
+    found = encoder.encode(texts)
+    assert time.perf_counter() - start < 30  # by rounds over all symbols this takes an hour
+    for text, got in zip(texts, found):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_both_ways_of_merging_agree(encoder):
+    rng = random.Random(4)
+    pieces = ["".join(rng.choices("abcde", k=rng.randrange(0, 60))).encode() for _ in range(200)]
+    for piece, ids in zip(pieces, bpe.merge_rounds(pieces, encoder.merges)):
+        assert bpe.merge_long(piece, encoder.merges).tolist() == ids.tolist()
+
+
 def test_edges(edge_docs, no_docs, library):
     want = sorted((r["doc_id"] or 0, len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in edge_docs.collect())
     encoded = bpe.encode_documents(edge_docs, VOCABULARY)

@@ -5,11 +5,15 @@ round every pre-token merges its pair of lowest rank, wherever it occurs in it f
 found by binary search over the sorted pair keys. A pre-token without a known pair is done.
 Merging all places of the lowest pair at once is right, as a pair that a merge creates
 always has a higher rank than that merge.
+
+A round looks at all symbols of the pre-tokens that are not done, so a pre-token of many bytes goes another way: the
+places of its pairs wait by rank, and behind a merge only the places beside it are looked up again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +28,7 @@ from waybill.llm.pretokens import Vocabulary
 
 CACHE_ROWS = 3 << 17  # encoded pre-tokens that a task remembers
 LONGEST = 64  # bytes of a pre-token that is remembered
+ROUNDS_UPTO = 1024  # bytes of a pre-token that takes part in rounds
 SLICE_CHARS = 1_000_000  # characters of documents whose new pre-tokens are merged together
 NONE = np.int64(1) << 40
 
@@ -70,6 +75,80 @@ class Merges:
         return cls(width, first, keys[order], order.astype(np.int64), result[order], tuple(tokens))
 
 
+def _ranks(left: np.ndarray, right: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Rank (NONE if there is no merge) and result of pairs."""
+    key = left * merges.width + right
+    place = np.minimum(np.searchsorted(merges.keys, key), len(merges.keys) - 1)
+    return np.where(merges.keys[place] == key, merges.rank[place], NONE), merges.result[place]
+
+
+def _every_second(at: np.ndarray, touches: np.ndarray) -> np.ndarray:
+    """Of places in order, in runs that touch (``touches``: the next place is the one behind), every second."""
+    index = np.arange(len(at))
+    run_start = np.maximum.accumulate(np.where(np.r_[True, ~touches], index, 0))
+    return at[(index - run_start) % 2 == 0]
+
+
+def merge_long(piece: bytes, merges: Merges) -> np.ndarray:
+    """The ids of one piece, in time that grows with its merges and not with merges times length.
+
+    Symbols are a linked list over the bytes' places. Places wait under the rank of the pair that begins there; the lowest
+    rank is taken with all its places, and the pairs on both sides of a merge get new ranks.
+    """
+    n = len(piece)
+    symbol = merges.first[np.frombuffer(piece, np.uint8)]
+    after, ahead = np.arange(1, n + 2), np.arange(-1, n)  # place n is the end
+    symbol = np.append(symbol, 0)
+    rank, result = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def look_up(places: np.ndarray) -> None:
+        places = places[after[places] < n]
+        if not len(places):
+            return
+        rank[places], result[places] = _ranks(symbol[places], symbol[after[places]], merges)
+        places = places[rank[places] < NONE]
+        places = places[np.argsort(rank[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[places])) + 1
+        for group in np.split(places, cuts) if len(places) else ():
+            r = int(rank[group[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(heap, r)
+            waiting[r].append(group)
+
+    look_up(np.arange(max(n - 1, 0)))
+    while heap:
+        r = heapq.heappop(heap)
+        at = np.concatenate(waiting.pop(r))
+        at = np.unique(at[rank[at] == r])  # others were merged or have another pair by now
+        if not len(at):
+            continue
+        at = _every_second(at, after[at[:-1]] == at[1:])
+        gone = after[at]
+        symbol[at] = result[at]
+        rank[at] = rank[gone] = NONE
+        after[at] = after[gone]
+        ahead[after[gone]] = at
+        # the pair that ended in a merged symbol, and the one that begins with it
+        beside = np.r_[at, ahead[at]]
+        beside = np.unique(beside[beside >= 0])
+        rank[beside] = NONE
+        look_up(beside)
+    out, place = [], 0
+    while place < n:
+        out.append(place)
+        place = int(after[place])
+    return symbol[out]
+
+
+def encode_pieces(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
+    """The ids of each piece."""
+    short = merge_rounds([p if len(p) <= ROUNDS_UPTO else b"" for p in pieces], merges)
+    return [merge_long(p, merges) if len(p) > ROUNDS_UPTO else ids for p, ids in zip(pieces, short)]
+
+
 def merge_rounds(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
     """The ids of each piece."""
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -113,7 +192,7 @@ class Encoder:
         split = [self.split(t) for t in texts]
         new = list({p for pieces in split for p in pieces if p not in self.known})
         if new:
-            found = merge_rounds([p.encode() for p in new], self.merges)
+            found = encode_pieces([p.encode() for p in new], self.merges)
             self.known.update((p, ids.astype("<u4").tobytes()) for p, ids in zip(new, found))
         get = self.known.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in split]
