@@ -10,7 +10,7 @@ from waybill.operators import records, tasks
 
 T = "17/03/29 10:04:41"
 LINES = {
-    "normal": f"{T} INFO ApplicationMaster: Registered signal handlers",
+    "normal": "17/02/03 21:39:58 INFO QueueMaster: Opened two queues",
     "python": "17/02/03 21:43:05 INFO python.PythonRunner: Times: total = 52, boot = -88, init = 131, finish = 9",
     "request": "17/02/03 21:40:12 INFO YarnAllocator: Will request 12 executor containers, "
                "each with 3 cores and 9216 MB memory including 1024 MB overhead",
@@ -20,8 +20,8 @@ LINES = {
     "failed": "17/02/03 21:41:12 ERROR executor.Executor: Exception in task 5.1 in stage 2.0 (TID 15)",
     "lost": "17/02/03 21:41:13 WARN scheduler.TaskSetManager: Lost task 5.1 in stage 2.0 (TID 15, n1, executor 2): x",
     "container": "17/02/03 21:40:13 INFO YarnAllocator: Container request (host: Any, capability: <memory:10240, vCores:3>)",
-    "split": "17/03/29 10:11:10 INFO rdd.HadoopRDD: Input split: "
-             "hdfs://10.0.0.1:9000/in/order.txt:11902664+1487833",
+    "split": "17/02/03 21:41:08 INFO rdd.HadoopRDD: Input split: "
+             "hdfs://192.168.7.2:8020/lake/trips/part-00017:73400320+524288",
     "block": f"{T} INFO storage.MemoryStore: Block broadcast_1 stored as bytes in memory "
              "(estimated size 4.1 KB, free 8.0 MB)",
     "capacity": f"{T} INFO storage.MemoryStore: MemoryStore started with capacity 1.5 GB",
@@ -80,9 +80,9 @@ def test_strict_level(lines):
 
 def test_timestamp(lines):
     text = column(lines, logtext.timestamp_text())
-    assert text["normal"] == T and text["indented"] == "" and text["trace"] == ""
+    assert text["normal"] == "17/02/03 21:39:58" and text["indented"] == "" and text["trace"] == ""
     at = column(lines, logtext.event_time())
-    assert at["normal"] == datetime.datetime(2017, 3, 29, 10, 4, 41)
+    assert at["normal"] == datetime.datetime(2017, 2, 3, 21, 39, 58)
     assert text["bad date"] != "" and at["bad date"] is None
     assert at["empty"] is None and at["null"] is None
 
@@ -101,7 +101,7 @@ def test_parse_agrees_with_a_pattern_parse(spark):
 
 def test_component(lines):
     got = column(lines, logtext.component())
-    assert got["normal"] == "ApplicationMaster" and got["python"] == "python.PythonRunner"
+    assert got["normal"] == "QueueMaster" and got["python"] == "python.PythonRunner"
     assert got["no colon"] == "" and got["inside"] == ""
 
 
@@ -141,7 +141,7 @@ def test_task_statistics(lines):
     assert tasks.python_times(lines).first()["boot_ms"] == -88
     ask = tasks.resource_requests(lines).first()
     assert (ask["executors"], ask["total_cores"], ask["total_memory_mb"]) == (12, 36, 12 * 9216)
-    assert tasks.input_bytes(lines).first()["input_bytes"] == 1487833
+    assert tasks.input_bytes(lines).first()["input_bytes"] == 524288
     memory = tasks.block_memory(lines).first()
     assert memory["stored_bytes"] == round(4.1 * 1024) and memory["max_capacity_bytes"] == 3 * 2**29
     assert tasks.unfinished_tasks(lines).count() == 0

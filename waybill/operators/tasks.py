@@ -28,6 +28,7 @@ UNIT_BYTES = {"B": 1} | {
 }
 CONTAINER = r"Container request \(host: (\S+), capability: <memory:(\d+), vCores:(\d+)>"
 FAILED = r"(?:Exception in|Lost) task (\d+)\.(\d+) in stage (\d+\.\d+) \(TID (\d+)"
+READING = r"Started reading broadcast variable (\d+)"
 FOUND = r"Found block (\S+) (locally|remotely)"
 
 
@@ -207,6 +208,14 @@ def cache_use(lines: DataFrame) -> DataFrame:
     )
 
 
+def broadcast_reads(lines: DataFrame) -> DataFrame:
+    """How often the executors of an application fetched a broadcast variable, and how many variables."""
+    read = _matched(lines, "Started reading broadcast", READING).select("file_path", _number(READING, 1).alias("variable"))
+    return _app(read).groupBy("application_id").agg(
+        F.count("*").alias("n_reads"), F.count_distinct("variable").alias("n_variables")
+    )
+
+
 def container_requests(lines: DataFrame) -> DataFrame:
     """Containers asked for, per application, host and capability."""
     asked = _matched(lines, "Container request ", CONTAINER).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import logtext, paths
 from waybill.operators import (
-    daily, distribution, entries, levels, records, reports, rollup, tasks, usage,
+    daily, distribution, entries, execution, levels, records, reports, rollup, tasks, templates, usage,
 )
 from waybill.plans import sql_functions
 from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
@@ -435,6 +435,11 @@ QUERIES: dict[str, Query] = {
     "container_requests": _on_lines(tasks.container_requests),
     "failed_tasks": _on_lines(tasks.failed_tasks),
     "failures_by_app": _on_lines(tasks.failures_by_app),
+    "failure_templates": _on_lines(templates.failure_templates),
+    "line_templates": _on_lines(templates.line_templates),
+    "broadcast_reads": _on_lines(tasks.broadcast_reads),
+    "container_busy": _on_lines(execution.container_busy),
+    "stage_timeline": _on_lines(execution.stage_timeline),
     # trips
     "filter_year": filter_year,
     "date_parts": date_parts,

@@ -26,7 +26,7 @@ _LINES = {
     "view": f"""
         t || ' INFO executor.Executor: Running ' || {_TASK},
         if(e % 11 <> 0, t_end || ' INFO executor.Executor: Finished ' || {_TASK}
-            || '. 2076 bytes result sent to driver', NULL)""",
+            || '. 1536 bytes result sent to driver', NULL)""",
     "click": """
         t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
             || '.txt:' || e * 1000 || '+' || (s * 1024 + e),
@@ -40,7 +40,8 @@ _LINES = {
             || if(e % 13 = 0, ' XB', elt(e % 3 + 1, ' KB', ' KiB', ' B')) || ', free '
             || e % 500 || '.5 ' || if(e % 2 = 0, 'MB', 'MiB') || ')',
         if(e % 3 = 0, t || ' INFO storage.MemoryStore: MemoryStore started with capacity '
-            || (e % 7 + 1) || '.5 ' || if(e % 2 = 0, 'GB', 'GiB'), NULL)""",
+            || (e % 7 + 1) || '.5 ' || if(e % 2 = 0, 'GB', 'GiB'), NULL),
+        if(e % 4 = 0, t || ' INFO broadcast.TorrentBroadcast: Started reading broadcast variable ' || e % 50, NULL)""",
     "signup": """
         t || ' INFO YarnAllocator: Will request ' || (e % 16 + 1) || ' executor containers, each with '
             || (e % 5 + 1) || ' cores and ' || (e % 8 + 1) * 1024 || ' MB memory including '

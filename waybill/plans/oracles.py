@@ -34,7 +34,7 @@ def _lines(app: str) -> str:
       SELECT *, 1 AS ln, t || ' INFO executor.Executor: Running ' || {task} AS value FROM placed WHERE k = 'view'
       UNION ALL
       SELECT *, 2 AS ln, t_end || ' INFO executor.Executor: Finished ' || {task}
-        || '. 2076 bytes result sent to driver' FROM placed WHERE k = 'view' AND e % 11 <> 0
+        || '. 1536 bytes result sent to driver' FROM placed WHERE k = 'view' AND e % 11 <> 0
       UNION ALL
       SELECT *, 3 AS ln, t || ' INFO rdd.HadoopRDD: Input split: hdfs://10.0.0.11:9000/in/part-' || e % 100
         || '.txt:' || e * 1000 || '+' || s * 1024 + e FROM placed WHERE k = 'click'
@@ -54,6 +54,9 @@ def _lines(app: str) -> str:
       SELECT *, 7 AS ln, t || ' INFO storage.MemoryStore: MemoryStore started with capacity ' || e % 7 + 1
         || '.5 ' || CASE WHEN e % 2 = 0 THEN 'GB' ELSE 'GiB' END FROM placed WHERE k = 'purchase' AND e % 3 = 0
       UNION ALL
+      SELECT *, 50 AS ln, t || ' INFO broadcast.TorrentBroadcast: Started reading broadcast variable ' || e % 50
+      FROM placed WHERE k = 'purchase' AND e % 4 = 0
+      UNION ALL
       SELECT *, 8 AS ln, t || ' INFO YarnAllocator: Will request ' || e % 16 + 1
         || ' executor containers, each with ' || e % 5 + 1 || ' cores and ' || (e % 8 + 1) * 1024
         || ' MB memory including ' || (e % 8 + 1) * 128 || ' MB overhead' FROM placed WHERE k = 'signup'
@@ -590,3 +593,52 @@ _add(
       SELECT cluster_id, count(*) AS num_applications, max(end_time) AS last_end FROM timeline GROUP BY 1 HAVING count(*) >= 2""",
 )
 ORACLES["sql_level_counts"] = ORACLES["log_level_counts_strict"]
+
+
+def _union(keys: str) -> str:
+    """Gaps between islands of finished tasks of a group, and the most that ran at once."""
+    on = " AND ".join(f"r.{k} = g.{k}" for k in keys.split(", "))
+    return f"""
+      , f AS (SELECT {keys}, started_at AS s, finished_at AS f FROM tasks WHERE finished_at >= started_at),
+      g AS (SELECT *, coalesce(greatest(0, date_diff('second', max(f) OVER (PARTITION BY {keys} ORDER BY s, f
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)), 0) AS gap FROM f),
+      c AS (SELECT {keys}, at_time, sum(d) AS d FROM (
+          SELECT {keys}, s AS at_time, 1 AS d FROM f UNION ALL SELECT {keys}, f, -1 FROM f) GROUP BY ALL),
+      r AS (SELECT {keys}, max(n)::BIGINT AS most_running FROM (
+          SELECT {keys}, sum(d) OVER (PARTITION BY {keys} ORDER BY at_time) AS n FROM c) GROUP BY ALL),
+      u AS (SELECT {keys}, min(s) AS first_start, max(f) AS last_end, count(*) AS n_spans,
+          (date_diff('second', min(s), max(f)) - sum(gap))::BIGINT AS busy_sec, sum(gap)::BIGINT AS idle_sec,
+          max(gap)::BIGINT AS longest_gap_sec FROM g GROUP BY ALL)
+      SELECT g.*, r.most_running FROM u g JOIN r ON {on}"""
+
+
+_add(
+    TASKS,
+    container_busy=_union("application_id, container_id").replace(
+        "r.most_running FROM u", "r.most_running, busy_sec::DOUBLE / nullif(busy_sec + idle_sec, 0) AS busy_share FROM u"
+    ),
+    stage_timeline=_union("application_id, stage"),
+)
+
+
+def _templates(keys: str, count: str, condition: str, start: str) -> str:
+    return rf"""
+      , m AS (SELECT {keys}, list_transform(string_split_regex(trim(regexp_replace(value, '{start}', '')), '\s+'),
+          lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM parsed WHERE {condition}),
+      w AS (SELECT DISTINCT component, len(words) AS size, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM m),
+      v AS (SELECT component, size, list(place) AS varying FROM (
+          SELECT component, size, place FROM w GROUP BY ALL HAVING count(*) > 8) GROUP BY ALL)
+      SELECT {keys}, array_to_string(list_transform(words,
+          lambda x, i: CASE WHEN list_contains(coalesce(varying, []), i) THEN '<*>' ELSE x END), ' ') AS template, count(*) AS {count}
+      FROM m LEFT JOIN v ON m.component = v.component AND len(words) = v.size GROUP BY ALL""".replace("SELECT component, array", "SELECT m.component, array").replace(
+        "SELECT application_id, component, array", "SELECT application_id, m.component, array")
+
+
+_add(
+    LINES,
+    failure_templates=_templates("application_id, component", "n_errors", "log_level = 'ERROR'", r"^.*?ERROR\s+[^:]*:"),
+    line_templates=_templates("component", "n_lines", "component <> ''", r"^.*?(INFO|WARN|ERROR|DEBUG)\s+[^:]+:"),
+    broadcast_reads=r"""
+      SELECT application_id, count(*) AS n_reads, count(DISTINCT regexp_extract(value, 'broadcast variable (\d+)', 1)) AS n_variables
+      FROM parsed WHERE value LIKE '%Started reading broadcast variable%' GROUP BY 1""",
+)
