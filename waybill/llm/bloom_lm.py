@@ -41,6 +41,7 @@ BITS_PER_ENTRY = 10
 PROBES = 4  # bits of a key, all in one 64-bit word
 BASE = 2  # the ratio of one level's counts to the next
 PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
+WORD_PARTS = 16  # parts whose words a task holds together
 SALTS = 16  # a word's followers are spread over so many parts, those of a hot word over more
 TOKEN_BYTES = 6  # of text to a token; a word with more tokens than a part has bytes for is hot
 COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 19  # text that is looked at together
@@ -320,11 +321,11 @@ def _word_part_batches(batches: Iterator[pa.RecordBatch]):
         return
     word, c, t, part = (_column(held, name) for name in ("word", "c", "t", "part"))
     word = word.view(np.uint64)
-    for p in np.unique(part):
-        mine = part == p
+    order = np.argsort(part, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         keys = np.r_[word_keys(word[mine], COUNT), word_keys(word[mine], FOLLOWERS)]
         levels = levels_of(np.r_[c[mine], t[mine]])
-        yield _part_row(WORDS, int(p), part_bits(keys, levels), 0, 0)
+        yield _part_row(WORDS, int(part[mine[0]]), part_bits(keys, levels), 0, 0)
 
 
 def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -450,7 +451,8 @@ def score_documents(
         hot = spark.sparkContext.broadcast(hot_words(learn, n_parts, part_bytes))  # 16 bytes a row
     counts = learn.mapInArrow(partial(_count_batches, n_parts=n_parts, hot=hot), PACKED_COLUMNS)
     with short_batches(spark, COUNT_ROWS):
-        by_part = counts.repartition("kind", "part").sortWithinPartitions("kind", "part")
+        # as many tasks as parts need, however large the corpus; a task holds one part at a time
+        by_part = counts.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
         counted = stored(by_part.mapInArrow(_part_batches, PART_COLUMNS), "counts")
     unigrams = counted.filter("c IS NOT NULL").select("word", "c")
     followers = counted.filter("t IS NOT NULL").groupBy("word").agg(F.sum("t").alias("t"))
@@ -459,7 +461,8 @@ def score_documents(
         "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t")
     )
     dealt = words.mapInArrow(partial(_dealt_batches, n_parts=n_parts), "word long, c long, t long, part int")
-    word_parts_ = stored(dealt.repartition("part").mapInArrow(_word_part_batches, PART_COLUMNS), "word-parts")
+    n_word_tasks = 1 + n_parts // WORD_PARTS
+    word_parts_ = stored(dealt.repartition(n_word_tasks, "part").mapInArrow(_word_part_batches, PART_COLUMNS), "word-parts")
     parts = counted.select(word_parts_.columns).unionByName(word_parts_).filter("bits IS NOT NULL").select("kind", "part", "bits")
     n1, n2 = counted.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
     discount = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
