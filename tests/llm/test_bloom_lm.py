@@ -1,5 +1,6 @@
 """The language model against exact counts."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -70,7 +71,55 @@ def test_filter_levels():
     assert (got >= levels).all() and (got == levels).mean() > 0.95
     other = f.levels(rng.integers(0, 2**64, 20_000, dtype=np.uint64), np.zeros(20_000, np.int32))
     assert (other > 0).mean() < 0.03
-    assert bloom_lm.levels_of(np.array([0, 1, 2, 3, 4, 7, 8, 10**12])).tolist() == [0, 1, 2, 2, 3, 3, 4, 40]
+    assert bloom_lm.levels_of(np.array([0, 1, 2, 3, 4, 5, 6, 8, 9, 12, 13])).tolist() == [0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 7]
+    assert bloom_lm.levels_of(np.array([10**15])).max() < bloom_lm.FINE_LEVEL
+
+
+def test_word_codes():
+    small = np.arange(129)
+    for up in (False, True):
+        assert (bloom_lm.values_of(bloom_lm.codes_of(small, up)) == small).all()
+    large = np.r_[np.arange(129, 5000), 2**40 - 1, 2**40, 2**53 + 1, 10**15]
+    low, high = (bloom_lm.values_of(bloom_lm.codes_of(large, up)) for up in (False, True))
+    assert (low <= large).all() and (high >= large).all() and (high <= low * 65 / 64).all()
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    codes = bloom_lm.codes_of((10 ** rng.uniform(0, 9, 5000)).astype(np.int64))
+    bits = bloom_lm.word_bits(keys, codes)
+    got = bloom_lm.Filter(1, 0, {(0, 0): (0, len(bits))}, bytearray(bits)).codes(keys, np.zeros(5000, np.int32))
+    assert (got == codes).mean() > 0.97
+
+
+def test_masses_behind_every_word(rows):
+    """The numbers of all histories of a table, as the filter keeps them, add up to nearly 1."""
+    pairs = Counter()
+    for text in rows.text:
+        words = [b"", *(text or "").encode().lower().split(), b"end"]
+        pairs.update(zip(words, words[1:]))
+    n = np.array(list(pairs.values()))
+    before, of = np.unique([h for h, _ in pairs], return_inverse=True)
+    after, to = np.unique([w for _, w in pairs], return_inverse=True)
+    d = (n == 1).sum() / ((n == 1).sum() + 2 * (n == 2).sum())
+    kept = bloom_lm.counts_of()[bloom_lm.levels_of(n)]
+    s, t, c = np.bincount(of, kept).astype(int), np.bincount(of), np.bincount(to, n).astype(int)
+    s, t, c = bloom_lm.codes_of(s, up=True), bloom_lm.codes_of(t), bloom_lm.codes_of(c)
+    s, t, c = bloom_lm.values_of(s), bloom_lm.values_of(t), bloom_lm.values_of(c)
+    places = c.sum() + len(after) + 1
+    seen = np.bincount(of, bloom_lm.probabilities(kept, s[of], t[of], c[to], places, d))
+    backed = np.bincount(of, bloom_lm.probabilities(0 * kept, s[of], t[of], c[to], places, d))
+    single = d * t / np.maximum(s, t)  # all words, and one place for the unknown
+    mass = seen - backed + single
+    assert mass.max() <= 1 + 1e-9 and mass.min() > 0.95 and mass.mean() > 0.98
+
+
+def test_texts_have_probabilities(spark):
+    """Of all texts of up to six words, known or not, the probabilities add up to about 1."""
+    train = ["a b", "a", "b a a", "", "c a b", "a c", "b"] * 3
+    texts = [" ".join(t) for n in range(7) for t in itertools.product("abcx", repeat=n)]
+    docs = spark.createDataFrame(list(enumerate(train + texts)), "doc_id bigint, text string")
+    got = bloom_lm.score_documents(docs, F.col("doc_id") < len(train)).toPandas().set_index("id").score.sort_index()
+    total = (10 ** got.loc[len(train) :]).sum()
+    assert 0.9 < total < 1.001
 
 
 def test_edges(spark, edge_docs, no_docs, edge_texts):

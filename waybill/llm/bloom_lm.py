@@ -1,20 +1,25 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of word pairs, and of each word and its distinct followers, are quantised on
-a logarithmic scale. A key with level q is put into the filter as (key, 1) to (key, q); its
-level is read back by probing 1, 2, ... until a probe fails. The model is a
-pair model with absolute discounting, whose numbers all come from such probes:
+Counts of word pairs are quantised on a logarithmic scale. A key with level q is put into the filter
+as (key, 1) to (key, q); its level is read back by probing 1, 2, ... until a probe fails. Three numbers
+of a word (its count, its distinct followers, the sum of its pairs) have a finer scale: the octave is
+read back in the same way, and each of the ``FINE_BITS`` bits that divide the octave by one probe more.
+The model is a pair model with absolute discounting, whose numbers all come from such probes:
 
-    P(w | h) = (max(c(h, w) - D, 0) + D * T(h) * P(w)) / c(h),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = (max(c(h, w) - D, 0) + D * T(h) * P(w)) / S(h),   P(w) = (c(w) + 1) / (N + V + 1)
 
-with T(h) the distinct followers of h, D = n1 / (n1 + 2 n2) from all pairs seen once and
-twice, and P(w | h) = P(w) for an unseen h. A text's first word has a start mark as h, and an end
-mark is its last token.
+with T(h) the distinct followers of h, S(h) the sum of c(h, w) over them, D = n1 / (n1 + 2 n2) from all
+pairs seen once and twice, and P(w | h) = P(w) for an unseen h. A text's first word has a start mark as h,
+and an end mark is its last token.
+
+S and N are sums of quantised counts; T is rounded down and S up. So the probabilities behind any h add up to
+no more than 1, and to no less than 0.96, but for what a Bloom filter adds: a pair that is not in it is taken
+for one that came once with a probability of about a hundredth.
 
 The filter is made of parts. Keys are dealt to parts by hash, the followers of a word over the more
 parts the more often it comes; a task makes the bits of whole parts, and no bits are merged. Its size grows with the corpus, so it is broadcast in
 segments of ``SEGMENT_BYTES`` at most: a pass over the texts probes one segment and keeps the levels
-found so far, one byte each; the last pass adds up the logarithms. Nothing is pruned.
+found so far, two bytes each; the last pass adds up the logarithms. Nothing is pruned.
 
 The exact add-one score of single words, given beside it, takes frequent words from a broadcast
 table of at most ``HEAD_ROWS`` counts, and joins the counts of the others.
@@ -34,12 +39,16 @@ from pyspark.sql import functions as F
 from waybill.llm import words
 from waybill.llm.common import pieces_of, short_batches, stored, text_bytes
 from waybill.llm.words import mixed
+from waybill.sources.scratch import new_folder, remove
 
 HEAD_ROWS = 1 << 19
 SEGMENT_BYTES = 128 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4  # bits of a key, all in one 64-bit word
-BASE = 2  # the ratio of one level's counts to the next
+WORD_BITS_PER_ENTRY = 20
+BASE = 1.5  # the ratio of one level's counts to the next
+FINE_BITS = 6  # the octave of a word's number is cut in 2^FINE_BITS steps
+FINE_LEVEL = 128  # levels from here on stand for these bits
 PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
 WORD_PARTS = 16  # parts whose words a task holds together
 SALTS = 16  # a word's followers are spread over so many parts, those of a hot word over more
@@ -48,7 +57,7 @@ COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 19  # text that is looked at together
 COUNT_ROWS, SCORE_ROWS = 500, 200  # texts that a task is handed at a time
 # the hashes of the marks; a word's is one of 2^64
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-COUNT, FOLLOWERS = 1, 2  # kinds of single-word keys
+COUNT, FOLLOWERS, PAIR_SUM = 1, 2, 3  # kinds of single-word keys
 PAIRS, WORDS = 0, 1  # kinds of parts
 
 
@@ -65,9 +74,28 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def counts_of() -> np.ndarray:
-    """The count that stands for each level: the geometric middle of its counts; 0 for level 0."""
+    """The count that stands for each level: the geometric middle of its counts, whole; 0 for level 0."""
     low = thresholds()
-    return np.r_[0.0, np.sqrt(low[:-1] * (low[1:] - 1)), low[-1]]
+    return np.r_[0.0, np.rint(np.sqrt(low[:-1] * (low[1:] - 1))), low[-1]]
+
+
+def codes_of(values: np.ndarray, up: bool = False) -> np.ndarray:
+    """Octave (from 1) and step of whole numbers, rounded down or up, in one number; 0 for 0."""
+    values = values.astype(np.int64)
+    octave = np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    octave -= values < np.left_shift(1, np.maximum(octave - 1, 0))  # a float next to a power of two
+    exponent = np.maximum(octave - 1, 0)
+    step = np.where(
+        exponent > FINE_BITS, values >> np.maximum(exponent - FINE_BITS, 0), values << np.maximum(FINE_BITS - exponent, 0)
+    ) - (1 << FINE_BITS)
+    code = np.where(values > 0, (octave << FINE_BITS) + step, 0)
+    return code + (up & (values_of(code) < values))
+
+
+def values_of(codes: np.ndarray) -> np.ndarray:
+    """The smallest number of each code."""
+    exponent, step = (codes >> FINE_BITS) - 1, codes & (1 << FINE_BITS) - 1
+    return np.where(codes > 0, np.ldexp(1.0 + step / (1 << FINE_BITS), exponent), 0.0)
 
 
 def _odd(n: int, factor: int) -> np.uint64:
@@ -112,16 +140,25 @@ def _probe(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
     return _below(x, size), bits
 
 
-def part_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
-    """The bits of one part with all its keys at all their levels."""
-    size = 1 + BITS_PER_ENTRY * int(levels.sum(dtype=np.int64)) // 64
+def part_bits(keys: np.ndarray, levels: np.ndarray, steps: np.ndarray | None = None) -> bytes:
+    """The bits of one part with all its keys at all their levels, and at the bits of their steps."""
+    entries = [(level, levels >= level) for level in range(1, int(levels.max(initial=0)) + 1)]
+    per_entry = BITS_PER_ENTRY
+    if steps is not None:
+        entries += [(FINE_LEVEL + i, (steps >> i & 1) > 0) for i in range(FINE_BITS)]
+        per_entry = WORD_BITS_PER_ENTRY
+    size = 1 + per_entry * sum(int(here.sum()) for _, here in entries) // 64
     held = np.zeros(size, np.uint64)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        at, bits = _probe(keys[levels >= level], level, size)
+    for level, here in entries:
+        at, bits = _probe(keys[here], level, size)
         np.bitwise_or.at(held, at, bits)
     return held.tobytes()
 
 
+def word_bits(keys: np.ndarray, codes: np.ndarray) -> bytes:
+    return part_bits(keys, codes >> FINE_BITS, codes & (1 << FINE_BITS) - 1)
+
+
 class Filter:
     """Parts side by side; a part that is not here answers level 0."""
 
@@ -146,6 +183,17 @@ class Filter:
             out[active] = level
         return out
 
+    def codes(self, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Octaves and steps of words' numbers."""
+        out = self.levels(keys, parts).astype(np.uint16) << FINE_BITS
+        here = np.flatnonzero(out)
+        size, start = self.size[parts[here]], self.start[parts[here]]
+        for i in range(FINE_BITS):
+            at, bits = _probe(keys[here], FINE_LEVEL + i, size)
+            found = self.held[(at + start).astype(np.int64)]
+            out[here] |= ((found & bits) == bits).astype(np.uint16) << i
+        return out
+
 
 @dataclass
 class Tokens:
@@ -249,15 +297,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch], n_parts: int, hot):
 
 PART_SCHEMA = pa.schema([
     ("kind", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("n1", pa.int64()),
-    ("n2", pa.int64()), ("word", pa.int64()), ("c", pa.int64()), ("t", pa.int64()),
+    ("n2", pa.int64()), ("word", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("s", pa.int64()),
 ])
-PART_COLUMNS = "kind int, part int, bits binary, n1 long, n2 long, word long, c long, t long"
+PART_COLUMNS = "kind int, part int, bits binary, n1 long, n2 long, word long, c long, t long, s long"
 
 
-def _part_row(kind: int, part: int, bits: bytes, n1: int, n2: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(
-        [{"kind": kind, "part": part, "bits": bits, "n1": n1, "n2": n2}], schema=PART_SCHEMA
-    )
+def _part_row(kind: int, part: int, bits: bytes, **numbers: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "bits": bits, **numbers}], schema=PART_SCHEMA)
 
 
 def _word_rows(kind: int, word: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
@@ -273,7 +319,8 @@ def _column(tables: list[pa.RecordBatch], name: str) -> np.ndarray:
 def _part_batches(batches: Iterator[pa.RecordBatch]):
     """Rows sorted by part in, one whole part looked at at a time.
 
-    Of words: their counts. Of pairs: the bits, and each first word's followers in the part.
+    Of words: their counts. Of pairs: the bits, and each first word's followers in the part and the sum of
+    its quantised pairs.
     """
     held: list[dict] = []
     for batch in batches:
@@ -302,10 +349,12 @@ def _whole_part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         yield _word_rows(WORDS, key, c=n)
         return
     once, twice = int((n == 1).sum()), int((n == 2).sum())
-    bits = part_bits(pair_keys(key, second.astype(np.uint64)), levels_of(n))
-    yield _part_row(PAIRS, rows[0]["part"], bits, once, twice)
-    word, followers = np.unique(key, return_counts=True)
-    yield _word_rows(PAIRS, word, t=followers)
+    levels = levels_of(n)
+    bits = part_bits(pair_keys(key, second.astype(np.uint64)), levels)
+    yield _part_row(PAIRS, rows[0]["part"], bits, n1=once, n2=twice)
+    word, of_word, followers = np.unique(key, return_inverse=True, return_counts=True)
+    sums = np.bincount(of_word, counts_of()[levels], len(word))
+    yield _word_rows(PAIRS, word, t=followers, s=sums.astype(np.int64))
 
 
 def _dealt_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
@@ -315,17 +364,18 @@ def _dealt_batches(batches: Iterator[pa.RecordBatch], n_parts: int):
 
 
 def _word_part_batches(batches: Iterator[pa.RecordBatch]):
-    """Whole parts of words in; their bits out."""
+    """Whole parts of words in; their bits out, with the sum of the rounded counts."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    word, c, t, part = (_column(held, name) for name in ("word", "c", "t", "part"))
+    word, c, t, s, part = (_column(held, name) for name in ("word", "c", "t", "s", "part"))
+    c, t, s = codes_of(c), codes_of(t), codes_of(s, up=True)
     word = word.view(np.uint64)
     order = np.argsort(part, kind="stable")
     for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        keys = np.r_[word_keys(word[mine], COUNT), word_keys(word[mine], FOLLOWERS)]
-        levels = levels_of(np.r_[c[mine], t[mine]])
-        yield _part_row(WORDS, int(part[mine[0]]), part_bits(keys, levels), 0, 0)
+        keys = np.concatenate([word_keys(word[mine], kind) for kind in (COUNT, FOLLOWERS, PAIR_SUM)])
+        bits = word_bits(keys, np.r_[c[mine], t[mine], s[mine]])
+        yield _part_row(WORDS, int(part[mine[0]]), bits, c=int(values_of(c[mine]).sum()))
 
 
 def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -346,9 +396,20 @@ def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return word[order], head.column("c").to_numpy()[order]
 
 
+def probabilities(
+    pair: np.ndarray, pair_sum: np.ndarray, followers: np.ndarray, count: np.ndarray, places: float, discount: float
+) -> np.ndarray:
+    """P(w | h) from the numbers of the pair, of h (``pair_sum``, ``followers``) and of w (``count``)."""
+    single = (count + 1) / places
+    seen = (pair_sum > 0) & (followers > 0)
+    whole = np.where(seen, np.maximum(pair_sum, followers), 1.0)
+    mass = np.maximum(np.minimum(pair, whole) - discount, 0)
+    return np.where(seen, (mass + discount * followers * single) / whole, single)
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
     """Probe one segment. The last pass gives scores, the others text and levels."""
-    n_parts, total, n_words, discount, places, held, hot = shared.value
+    n_parts, total, rounded_total, n_words, discount, places, held, hot = shared.value
     pair_filter = Filter(n_parts, PAIRS, places, held)
     word_filter = Filter(n_parts, WORDS, places, held)
     head_word, head_c = head.value
@@ -357,33 +418,26 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
         for batch in pieces_of(whole, "text", SCORE_BYTES):
             t = Tokens.of(batch.column("text").to_pylist())
             first, at, _ = t.pairs()
-            word, of_word = np.unique(np.r_[START, END, t.word], return_inverse=True)
-            start, end, of_word = of_word[0], of_word[1], of_word[2:]
+            word, of_word = np.unique(np.r_[START, t.word], return_inverse=True)
+            start, of_word = of_word[0], of_word[1:]
             of_before = np.r_[start, of_word[:-1]][: len(of_word)]
             of_before[t.before == START] = start
             h, w = t.before[first], t.word[first]
             in_part = word_parts(word, n_parts)
-            c = word_filter.levels(word_keys(word, COUNT), in_part)
-            f = word_filter.levels(word_keys(word, FOLLOWERS), in_part)
-            c[start] = c[end]  # as many starts as ends
-            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts, hot))
-            levels = np.stack([pair[at], c[of_before], f[of_before], c[of_word]])
+            c, f, s = (word_filter.codes(word_keys(word, kind), in_part) for kind in (COUNT, FOLLOWERS, PAIR_SUM))
+            pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts, hot)).astype(np.uint16)
+            levels = np.stack([pair[at], s[of_before], f[of_before], c[of_word]])
             held = batch.column("levels").to_pylist()
             if held and held[0] is not None:
-                old = [np.frombuffer(x, np.uint8).reshape(4, -1) for x in held]
+                old = [np.frombuffer(x, np.uint16).reshape(4, -1) for x in held]
                 levels = np.maximum(levels, np.concatenate(old, axis=1))
             ends = np.cumsum(t.n)
             if not last:
                 codes = [levels[:, b - n : b].tobytes() for b, n in zip(ends, t.n)]
                 yield batch.set_column(2, "levels", pa.array(codes, pa.binary()))
                 continue
-            c_hw, c_h, t_h, c_w = (counts[x] for x in levels)
-            single = (c_w + 1) / (total + n_words + 1)
-            c_h = np.maximum(c_h, t_h)
-            seen = (c_h > 0) & (t_h > 0)
-            c_h = np.where(seen, c_h, 1.0)
-            mass = np.maximum(np.minimum(c_hw, c_h) - discount, 0)
-            p = np.where(seen, (mass + discount * t_h * single) / c_h, single)
+            s_h, t_h, c_w = (values_of(x.astype(np.int64)) for x in levels[1:])
+            p = probabilities(counts[levels[0]], s_h, t_h, c_w, rounded_total + n_words + 1, discount)
             score = np.bincount(t.doc, np.log10(np.minimum(p, 1.0)), batch.num_rows)
             # exact single-word counts
             place = np.minimum(np.searchsorted(head_word, word), max(len(head_word) - 1, 0))
@@ -455,14 +509,15 @@ def score_documents(
         by_part = counts.repartition(n_parts, "kind", "part").sortWithinPartitions("kind", "part")
         counted = stored(by_part.mapInArrow(_part_batches, PART_COLUMNS), "counts")
     unigrams = counted.filter("c IS NOT NULL").select("word", "c")
-    followers = counted.filter("t IS NOT NULL").groupBy("word").agg(F.sum("t").alias("t"))
+    followers = counted.filter("t IS NOT NULL").groupBy("word").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
     total, n_words = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = unigrams.join(followers, "word", "full").select(
-        "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("t", F.lit(0)).alias("t")
+        "word", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("c", "t", "s")]
     )
-    dealt = words.mapInArrow(partial(_dealt_batches, n_parts=n_parts), "word long, c long, t long, part int")
+    dealt = words.mapInArrow(partial(_dealt_batches, n_parts=n_parts), "word long, c long, t long, s long, part int")
     n_word_tasks = 1 + n_parts // WORD_PARTS
     word_parts_ = stored(dealt.repartition(n_word_tasks, "part").mapInArrow(_word_part_batches, PART_COLUMNS), "word-parts")
+    rounded_total = word_parts_.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     parts = counted.select(word_parts_.columns).unionByName(word_parts_).filter("bits IS NOT NULL").select("kind", "part", "bits")
     n1, n2 = counted.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
     discount = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
@@ -471,17 +526,23 @@ def score_documents(
     texts = docs.select(
         F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), F.lit(None).cast("binary").alias("levels"),
     )
+    columns, copy = f"id {kind}, text binary, levels binary", None
     segments = _segments(parts, segment_bytes)
     for i, places in enumerate(segments):
         shared = spark.sparkContext.broadcast(
-            (n_parts, total, n_words, discount, places, _read_segment(parts, places), hot.value)
+            (n_parts, total, rounded_total, n_words, discount, places, _read_segment(parts, places), hot.value)
         )
         last = i == len(segments) - 1
         step = partial(_score_batches, shared=shared, head=head, last=last)
         if not last:
             with short_batches(spark, SCORE_ROWS):
-                texts = stored(texts.mapInArrow(step, f"id {kind}, text binary, levels binary"), "levels")
+                path = new_folder(spark, "levels")
+                texts.mapInArrow(step, columns).write.parquet(path)
+            texts = spark.read.schema(columns).parquet(path)
             shared.destroy()
+            if copy:
+                remove(spark, copy)  # the new copy has all that was found
+            copy = path
     scores = texts.mapInArrow(
         step,
         f"id {kind}, n_tokens long, score double, head_base double, head_known long, "
@@ -490,6 +551,8 @@ def score_documents(
     with short_batches(spark, SCORE_ROWS):
         scored = stored(scores.withColumn("row", F.monotonically_increasing_id()), "scored")
     # all that follows reads what was written
+    if copy:
+        remove(spark, copy)
     shared.destroy()
     head.destroy()
     rare = (
