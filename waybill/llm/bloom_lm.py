@@ -2,8 +2,9 @@
 
 Counts of word pairs are quantised on a logarithmic scale. A key with level q is put into the filter
 as (key, 1) to (key, q); its level is read back by probing 1, 2, ... until a probe fails. Three numbers
-of a word (its count, its distinct followers, the sum of its pairs) have a finer scale: the octave is
-read back in the same way, and each of the ``FINE_BITS`` bits that divide the octave by one probe more.
+of a word (its count, its distinct followers, the sum of its pairs) have a finer scale: the octave of the
+count is read back in the same way, each of the ``FINE_BITS`` bits that divide the octave by one probe more,
+and the other two numbers as what differs from the count, which is nothing for most words.
 The model is a pair model with absolute discounting, whose numbers all come from such probes:
 
     P(w | h) = (max(c(h, w) - D, 0) + D * T(h) * P(w)) / S(h),   P(w) = (c(w) + 1) / (N + V + 1)
@@ -19,7 +20,7 @@ for one that came once with a probability of about a hundredth.
 The filter is made of parts. Keys are dealt to parts by hash, the followers of a word over the more
 parts the more often it comes; a task makes the bits of whole parts, and no bits are merged. Its size grows with the corpus, so it is broadcast in
 segments of ``SEGMENT_BYTES`` at most: a pass over the texts probes one segment and keeps the levels
-found so far, two bytes each; the last pass adds up the logarithms. Nothing is pruned.
+found so far, seven bytes a token, most of them zero until the last segments; the last pass adds up the logarithms. Nothing is pruned.
 
 The exact add-one score of single words, given beside it, takes frequent words from a broadcast
 table of at most ``HEAD_ROWS`` counts, and joins the counts of the others.
@@ -45,9 +46,10 @@ HEAD_ROWS = 1 << 19
 SEGMENT_BYTES = 128 << 20
 BITS_PER_ENTRY = 10
 PROBES = 4  # bits of a key, all in one 64-bit word
-WORD_BITS_PER_ENTRY = 20
-BASE = 1.5  # the ratio of one level's counts to the next
+WORD_BITS_PER_ENTRY = 12
+BASE = 2  # the ratio of one level's counts to the next
 FINE_BITS = 6  # the octave of a word's number is cut in 2^FINE_BITS steps
+STEPS = (1 << FINE_BITS) - 1
 FINE_LEVEL = 128  # levels from here on stand for these bits
 PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
 WORD_PARTS = 16  # parts whose words a task holds together
@@ -57,7 +59,7 @@ COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 19  # text that is looked at together
 COUNT_ROWS, SCORE_ROWS = 500, 200  # texts that a task is handed at a time
 # the hashes of the marks; a word's is one of 2^64
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-COUNT, FOLLOWERS, PAIR_SUM = 1, 2, 3  # kinds of single-word keys
+COUNT, FOLLOWERS, SUM_ABOVE, SUM_BELOW = 1, 2, 3, 4  # kinds of single-word keys
 PAIRS, WORDS = 0, 1  # kinds of parts
 
 
@@ -140,23 +142,40 @@ def _probe(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
     return _below(x, size), bits
 
 
-def part_bits(keys: np.ndarray, levels: np.ndarray, steps: np.ndarray | None = None) -> bytes:
-    """The bits of one part with all its keys at all their levels, and at the bits of their steps."""
-    entries = [(level, levels >= level) for level in range(1, int(levels.max(initial=0)) + 1)]
-    per_entry = BITS_PER_ENTRY
-    if steps is not None:
-        entries += [(FINE_LEVEL + i, (steps >> i & 1) > 0) for i in range(FINE_BITS)]
-        per_entry = WORD_BITS_PER_ENTRY
-    size = 1 + per_entry * sum(int(here.sum()) for _, here in entries) // 64
+def _filled(entries: list[tuple[int, np.ndarray]], per_entry: int) -> bytes:
+    """Bits of one part: keys at levels."""
+    size = 1 + per_entry * sum(len(keys) for _, keys in entries) // 64
     held = np.zeros(size, np.uint64)
-    for level, here in entries:
-        at, bits = _probe(keys[here], level, size)
+    for level, keys in entries:
+        at, bits = _probe(keys, level, size)
         np.bitwise_or.at(held, at, bits)
     return held.tobytes()
 
 
-def word_bits(keys: np.ndarray, codes: np.ndarray) -> bytes:
-    return part_bits(keys, codes >> FINE_BITS, codes & (1 << FINE_BITS) - 1)
+def _at_levels(keys: np.ndarray, levels: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(level, keys[levels >= level]) for level in range(1, int(levels.max(initial=0)) + 1)]
+
+
+def part_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """The bits of one part with all its keys at all their levels."""
+    return _filled(_at_levels(keys, levels), BITS_PER_ENTRY)
+
+
+def word_bits(word: np.ndarray, count: np.ndarray, followers: np.ndarray, pair_sum: np.ndarray) -> bytes:
+    """The bits of one part of words with the codes of their numbers; followers are no more than the count."""
+    octave, step = count >> FINE_BITS, count & STEPS
+    above = (pair_sum >> FINE_BITS) - octave
+    entries = []
+    for kind, levels, fine in (
+        (COUNT, octave, step),
+        (FOLLOWERS, octave - (followers >> FINE_BITS), followers & STEPS ^ step),
+        (SUM_ABOVE, above, pair_sum & STEPS ^ step),
+        (SUM_BELOW, -above, 0 * step),
+    ):
+        keys = word_keys(word, kind)
+        entries += _at_levels(keys, levels)
+        entries += [(FINE_LEVEL + i, keys[(fine >> i & 1) > 0]) for i in range(FINE_BITS)]
+    return _filled(entries, WORD_BITS_PER_ENTRY)
 
 
 class Filter:
@@ -183,15 +202,29 @@ class Filter:
             out[active] = level
         return out
 
-    def codes(self, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Octaves and steps of words' numbers."""
-        out = self.levels(keys, parts).astype(np.uint16) << FINE_BITS
-        here = np.flatnonzero(out)
-        size, start = self.size[parts[here]], self.start[parts[here]]
+    def _steps(self, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), np.int64)
+        size, start = self.size[parts], self.start[parts]
         for i in range(FINE_BITS):
-            at, bits = _probe(keys[here], FINE_LEVEL + i, size)
+            at, bits = _probe(keys, FINE_LEVEL + i, size)
             found = self.held[(at + start).astype(np.int64)]
-            out[here] |= ((found & bits) == bits).astype(np.uint16) << i
+            out |= ((found & bits) == bits).astype(np.int64) << i
+        return out
+
+    def codes(self, word: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """The codes of words' counts, followers and sums, in three rows; 0 for words that are not here."""
+        out = np.zeros((3, len(word)), np.uint16)
+        level = self.levels(word_keys(word, COUNT), parts)
+        here = np.flatnonzero(level)
+        word, parts, octave = word[here], parts[here], level[here].astype(np.int64)
+        step = self._steps(word_keys(word, COUNT), parts)
+        fewer, above, below = (
+            self.levels(word_keys(word, kind), parts).astype(np.int64) for kind in (FOLLOWERS, SUM_ABOVE, SUM_BELOW)
+        )
+        out[0, here] = (octave << FINE_BITS) + step
+        for row, other, kind in ((1, octave - fewer, FOLLOWERS), (2, octave + above - below, SUM_ABOVE)):
+            fine = step ^ self._steps(word_keys(word, kind), parts)
+            out[row, here] = (np.maximum(other, 1) << FINE_BITS) + fine
         return out
 
 
@@ -369,13 +402,16 @@ def _word_part_batches(batches: Iterator[pa.RecordBatch]):
     if not held:
         return
     word, c, t, s, part = (_column(held, name) for name in ("word", "c", "t", "s", "part"))
-    c, t, s = codes_of(c), codes_of(t), codes_of(s, up=True)
+    t, s = codes_of(t), codes_of(s, up=True)
+    counted, c = c > 0, codes_of(c)
+    # the start mark is no token; as a history it stands for its pairs. The end mark is no history
+    c, t, s = np.where(counted, c, s), np.where(t > 0, t, c), np.where(s > 0, s, c)
     word = word.view(np.uint64)
     order = np.argsort(part, kind="stable")
     for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        keys = np.concatenate([word_keys(word[mine], kind) for kind in (COUNT, FOLLOWERS, PAIR_SUM)])
-        bits = word_bits(keys, np.r_[c[mine], t[mine], s[mine]])
-        yield _part_row(WORDS, int(part[mine[0]]), bits, c=int(values_of(c[mine]).sum()))
+        bits = word_bits(word[mine], c[mine], t[mine], s[mine])
+        whole = int(values_of(c[mine])[counted[mine]].sum())
+        yield _part_row(WORDS, int(part[mine[0]]), bits, c=whole)
 
 
 def _head(unigrams: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -407,6 +443,16 @@ def probabilities(
     return np.where(seen, (mass + discount * followers * single) / whole, single)
 
 
+def _in_bytes(levels: np.ndarray) -> bytes:
+    """Of a text's tokens: the pairs' levels, one byte each, then the words' codes."""
+    return levels[0].astype(np.uint8).tobytes() + levels[1:].tobytes()
+
+
+def _unpacked(held: bytes, n: int) -> np.ndarray:
+    pairs, codes = np.frombuffer(held, np.uint8, n), np.frombuffer(held, np.uint16, offset=n)
+    return np.concatenate([pairs.astype(np.uint16)[None], codes.reshape(3, n)])
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
     """Probe one segment. The last pass gives scores, the others text and levels."""
     n_parts, total, rounded_total, n_words, discount, places, held, hot = shared.value
@@ -424,16 +470,15 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
             of_before[t.before == START] = start
             h, w = t.before[first], t.word[first]
             in_part = word_parts(word, n_parts)
-            c, f, s = (word_filter.codes(word_keys(word, kind), in_part) for kind in (COUNT, FOLLOWERS, PAIR_SUM))
+            c, f, s = word_filter.codes(word, in_part)
             pair = pair_filter.levels(pair_keys(h, w), pair_parts(h, w, n_parts, hot)).astype(np.uint16)
             levels = np.stack([pair[at], s[of_before], f[of_before], c[of_word]])
             held = batch.column("levels").to_pylist()
             if held and held[0] is not None:
-                old = [np.frombuffer(x, np.uint16).reshape(4, -1) for x in held]
-                levels = np.maximum(levels, np.concatenate(old, axis=1))
+                levels = np.maximum(levels, np.concatenate([_unpacked(x, n) for x, n in zip(held, t.n)], axis=1))
             ends = np.cumsum(t.n)
             if not last:
-                codes = [levels[:, b - n : b].tobytes() for b, n in zip(ends, t.n)]
+                codes = [_in_bytes(levels[:, b - n : b]) for b, n in zip(ends, t.n)]
                 yield batch.set_column(2, "levels", pa.array(codes, pa.binary()))
                 continue
             s_h, t_h, c_w = (values_of(x.astype(np.int64)) for x in levels[1:])
