@@ -61,6 +61,21 @@ def test_segments_give_the_same(spark, docs):
     assert np.allclose(one.base_score, many.base_score, rtol=1e-12) and (one.n_known.to_numpy() == many.n_known.to_numpy()).all()
 
 
+def test_segments_hold_every_part_once(spark, monkeypatch):
+    rows = [(kind, part, bytes(1 + (part * 7 + kind) % 90)) for kind in (0, 1) for part in range(50)]
+    parts = spark.createDataFrame(rows, "kind int, part int, bits binary")
+    for block in (1 << 16, 16):
+        monkeypatch.setattr(bloom_lm, "BLOCK_PARTS", block)
+        segments = list(bloom_lm._segments(parts, 300))
+        assert sorted(p for s in segments for p in s) == [(k, p) for k, p, _ in rows]
+        for s in segments:
+            ends = sorted((start, start + n) for start, n in s.values())
+            assert ends[0][0] == 0 and ends[-1][1] <= 300
+            assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+        assert len(segments) < 30
+    assert list(bloom_lm._segments(parts.filter("false"), 300)) == [{}]
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**64, 20_000, dtype=np.uint64)

@@ -52,6 +52,7 @@ FINE_BITS = 6  # the octave of a word's number is cut in 2^FINE_BITS steps
 STEPS = (1 << FINE_BITS) - 1
 FINE_LEVEL = 128  # levels from here on stand for these bits
 PART_BYTES = 3 << 20  # bytes of text whose pairs are in one part
+BLOCK_PARTS = 1 << 16  # parts whose sizes the driver holds together
 WORD_PARTS = 16  # parts whose words a task holds together
 SALTS = 16  # a word's followers are spread over so many parts, those of a hot word over more
 TOKEN_BYTES = 6  # of text to a token; a word with more tokens than a part has bytes for is hot
@@ -506,18 +507,23 @@ def _score_batches(batches: Iterator[pa.RecordBatch], shared, head, last: bool):
             )
 
 
-def _segments(parts: DataFrame, most: int) -> list[dict[tuple[int, int], tuple[int, int]]]:
-    """Parts in groups of ``most`` bytes at most (a part alone may be no larger): start and size of each."""
-    sizes = parts.select("kind", "part", F.length("bits").alias("n")).collect()
-    segments: list[dict] = [{}]
+def _segments(parts: DataFrame, most: int) -> Iterator[dict[tuple[int, int], tuple[int, int]]]:
+    """Parts in groups of ``most`` bytes at most (a part alone may be no larger): start and size of each.
+
+    One group at least. The driver looks at ``BLOCK_PARTS`` parts of each kind at a time.
+    """
+    largest = parts.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    segment: dict = {}
     held = 0
-    for kind, part, n in sorted(sizes):
-        if held + n > most and segments[-1]:
-            segments.append({})
-            held = 0
-        segments[-1][kind, part] = (held, n)
-        held += n
-    return segments
+    for first in range(0, largest + 1, BLOCK_PARTS):
+        block = parts.filter(F.col("part").between(first, first + BLOCK_PARTS - 1))
+        for kind, part, n in sorted(block.select("kind", "part", F.length("bits")).collect()):
+            if held + n > most and segment:
+                yield segment
+                segment, held = {}, 0
+            segment[kind, part] = (held, n)
+            held += n
+    yield segment
 
 
 def _read_segment(parts: DataFrame, places: dict[tuple[int, int], tuple[int, int]]) -> bytearray:
@@ -573,11 +579,13 @@ def score_documents(
     )
     columns, copy = f"id {kind}, text binary, levels binary", None
     segments = _segments(parts, segment_bytes)
-    for i, places in enumerate(segments):
+    places, last = next(segments), False
+    while not last:
+        following = next(segments, None)
+        last = following is None
         shared = spark.sparkContext.broadcast(
             (n_parts, total, rounded_total, n_words, discount, places, _read_segment(parts, places), hot.value)
         )
-        last = i == len(segments) - 1
         step = partial(_score_batches, shared=shared, head=head, last=last)
         if not last:
             with short_batches(spark, SCORE_ROWS):
@@ -587,7 +595,7 @@ def score_documents(
             shared.destroy()
             if copy:
                 remove(spark, copy)  # the new copy has all that was found
-            copy = path
+            copy, places = path, following
     scores = texts.mapInArrow(
         step,
         f"id {kind}, n_tokens long, score double, head_base double, head_known long, "
