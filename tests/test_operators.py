@@ -364,6 +364,27 @@ def test_entries_across_batches(spark, tmp_path):
     assert sorted(got, key=str) == _entry_oracle(files)
 
 
+def test_small_blocks_share_tasks(spark, tmp_path, monkeypatch):
+    from waybill.plans import catalog
+
+    rng = random.Random(5)
+    rows = {f"container_7_0001_01_00000{f}": [] for f in (1, 2)}
+    for name, lines in rows.items():
+        for i in range(5000):
+            lines.append(f"24/01/02 03:{i // 60 % 60:02d}:{i % 60:02d} {rng.choice(['INFO', 'WARN', ''])} a.B: message {i}")
+            lines += [f"\tat x.Y({i}.{j})" for j in range(rng.choice([0, 0, 3, 60]))]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    monkeypatch.setattr(catalog, "log_tree", lambda *_: str(tmp_path))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum")
+    before = [spark.conf.get(n, None) for n in names]
+    df = catalog.multiline_entries_blocks(spark, "")
+    assert [spark.conf.get(n, None) for n in names] == before
+    tasks = df.inputFiles()  # a task writes one file
+    n_blocks = spark.read.parquet(*tasks).filter("_is_block").count()
+    assert n_blocks > 100 and len(tasks) <= spark.sparkContext.defaultParallelism + 1
+    assert sorted((tuple(r) for r in df.collect()), key=str) == _entry_oracle(rows)
+
+
 # trips
 
 def test_daily_summary_cases(spark):

@@ -32,12 +32,17 @@ def _carrier():
         """
         last = None  # the last line so far, as a batch of one row
 
-        def block_row(line: pa.RecordBatch) -> pa.RecordBatch:
-            """A line as the row of its block: same block, same heads, no text."""
-            for name, value in (("value", None), (mark, True)):
-                at = line.schema.get_field_index(name)
-                line = line.set_column(at, line.schema.field(at), pa.array([value], line.schema.field(at).type))
-            return line
+        def with_blocks(lines: pa.RecordBatch, ends: pa.Array) -> pa.RecordBatch:
+            """Lines, and behind those at the places ``ends`` the row of their block: same block, same heads, no text."""
+            n = lines.num_rows
+            places = pa.concat_arrays([pa.array(range(n), ends.type), ends])
+            order = pc.sort_indices(places)  # stable
+            lines, is_block = lines.take(places.take(order)), pc.greater_equal(order, n)
+            at = lines.schema.get_field_index("value")
+            text = pc.if_else(is_block, pa.scalar(None, lines.schema.field(at).type), lines.column(at))
+            lines = lines.set_column(at, lines.schema.field(at), text)
+            at = lines.schema.get_field_index(mark)
+            return lines.set_column(at, lines.schema.field(at), is_block)
 
         for batch in batches:
             n = batch.num_rows
@@ -58,16 +63,12 @@ def _carrier():
                     head = pa.concat_arrays([above, head.slice(1)])
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pc.fill_null_forward(head))
             if last is not None and not continues:
-                yield block_row(last)
-            first = 0
-            for at in pc.indices_nonzero(changed).to_pylist():  # block ends inside the batch
-                yield batch.slice(first, at + 1 - first)
-                yield block_row(batch.slice(at, 1))
-                first = at + 1
-            yield batch.slice(first)
+                yield with_blocks(last, pa.array([0], pa.uint64())).slice(1)
+            # a batch holds the ends of many small blocks
+            yield with_blocks(batch, pc.indices_nonzero(changed))
             last = batch.slice(n - 1)
         if last is not None:
-            yield block_row(last)
+            yield with_blocks(last, pa.array([0], pa.uint64())).slice(1)
 
     return carry_down
 

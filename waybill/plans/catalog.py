@@ -34,6 +34,7 @@ ORDER_TRIPS = daily.TripColumns(
 )
 YEAR = 1996
 OUTLIERS = 1.05  # times the median
+TASK_BYTES = 64 << 20  # text that a task reads in small blocks, about
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,15 +69,23 @@ def _on_durations(operator: Callable[[DataFrame], DataFrame], largest: bool = Tr
 
 
 @contextmanager
-def _small_blocks(spark: SparkSession, size: str) -> Iterator[None]:
-    """Scans that run inside cut files into blocks of this size."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+def _small_blocks(spark: SparkSession, root: str, size: str) -> Iterator[None]:
+    """Scans of this tree that run inside cut files into blocks of this size.
+
+    By itself Spark gives every block a task, which costs more than the block. So the number of tasks follows the
+    bytes of the tree: a task reads many blocks, one after the other.
+    """
+    n_bytes = files.scan_file_metadata(spark, root).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    settings = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -323,7 +332,7 @@ def multiline_entries_blocks(spark, sf_dir):
     The tree has few files, and they are cut into small blocks, so many blocks open inside an entry.
     """
     root = log_tree(spark, sf_dir, 2)
-    with _small_blocks(spark, "16k"):
+    with _small_blocks(spark, root, "16k"):
         lines = entries.attach_entries(text.scan_log_blocks(spark, root))
     return (
         lines.select(
