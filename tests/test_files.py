@@ -52,6 +52,28 @@ def test_only_empty_files(spark, tmp_path):
     assert usage.dataset_inventory(files).first().asDict() == {"n_applications": 1, "n_files": 1, "n_empty_files": 1, "n_bytes": 0}
 
 
+def test_containers_of_all_applications(spark, tmp_path):
+    """More applications than a written tree holds, one of them with empty logs, and events that write nothing."""
+    import datetime
+
+    from waybill.plans import catalog
+
+    at = lambda day: datetime.datetime(2024, 1, day, 3)
+    rows = [(e, at(1 + 3 * (e % 10)), e // 10 % 30, "view", 1.5) for e in range(600)]
+    rows += [(10_000 + i, at(1), 900 + i, "view", None) for i in range(3)]
+    rows += [(20_000, at(1), 950, None, 1.0), (20_001, at(1), 951, "other", 1.0), (20_002, at(1), None, "view", 1.0), (20_003, None, 952, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for e, ts, user, kind, _ in rows:
+        if e % 97 and kind == "view" and ts and user is not None:
+            want.setdefault(user * 10 + (ts.day - 1) // 3, set()).add(e % 3)
+    got = {}
+    for r in catalog.QUERIES["containers_per_app"](spark, str(tmp_path)).collect():
+        got.setdefault(int(r["application_id"].rsplit("_", 1)[1]), {})[r["role"]] = r["n_containers"]
+    named = lambda nos: {k: n for k, n in (("application_master", int(0 in nos)), ("executor", len(nos - {0}))) if n}
+    assert len(want) > 250 and 39 in want and got == {a: named(nos) for a, nos in want.items()}
+
+
 def test_no_line_is_read(spark, sf_dir):
     from waybill.plans import catalog
 

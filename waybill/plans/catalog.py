@@ -13,7 +13,7 @@ from waybill.operators import (
     daily, distribution, entries, execution, levels, records, reports, rollup, tasks, templates, usage,
 )
 from waybill.plans import sql_functions
-from waybill.plans.demo_logs import container_logs, log_lines, log_tree, monthly_orders
+from waybill.plans.demo_logs import container_logs, log_inventory, log_lines, log_tree, monthly_orders
 from waybill.sources import files, ranges, scratch, sinks, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,11 @@ def inventory_with_lines(spark, sf_dir):
     return usage.inventory_with_lines(files.scan_file_metadata(spark, root), text.scan_log_tree(spark, root))
 
 
+def containers_per_app(spark, sf_dir):
+    """Containers of all applications, from an inventory of their logs."""
+    return usage.containers_per_app(log_inventory(spark, sf_dir))
+
+
 # written results
 
 def csv_round_trip(spark, sf_dir):
@@ -402,7 +407,7 @@ QUERIES: dict[str, Query] = {
     "files_per_app": _on_files(usage.files_per_app),
     "dataset_inventory": _on_files(usage.dataset_inventory),
     "inventory_with_lines": inventory_with_lines,
-    "containers_per_app": _on_files(usage.containers_per_app),
+    "containers_per_app": containers_per_app,
     "report_cluster_usage": _on_timeline(reports.report_cluster_usage),
     # durations
     "app_durations": _on_durations(lambda d: d),

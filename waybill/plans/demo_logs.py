@@ -7,11 +7,11 @@ them as a tree of text files to scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.sources.files import create_empty
-from waybill.sources.scratch import new_folder
+from waybill.sources.scratch import checkpointed, new_folder
 
 TREE_APPS = 40  # applications in a written tree, which bounds its number of folders
 SILENT = "_0039"  # ending of the application whose containers write nothing into their logs
@@ -67,7 +67,7 @@ _IDS = """
 
 
 def log_entries(spark: SparkSession, sf_dir: str, apps: int | None = None) -> DataFrame:
-    """One row per event: ``app`` and ``container`` folder names and ``texts``.
+    """One row per event: ``app`` and ``container`` folder names, ``texts``, and the event's id and type.
 
     A user has one application for every three days of a month. ``texts`` holds
     a null for a line that an event leaves out.
@@ -85,18 +85,29 @@ def log_entries(spark: SparkSession, sf_dir: str, apps: int | None = None) -> Da
         .selectExpr(
             "if(e % 97 = 0, 'gateway', 'application_' || ids) AS app",
             "if(e % 97 = 0, 'edge', 'container_' || ids || '_01_00000' || (e % 3 + 1)) AS container",
-            f"{_TEXTS} AS texts", "e",
+            f"{_TEXTS} AS texts", "e", "event_type",
         )
     )
 
 
+def _log_file() -> Column:
+    return F.concat(F.lit("file:///logs/"), "app", F.lit("/"), "container", F.lit(".log")).alias("file_path")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines (``value``, ``file_path``)."""
     # explode would add a filter on the array, and make every line twice
-    return log_entries(spark, sf_dir).select(
-        F.explode_outer("texts").alias("value"),
-        F.concat(F.lit("file:///logs/"), "app", F.lit("/"), "container", F.lit(".log")).alias("file_path"),
-    ).filter("value IS NOT NULL")
+    return log_entries(spark, sf_dir).select(F.explode_outer("texts").alias("value"), _log_file()).filter("value IS NOT NULL")
+
+
+def log_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of all applications, empty ones included: a row per file (``file_path``).
+
+    It stands for the inventory that a store keeps of its files, and is written as such. A tree with a file for
+    each is no way to get it: there are as many as two for every five events. No line is made.
+    """
+    entries = log_entries(spark, sf_dir).filter(F.col("event_type").isin(*_LINES))  # others write nothing
+    return checkpointed(entries.select(_log_file()).distinct())
 
 
 def log_tree(spark: SparkSession, sf_dir: str, apps: int = TREE_APPS) -> str:

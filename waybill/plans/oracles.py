@@ -98,7 +98,7 @@ APP = "user_id * 10 + (day(ts) - 1) // 3"
 LINES = _lines(APP)
 TREE = _lines(f"({APP}) % 40")
 # one file per container; the last application's are empty
-FILES = TREE + """,
+_FILES = """,
     files AS (
       SELECT application_id, container_id, CASE WHEN ends_with(application_id, '_0039') THEN 0
         ELSE sum(octet_length(encode(value)) + 1) END AS n_bytes
@@ -109,6 +109,8 @@ FILES = TREE + """,
     inventory AS (
       SELECT count(*) FILTER (application_id <> '') AS n_applications, sum(n_files)::BIGINT AS n_files,
         sum(n_empty_files)::BIGINT AS n_empty_files, sum(n_bytes)::BIGINT AS n_bytes FROM per_app)"""
+FILES = TREE + _FILES
+ALL_FILES = LINES + _FILES
 FEW_FILES = _lines(f"({APP}) % 2")
 TIMELINE = LINES + """,
     timeline AS (
@@ -172,6 +174,9 @@ _add(
     files_per_app="SELECT * FROM per_app",
     dataset_inventory="SELECT * FROM inventory",
     inventory_with_lines="SELECT *, (SELECT count(*) FROM parsed WHERE NOT ends_with(application_id, '_0039')) AS n_lines FROM inventory",
+)
+_add(
+    ALL_FILES,
     containers_per_app="""
       SELECT application_id,
         CASE WHEN right(container_id, 6) = '000001' THEN 'application_master' ELSE 'executor' END AS role,
